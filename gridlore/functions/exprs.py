@@ -123,6 +123,12 @@ def number4(c: str) -> str:
     return f"round(nullif(CAST({c} AS DOUBLE), CAST('NaN' AS DOUBLE)), 4)"
 
 
+def plain_number(c: str) -> str:
+    """A number as text to four decimals, never in scientific form, with one decimal at least."""
+    fixed = f"CAST(try_cast({c} AS DECIMAL(38,4)) AS STRING)"
+    return rf"coalesce(regexp_replace({fixed}, '([.][0-9]+?)0+$', '$1'), CAST({c} AS STRING))"
+
+
 def as_text(c: str, dtype: T.DataType) -> str:
     """Any column as text, nested ones as JSON."""
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):

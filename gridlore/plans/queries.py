@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pandas as pd
+from pyarrow import fs
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.functions import exprs as X
@@ -11,6 +17,7 @@ from gridlore.functions import names as N
 from gridlore.operators import charts as V
 from gridlore.operators import cleaning as C
 from gridlore.operators import correlation as R
+from gridlore.operators import modeling as M
 from gridlore.operators import ordering as H
 from gridlore.operators import outliers as O
 from gridlore.operators import profile as D
@@ -18,8 +25,10 @@ from gridlore.operators import quantiles as Q
 from gridlore.operators import sampling as K
 from gridlore.operators import trends as T
 from gridlore.operators.ordering import ROW
+from gridlore.plans import report, store
 from gridlore.session import scratch_path
 from gridlore.sources import readers, staging
+from gridlore.sources.workbook import read_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,6 +167,60 @@ def s10(spark, folder):
     )
 
 
+SHEET = (
+    '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>'
+)
+BOOK_PARTS = {
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
+    'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+    '<sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" '
+    'Target="worksheets/sheet1.xml"/></Relationships>',
+}
+
+
+def write_workbook(path: str, header: list, rows: list) -> None:
+    """A minimal workbook with inline texts; empty cells are left out."""
+
+    def cell(value):
+        if value is None:
+            return "<c/>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    lines = "".join(f"<row>{''.join(map(cell, row))}</row>" for row in [header, *rows])
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, content in BOOK_PARTS.items():
+            book.writestr(name, content)
+        book.writestr("xl/worksheets/sheet1.xml", SHEET.format(rows=lines))
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system.create_dir(inner.rsplit("/", 1)[0])
+    with system.open_output_stream(inner) as out:
+        out.write(buffer.getvalue())
+
+
+@query(
+    "s3_workbook_scan",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+       c_mktsegment, c_custkey AS row_index FROM customer""",
+)
+def s3(spark, folder):
+    path = scratch_path(spark, "workbooks")
+
+    def save(group: pd.DataFrame) -> pd.DataFrame:  # at most 300 customers
+        group = group.sort_values("c_custkey")
+        book = int(group["book"].iloc[0])
+        columns = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+        write_workbook(f"{path}/book-{book:09d}.xlsx", columns, group[columns].astype(str).values.tolist())
+        return pd.DataFrame({"book": [book]})
+
+    customers = spark.read.parquet(f"{folder}/customer.parquet").withColumn("book", F.expr("c_custkey div 300"))
+    customers.groupBy("book").applyInPandas(save, "book long").agg(F.count("*")).collect()
+    read = read_workbooks(spark, path)
+    return read.withColumnRenamed(ROW, "row_index")
+
+
 # --- names, projections, predicates, casts -----------------------------------------------------
 
 
@@ -881,3 +944,197 @@ def w2(spark, folder):
 def w3(spark, folder):
     events = table(spark, folder, "events").selectExpr("event_id", "CASE WHEN event_id % 3 = 1 THEN value END AS value", ROW)
     return H.fill_both_ways(events, ["value"], block_rows=1000).select("event_id", "value")
+
+
+# --- models ------------------------------------------------------------------------------------
+
+
+@query(
+    "m2_target_mode",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS target, count({c}) AS present, count(DISTINCT {c}) AS distinct,
+        CASE WHEN {fractional} OR (count(DISTINCT {c}) >= 20 AND count(DISTINCT {c}) / count({c}) >= 0.005)
+             THEN 'regression' ELSE 'classification' END AS mode FROM lineitem"""
+        for c, fractional in (("l_linenumber", "false"), ("l_partkey", "false"), ("l_tax", "true"), ("l_suppkey", "false"))
+    ),
+)
+def m2(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    targets = ("l_linenumber", "l_partkey", "l_tax", "l_suppkey")
+    return M.target_table(lines, targets[0]).unionByName(M.target_table(lines, targets[1])).unionByName(
+        M.target_table(lines, targets[2])).unionByName(M.target_table(lines, targets[3]))
+
+
+@query(
+    "m3_features",
+    """SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) /
+         (SELECT stddev_pop(o_totalprice) FROM orders), 4) AS total_scaled,
+       round((epoch(o_orderdate) - (SELECT avg(epoch(o_orderdate)) FROM orders)) /
+         (SELECT stddev_pop(epoch(o_orderdate)) FROM orders), 4) AS date_scaled,
+       CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS is_f, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS is_o,
+       CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END AS is_p FROM orders""",
+)
+def m3(spark, folder):
+    orders = table(spark, folder, "orders").select("o_totalprice", "o_orderdate", "o_orderstatus", "o_orderkey")
+    features = M.feature_pipeline(orders.drop("o_orderkey"))
+    rows = features.transform(M.times_as_seconds(orders)).select("o_orderkey", vector_to_array("features").alias("v"))
+    return rows.selectExpr(
+        "o_orderkey", "round(v[0], 4) AS total_scaled", "round(v[1], 4) AS date_scaled", "v[2] AS is_f", "v[3] AS is_o", "v[4] AS is_p"
+    )
+
+
+@query("m4_regression")
+def m4(spark, folder):
+    return M.model(table(spark, folder, "orders"), "o_totalprice").table(spark)
+
+
+@query("m5_classification")
+def m5(spark, folder):
+    return M.model(table(spark, folder, "orders"), "o_orderstatus").table(spark)
+
+
+@query("m5_class_counts", "SELECT o_orderstatus AS class, count(*) AS count FROM orders GROUP BY 1")
+def m5_counts(spark, folder):
+    return M.class_counts(table(spark, folder, "orders"), "o_orderstatus")
+
+
+@query(
+    "m6_split",
+    """SELECT 'test' AS part, CAST(ceil(count(*) * 0.2) AS BIGINT) AS rows FROM orders
+       UNION ALL SELECT 'train', count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) FROM orders""",
+)
+def m6(spark, folder):
+    train, test = M.split(table(spark, folder, "orders"), stratify="o_orderpriority")
+    sized = [p.agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(n)) for n, p in (("train", train), ("test", test))]
+    return sized[0].unionByName(sized[1])
+
+
+@query("m7_clusters")
+def m7(spark, folder):
+    return M.cluster(table(spark, folder, "customer").drop("c_name")).clusters
+
+
+@query("m8_silhouette_euclidean")
+def m8(spark, folder):
+    customers = table(spark, folder, "customer").select("c_nationkey", "c_acctbal", ROW)
+    return M.cluster(customers, metric="euclidean").table(spark)
+
+
+@query("m9_feature_importance")
+def m9(spark, folder):
+    return M.regress(table(spark, folder, "part"), "p_retailprice").importance
+
+
+# --- reports and the report store ----------------------------------------------------------------
+
+
+@query("n1_analyze_clean")
+def n1(spark, folder):
+    return report.analyze(dirty_events(spark, folder), "events", modeling=False).charts()
+
+
+@query("n2_analyze_raw")
+def n2(spark, folder):
+    return report.analyze(table(spark, folder, "lineitem"), "lines", mode="raw", modeling=False).columns()
+
+
+@query("n3_preview")
+def n3(spark, folder):
+    return report.preview(table(spark, folder, "lineitem"), "lines").summary_statistics()
+
+
+@query(
+    "n4_narrative",
+    f"""{CLEANED}, n AS (SELECT (SELECT count(*) FROM dirty) AS o, (SELECT count(*) FROM typed) AS t, (SELECT count(*) FROM cleaned) AS c,
+        (SELECT 4 * count(*) - count(id) - count(day) - count(kind) - count(amount) FROM typed) AS m)
+        SELECT CAST(1 AS INTEGER) AS place, concat('The dataset was cleaned from ', o, ' rows to ', c,
+               ' rows and now contains 4 usable columns.') AS text FROM n
+        UNION ALL SELECT 2, concat(t - c, ' duplicate rows were removed before analysis.') FROM n WHERE t > c
+        UNION ALL SELECT 3, concat('The pipeline handled ', m, ' missing values automatically.') FROM n""",
+)
+def n4(spark, folder):
+    told = report.analyze(dirty_events(spark, folder), "events", modeling=False).narrative()
+    return told.where("section = 'insights' AND place <= 3").select("place", "text")
+
+
+def stored_orders(spark, folder) -> DataFrame:
+    """Orders in the columns of the reports table."""
+    return spark.read.parquet(f"{folder}/orders.parquet").selectExpr(
+        "o_orderkey AS report_id", "o_custkey AS user_id", "o_orderdate AS created_at", "o_orderstatus AS status"
+    )
+
+
+@query(
+    "n5_history",
+    """SELECT o_orderkey AS report_id, o_custkey AS user_id, o_orderdate AS created_at, o_orderstatus AS status
+       FROM orders WHERE o_custkey = 7""",
+)
+def n5(spark, folder):
+    return store.history(stored_orders(spark, folder), 7)
+
+
+@query(
+    "n6_snapshot",
+    """WITH s AS (
+        SELECT 0 AS position, 'o_orderkey' AS "column", 'bigint' AS type, count(DISTINCT o_orderkey) AS unique_values,
+          concat('mean: ', round(avg(o_orderkey), 4), ', min: ', min(o_orderkey)::DOUBLE, ', max: ', max(o_orderkey)::DOUBLE) AS highlights FROM orders
+        UNION ALL SELECT 1, 'o_custkey', 'bigint', count(DISTINCT o_custkey),
+          concat('mean: ', round(avg(o_custkey), 4), ', min: ', min(o_custkey)::DOUBLE, ', max: ', max(o_custkey)::DOUBLE) FROM orders
+        UNION ALL SELECT 2, 'o_orderstatus', 'string', count(DISTINCT o_orderstatus), concat('top_value: ',
+          (SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) FROM orders
+        UNION ALL SELECT 3, 'o_totalprice', 'double', count(DISTINCT o_totalprice),
+          concat('mean: ', round(avg(o_totalprice), 4), ', min: ', round(min(o_totalprice), 4), ', max: ', round(max(o_totalprice), 4)) FROM orders
+        UNION ALL SELECT 4, 'o_orderdate', 'timestamp_ntz', count(DISTINCT o_orderdate), concat('min: ',
+          strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S'), ', max: ', strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S')) FROM orders
+        UNION ALL SELECT 5, 'o_orderpriority', 'string', count(DISTINCT o_orderpriority), concat('top_value: ',
+          (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) FROM orders)
+       SELECT CAST(position AS INTEGER) AS position, "column", type, unique_values, highlights FROM s""",
+)
+def n6(spark, folder):
+    return report.snapshot(D.summary_statistics(table(spark, folder, "orders")))
+
+
+@query(
+    "n7_kpis",
+    """WITH r AS (SELECT 'o_orderkey' AS a, 'o_custkey' AS b, corr(o_orderkey, o_custkey) AS r, 1 AS i FROM orders
+        UNION ALL SELECT 'o_orderkey', 'o_totalprice', corr(o_orderkey, o_totalprice), 2 FROM orders
+        UNION ALL SELECT 'o_custkey', 'o_totalprice', corr(o_custkey, o_totalprice), 3 FROM orders),
+       best AS (SELECT a, b, round(r, 3) AS r FROM r ORDER BY abs(round(r, 3)) DESC, i LIMIT 1)
+       SELECT 'Rows' AS label, format('{:,}', count(*)) AS value, '6 columns profiled' AS note FROM orders
+       UNION ALL SELECT 'Missing values', '0', 'Across the current analytics profile'
+       UNION ALL SELECT 'Strongest pair', format('{:.2f}', r), concat(a, ' x ', b) FROM best""",
+)
+def n7(spark, folder):
+    return report.analyze(table(spark, folder, "orders"), "orders", modeling=False).kpis()
+
+
+@query(
+    "s11_report_round_trip",
+    """SELECT "column", count AS castable_count, mean, median, std, min, max, q1, q3 FROM ("""
+    + _summary_sql(["o_orderkey", "o_custkey", "o_totalprice"], "orders")
+    + ")",
+)
+def s11(spark, folder):
+    reports = store.ReportStore(spark, scratch_path(spark, "store"))
+    orders = table(spark, folder, "orders")
+    done = report.analyze(orders, "orders", modeling=False)
+    report_id = reports.save(done, "analyst", staging.fingerprint(orders), ("cleaning", "summary_statistics"))
+    fields = "column string, castable_count long, mean double, median double, std double, min double, max double, q1 double, q3 double"
+    records = reports.load(report_id, "summary_statistics").select(F.from_json("record", fields).alias("r"))
+    return records.select("r.*").where("castable_count IS NOT NULL")
+
+
+@query(
+    "j1_report_status",
+    """SELECT c_custkey AS report_id, c_mktsegment AS status, o_orderkey AS entry_id, o_orderstatus AS entry_status,
+       o_orderpriority AS content_hash FROM customer JOIN orders ON c_custkey = o_custkey
+       JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey""",
+)
+def j1(spark, folder):
+    reports = spark.read.parquet(f"{folder}/customer.parquet").selectExpr("c_custkey AS report_id", "c_mktsegment AS status")
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    returned = spark.read.parquet(f"{folder}/lineitem.parquet").where("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("entry_id")).distinct()
+    links = orders.selectExpr("o_custkey AS report_id", "o_orderkey AS entry_id")
+    entries = orders.selectExpr("o_orderkey AS entry_id", "o_orderstatus AS status", "o_orderpriority AS content_hash")
+    return store.report_status(reports, links.join(returned, "entry_id"), entries)

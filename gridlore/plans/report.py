@@ -176,8 +176,8 @@ def snapshot(statistics: DataFrame, n: int = SNAPSHOT_COLUMNS) -> DataFrame:
     def part(label: str, value: str) -> str:
         return f"CASE WHEN {value} IS NOT NULL THEN concat('{label}: ', {value}) END"
 
-    low, high = ("coalesce(CAST({0} AS STRING), {0}_time)".format(f) for f in ("min", "max"))
-    highlights = [part("mean", "CAST(mean AS STRING)"), part("top_value", "top_value"), part("min", low), part("max", high)]
+    low, high = (f"coalesce({X.plain_number(f)}, {f}_time)" for f in ("min", "max"))
+    highlights = [part("mean", X.plain_number("mean")), part("top_value", "top_value"), part("min", low), part("max", high)]
     return statistics.orderBy("position").limit(n).selectExpr(
         "position",
         "column",
