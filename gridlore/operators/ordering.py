@@ -117,30 +117,26 @@ def sorted_positions(df: DataFrame, keys: list[str | Column], name: str) -> Data
 
 
 def fill_both_ways(df: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Fill nulls with the last earlier value in row order, or the next later one at the start.
+    """Fill nulls with the last earlier value in row order; those before any value get the first.
 
-    Inside a block a window does it. Across blocks, each block's first and last values are
-    carried over a table of one row per block.
+    Inside a block a window carries values forward. Across blocks, each block's last value is
+    carried over a table of one row per block, which also holds the table's first value.
     """
     blocked = require_row(df).withColumn("_block", block_of(block_rows))
+    at = {c: F.when(F.col(c).isNotNull(), F.col(ROW)) for c in columns}
     edges = blocked.groupBy("_block").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ROW))).alias(f"_last_{i}") for i, c in enumerate(columns)],
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ROW))).alias(f"_first_{i}") for i, c in enumerate(columns)],
+        *[F.max_by(F.col(c), at[c]).alias(f"_last_{i}") for i, c in enumerate(columns)],
+        *[F.min_by(F.col(c), at[c]).alias(f"_first_{i}") for i, c in enumerate(columns)],
     )
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carry = edges.select(
         "_block",
-        *[F.last(f"_last_{i}", True).over(earlier).alias(f"_prev_{i}") for i in range(len(columns))],
-        *[F.first(f"_first_{i}", True).over(later).alias(f"_next_{i}") for i in range(len(columns))],
+        *[
+            F.coalesce(F.last(f"_last_{i}", True).over(earlier), F.first(f"_first_{i}", True).over(whole)).alias(f"_carry_{i}")
+            for i in range(len(columns))
+        ],
     )
-    inside = Window.partitionBy("_block").orderBy(ROW)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    filled = {
-        c: F.coalesce(
-            F.last(c, True).over(upto), F.col(f"_prev_{i}"), F.first(c, True).over(after), F.col(f"_next_{i}")
-        )
-        for i, c in enumerate(columns)
-    }
+    upto = Window.partitionBy("_block").orderBy(ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = {c: F.coalesce(F.last(c, True).over(upto), F.col(f"_carry_{i}")) for i, c in enumerate(columns)}
     return blocked.join(carry, "_block").withColumns(filled).select(*df.columns)
