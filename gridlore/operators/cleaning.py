@@ -283,7 +283,7 @@ def clean(df: DataFrame, share: float = PARSE_SHARE) -> tuple[DataFrame, Cleanin
     inferred = any(c in found and found[c].kind(share) != X.CATEGORICAL for c in kept)
     if inferred:
         typed = materialize(typed, "typed")
-    repeats = may_have_duplicates(typed)
+    repeats = bool(kept) and may_have_duplicates(typed)
     unique = materialize(drop_duplicates(typed), "unique") if repeats else typed
     unique_rows = unique.count() if repeats else rows
     gaps = {c: n for c, n in missing.items() if n}

@@ -282,8 +282,9 @@ def regress(df: DataFrame, target: str, max_rows: int | None = None, trees: int
     dtype = X.types_of(df)[target]
     train, test, names = _prepare(df, target, X.double(X.quote(target), dtype), None)
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=512
-    )
+        featuresCol="features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=512,
+        featureSubsetStrategy="all",
+    )
     model = forest.fit(train)
     predictions = model.transform(test).select(F.col("_label").alias("label"), "prediction")
     return ModelResult(

@@ -50,7 +50,7 @@ def sample_n(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     hashed = df.withColumn("_hash", sample_hash(df, seed))
     share = (n + 6 * math.sqrt(n) + 16) / total
     while True:
-        cut = -(2**63) + int(min(share, 1.0) * (2**64 - 1))
+        cut = min(-(2**63) + int(min(share, 1.0) * 2**64), 2**63 - 1)
         kept = hashed.where(F.col("_hash") <= F.lit(cut))
         if share >= 1.0 or kept.count() >= n:
             break
