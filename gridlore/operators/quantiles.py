@@ -53,23 +53,26 @@ def pick_ranks(
 
 def _narrow(df, columns, work, cells, fine_rows):
     by_column: dict[int, list[tuple]] = {}
-    for i, ((key, low, high), (below, rows, _)) in enumerate(work.items()):
-        fine = rows is not None and rows <= fine_rows
-        by_column.setdefault(key, []).append((i, low, high, below, fine))
+    for i, ((key, low, high), (_, rows, _)) in enumerate(work.items()):
+        by_column.setdefault(key, []).append((i, low, high, rows is not None and rows <= fine_rows))
     dtypes = types_of(df)
-    counted = " UNION ALL ".join(
-        _cells_sql(columns[key], dtypes[columns[key]], key, intervals, cells)
-        for key, intervals in by_column.items()
+    placed = " UNION ALL ".join(
+        _cells_sql(columns[key], dtypes[columns[key]], intervals, cells) for key, intervals in by_column.items()
+    )
+    wanted = ", ".join(
+        f"({i}, {key}, {below}L, {r}L)"
+        for i, ((key, _, _), (below, _, rs)) in enumerate(work.items())
+        for r in rs
     )
-    wanted = ", ".join(f"({i}, {r}L)" for i, (_, _, rs) in enumerate(work.values()) for r in rs)
     # a window group holds at most `cells` or `fine_rows` rows
     hits = run_sql(
         df.sparkSession,
         f"""
-        SELECT key, lo, hi, before, n, rank
-        FROM (SELECT *, below + sum(n) OVER (PARTITION BY iv ORDER BY cell) - n AS before FROM ({counted}))
-        JOIN (SELECT * FROM VALUES {wanted} AS w(iv, rank)) USING (iv)
-        WHERE rank >= before AND rank < before + n
+        SELECT key, lo, hi, below + before AS before, n, rank
+        FROM (SELECT *, sum(n) OVER (PARTITION BY iv ORDER BY cell) - n AS before
+              FROM (SELECT iv, cell, count(*) AS n, min(v) AS lo, max(v) AS hi FROM ({placed}) GROUP BY iv, cell))
+        JOIN (SELECT * FROM VALUES {wanted} AS w(iv, key, below, rank)) USING (iv)
+        WHERE rank - below >= before AND rank - below < before + n
         """,
         t=df,
     )
@@ -80,28 +83,26 @@ def _narrow(df, columns, work, cells, fine_rows):
     return following
 
 
-def _cells_sql(name, dtype, key, intervals, cells):
-    """Row counts per cell of one column; the branch scans that column alone."""
+def _cells_sql(name, dtype, intervals, cells):
+    """The interval and cell of each value of one column; the branch scans that column alone."""
     low, high = min(i[1] for i in intervals), max(i[2] for i in intervals)
     v = double(quote(name), dtype)
     if max(abs(low), abs(high)) == _TOP:
         v = f"greatest({number(-_TOP)}, least({number(_TOP)}, {v}))"
     elif isinstance(dtype, (T.DoubleType, T.IntegralType)):
         v = f"CAST({quote(name)} AS DOUBLE)"  # keeps the range filter pushable; it drops NaN too
-    iv, cell, below = "", "", ""
-    for i, lo, hi, rows_below, fine in intervals:
+    iv, cell = "", ""
+    for i, lo, hi, fine in intervals:
         share = f"(v * 0.5D - {number(lo * 0.5)}) / {number(hi * 0.5 - lo * 0.5)}"
         place = "v" if fine else f"least({cells - 1}D, CAST(floor({share} * {cells}D) AS DOUBLE))"
         inside = f"WHEN v BETWEEN {number(lo)} AND {number(hi)} THEN"
         iv += f" {inside} {i}"
         cell += f" {inside} {place}"
-        below += f" {inside} {rows_below}L"
     return f"""
-        SELECT iv, {key} AS key, below, cell, count(*) AS n, min(v) AS lo, max(v) AS hi
-        FROM (SELECT v, CASE{iv} END AS iv, CASE{cell} END AS cell, CASE{below} END AS below
-              FROM (SELECT {v} AS v FROM {{t}}) WHERE v BETWEEN {number(low)} AND {number(high)})
-        WHERE iv IS NOT NULL
-        GROUP BY iv, below, cell"""
+        SELECT * FROM (
+            SELECT v, CASE{iv} END AS iv, CASE{cell} END AS cell
+            FROM (SELECT {v} AS v FROM {{t}}) WHERE v BETWEEN {number(low)} AND {number(high)})
+        WHERE iv IS NOT NULL"""
 
 
 def _spot(n: int, p: float) -> tuple[int, int, float]:

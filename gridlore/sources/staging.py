@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import hashlib
+
+from pyspark.sql import DataFrame, types as T
 
 from gridlore.functions import exprs as X
 from gridlore.operators.ordering import ROW
@@ -14,19 +16,19 @@ def fingerprint(df: DataFrame) -> str:
     Sums combine on the map side and do not depend on partitioning. When the table carries row
     numbers they are part of the row, so the same rows in another order differ.
     """
-    columns = [X.quote(c) for c in df.columns]
     dtypes = X.types_of(df)
-    values = ", ".join(X.as_text(c, dtypes[n]) for c, n in zip(columns, df.columns))
-    row = df.selectExpr(
-        "count(*) AS n",
-        *[
-            f"coalesce(sum(CAST(xxhash64({seed}, {values}) AS DECIMAL(38,0))), 0) AS h{seed}"
-            for seed in (1, 2)
-        ],
-    ).first()
+    values = [f"to_json({X.quote(c)})" if isinstance(dtypes[c], T.MapType) else X.quote(c) for c in df.columns]
+    row = (
+        df.selectExpr(f"xxhash64({', '.join(values)}) AS h")
+        .selectExpr(
+            "count(*) AS n",
+            "coalesce(sum(CAST(h AS DECIMAL(38,0))), 0) AS first",
+            "coalesce(sum(CAST(xxhash64(h, 2) AS DECIMAL(38,0))), 0) AS second",
+        )
+        .first()
+    )
     schema = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-    head = df.sparkSession.range(1).select(F.sha2(F.lit(repr((schema, row.n, str(row.h1), str(row.h2)))), 256))
-    return head.first()[0]
+    return hashlib.sha256(repr((schema, row.n, str(row.first), str(row.second))).encode()).hexdigest()
 
 
 def staged_path(folder: str, content_hash: str) -> str:
