@@ -60,6 +60,7 @@ def trim_strings(df: DataFrame) -> DataFrame:
 class Inference:
     """What one scan says about a text column."""
 
+    rows: int
     values: int
     trimmed: int
     date_like: int
@@ -95,6 +96,7 @@ def inspect_text(df: DataFrame, columns: list[str]) -> dict[str, Inference]:
         c = X.quote(name)
         t = X.strip(c)
         return [
+            "count(*)",
             f"count({c})",
             f"count_if({c} <> {t})",
             f"count_if({X.date_like(t)})",
@@ -103,11 +105,11 @@ def inspect_text(df: DataFrame, columns: list[str]) -> dict[str, Inference]:
             *[f"count({X.timestamp(t, f)})" for f in formats],
         ]
 
-    names = ["a", "b", "c", "d", "e", *[f"f{i}" for i in range(len(formats))]]
+    names = ["n", "a", "b", "c", "d", "e", *[f"f{i}" for i in range(len(formats))]]
     found = {}
     for r in per_column(df, columns, aggregates, names).collect():
         dates = {f: r[f"f{i}"] for i, f in enumerate(formats)}
-        found[r["column"]] = Inference(r.a, r.b, r.c, r.d, r.e, dates)
+        found[r["column"]] = Inference(r.n, r.a, r.b, r.c, r.d, r.e, dates)
     return found
 
 
@@ -143,7 +145,7 @@ def _typed(name: str, dtype: T.DataType, found: Inference | None, rows: int, sha
 def infer_types(df: DataFrame, threshold: float = PARSE_SHARE) -> DataFrame:
     """Trim text columns and cast them to timestamps or numbers where enough values parse."""
     found = inspect_text(df, text_columns(df))
-    rows = df.count()
+    rows = max((i.rows for i in found.values()), default=0)
     return df.selectExpr(
         *[
             f"{_typed(f.name, f.dataType, found.get(f.name), rows, threshold)} AS {X.quote(f.name)}"
@@ -266,17 +268,21 @@ def clean(df: DataFrame, share: float = PARSE_SHARE) -> tuple[DataFrame, Cleanin
     columns, dtypes = data_columns(named), X.types_of(named)
 
     found = inspect_text(named, text_columns(named))
-    totals = named.selectExpr("count(*) AS n", f"count_if({empty_row(named)}) AS empty").first()
-    rows = totals.n - totals.empty
     plain = [c for c in columns if c not in found]
     present = {c: i.values for c, i in found.items()}
+    total = max((i.rows for i in found.values()), default=0)
     if plain:
-        present |= {r["column"]: r.present_count for r in missing_counts(named.select(*plain)).collect()}
+        counts = missing_counts(named.select(*[F.col(X.quote(c)) for c in plain])).collect()
+        present |= {r["column"]: r.present_count for r in counts}
+        total = counts[0].row_count
+    # a column without gaps rules out empty rows
+    empty = 0 if total in present.values() else named.where(empty_row(named)).count()
+    rows = total - empty
     kept = [c for c in columns if present[c]]
     removed = [c for c in columns if not present[c]]
 
     casts = {c: _typed(c, dtypes[c], found.get(c), rows, share) for c in kept}
-    typed = named.where(f"NOT ({empty_row(named)})") if totals.empty else named
+    typed = named.where(f"NOT ({empty_row(named)})") if empty else named
     typed = typed.selectExpr(*[f"{casts[c]} AS {X.quote(c)}" for c in kept], ROW)
     missing = {c: rows - _typed_values(found.get(c), present[c], share) for c in kept}
 
@@ -295,11 +301,11 @@ def clean(df: DataFrame, share: float = PARSE_SHARE) -> tuple[DataFrame, Cleanin
         result = materialize(result, "filled")
 
     return result, CleaningSummary(
-        original_rows=totals.n,
+        original_rows=total,
         original_columns=len(originals),
         cleaned_rows=unique_rows,
         cleaned_columns=len(kept),
-        empty_rows_dropped=totals.empty,
+        empty_rows_dropped=empty,
         duplicate_rows_removed=rows - unique_rows,
         missing_values_before=sum(missing.values()),
         missing_values_after=sum(n for c, n in gaps.items() if c not in filled),

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridlore.session import materialize
+from gridlore.session import materialize, small_frame
 
 ROW = "_row"
 BLOCK_ROWS = 1 << 18
@@ -52,9 +52,7 @@ def file_rows(df: DataFrame) -> DataFrame:
         return indexed
     path = F.col("_metadata.file_path")
     counts = df.select(path.alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _running_offsets(counts, "_file", "_n").select("_file", "_before")
-    if len(files) <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
+    offsets = freeze(_running_offsets(counts, "_file", "_n").select("_file", "_before"))
     return (
         df.select("*", path.alias("_file"), F.col("_metadata.row_index").alias("_index"))
         .join(offsets, "_file")
@@ -63,6 +61,17 @@ def file_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def freeze(offsets: DataFrame) -> DataFrame:
+    """Compute an offset table once and broadcast it, if it has at most ``MAX_BROADCAST_FILES`` rows.
+
+    A larger one stays a plan of its own, joined as adaptive execution sees fit.
+    """
+    rows = offsets.limit(MAX_BROADCAST_FILES + 1).collect()
+    if len(rows) > MAX_BROADCAST_FILES:
+        return offsets
+    return F.broadcast(small_frame(offsets.sparkSession, [tuple(r) for r in rows], offsets.schema))
+
+
 def _running_offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
     """Prefix sums over a table of one row per file, block or partition."""
     earlier = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

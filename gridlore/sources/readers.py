@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from gridlore.functions import exprs as X
-from gridlore.operators.ordering import MAX_BROADCAST_FILES, ROW, file_rows
+from gridlore.operators.ordering import ROW, file_rows, freeze
 from gridlore.session import small_frame
 
 # Texts that stand for a missing value in delimited files.
@@ -97,10 +97,8 @@ def split_rows(df: DataFrame) -> DataFrame:
     offsets = splits.select(
         "_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")).alias("_before")
     )
-    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     return (
-        tagged.join(offsets, ["_file", "_start"])
+        tagged.join(freeze(offsets), ["_file", "_start"])
         .withColumn(ROW, F.col("_before") + F.col("_id") - F.col("_first"))
         .drop("_file", "_start", "_id", "_first", "_before")
     )
