@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridlore.functions import exprs as X
 from gridlore.operators.profile import NumericStats, _chunks, columns_of, numeric_stats
-from gridlore.session import run_sql, small_frame
+from gridlore.session import run_parts, small_frame
 
 RAW_COLUMN_LIMIT = 8
 PAIR_SCHEMA = "left_column string, right_column string, left_position int, right_position int, correlation double"
@@ -74,7 +74,7 @@ def correlation_pairs(
                 f"{i} AS left_position, {j} AS right_position, {r} AS correlation)"
             )
         parts.append(f"SELECT inline(array({', '.join(cells)})) FROM (SELECT {aggs}, count(*) FROM (SELECT {values} FROM {{t}}))")
-    return run_sql(df.sparkSession, " UNION ALL ".join(parts), t=df)
+    return run_parts(df.sparkSession, parts, t=df)
 
 
 def heatmap(pairs: DataFrame, columns: list[str]) -> DataFrame:

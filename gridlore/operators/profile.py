@@ -15,7 +15,7 @@ from gridlore.functions import exprs as X
 from gridlore.functions.names import unique_names
 from gridlore.operators.ordering import ROW, data_columns, require_row
 from gridlore.operators.quantiles import exact_quantiles
-from gridlore.session import run_sql, small_frame
+from gridlore.session import run_parts, run_sql, small_frame
 
 AGGREGATES_PER_SCAN = 48  # keeps an aggregate's buffers under spark.sql.codegen.maxFields
 HEAD_ROWS = 1000
@@ -92,7 +92,7 @@ def per_column(df: DataFrame, columns: list[str], aggregates, fields: list[str])
             aggs += [f"{a} AS {f}_{i}" for f, a in zip(fields, aggregates(name))]
             cells.append(f"struct({X.text(name)} AS column, " + ", ".join(f"{f}_{i} AS {f}" for f in fields) + ")")
         parts.append(f"SELECT inline(array({', '.join(cells)})) FROM (SELECT {', '.join(aggs)} FROM {{t}})")
-    return run_sql(df.sparkSession, " UNION ALL ".join(parts), t=df)
+    return run_parts(df.sparkSession, parts, t=df)
 
 
 def missing_counts(df: DataFrame, mode: str = "clean") -> DataFrame:
@@ -139,7 +139,7 @@ def value_groups(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             FROM (SELECT value, count(*) AS n FROM (SELECT {value} AS value FROM {{t}})
                   WHERE value IS NOT NULL GROUP BY value)"""
         )
-    return run_sql(df.sparkSession, " UNION ALL ".join(branches), t=df)
+    return run_parts(df.sparkSession, branches, t=df)
 
 
 def approximate_distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, types as T
 
 from gridlore.functions.exprs import double, number, quote, text, types_of
-from gridlore.session import run_sql, small_frame
+from gridlore.session import PARTS_PER_JOB, run_sql, small_frame
 
 SMALL_ROWS = 200_000
 CELLS = 2048
@@ -148,7 +148,11 @@ def exact_quantiles(
         ).first()
         return {c: row[f"q{k}"] or [None] * len(probabilities) for k, c in enumerate(columns)}
     ranks = {key: [r for p in probabilities for r in _spot(n, p)[:2]] for key, (n, _, _) in known.items() if n}
-    at = pick_ranks(df, columns, ranks, {key: (lo, hi) for key, (n, lo, hi) in known.items() if n})
+    at: dict[tuple[int, int], float] = {}
+    keys = list(ranks)
+    for i in range(0, len(keys), PARTS_PER_JOB):
+        group = {k: ranks[k] for k in keys[i : i + PARTS_PER_JOB]}
+        at |= pick_ranks(df, columns, group, {k: known[k][1:] for k in group})
     result: dict[str, list[float | None]] = {}
     for key, name in enumerate(columns):
         n = known[key][0]

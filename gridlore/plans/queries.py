@@ -747,7 +747,7 @@ def v2(spark, folder):
     """WITH c AS (SELECT p_name AS category, count(*) AS count FROM part GROUP BY 1),
        t AS (SELECT * FROM c ORDER BY count DESC, category LIMIT 5)
        SELECT * FROM t UNION ALL
-       SELECT 'Other', (SELECT sum(count) FROM c) - (SELECT sum(count) FROM t) WHERE (SELECT sum(count) FROM c) > (SELECT sum(count) FROM t)""",
+       SELECT 'Other', CAST((SELECT sum(count) FROM c) - (SELECT sum(count) FROM t) AS BIGINT) WHERE (SELECT sum(count) FROM c) > (SELECT sum(count) FROM t)""",
 )
 def v3(spark, folder):
     return V.pie(table(spark, folder, "part"), "p_name")
@@ -971,8 +971,8 @@ def m2(spark, folder):
          (SELECT stddev_pop(o_totalprice) FROM orders), 4) AS total_scaled,
        round((epoch(o_orderdate) - (SELECT avg(epoch(o_orderdate)) FROM orders)) /
          (SELECT stddev_pop(epoch(o_orderdate)) FROM orders), 4) AS date_scaled,
-       CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS is_f, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS is_o,
-       CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END AS is_p FROM orders""",
+       CAST(o_orderstatus = 'F' AS DOUBLE) AS is_f, CAST(o_orderstatus = 'O' AS DOUBLE) AS is_o,
+       CAST(o_orderstatus = 'P' AS DOUBLE) AS is_p FROM orders""",
 )
 def m3(spark, folder):
     orders = table(spark, folder, "orders").select("o_totalprice", "o_orderdate", "o_orderstatus", "o_orderkey")

@@ -20,8 +20,13 @@ SECTIONS = (
     "overview", "columns", "preview_rows", "cleaning", "summary_statistics", "correlations", "strongest_pairs",
     "outliers", "trends", "charts", "modeling", "narrative", "kpis", "snapshot",
 )
+# Section sizes and card texts.
 SNAPSHOT_COLUMNS = 8
 PREVIEW_ROWS = 12
+ROWS_CARD, MISSING_CARD, PAIR_CARD = "Rows", "Missing values", "Strongest pair"
+ROWS_NOTE = "{:,} columns profiled"
+MISSING_NOTE = "Across the current analytics profile"
+NO_PAIR_VALUE, NO_PAIR_NOTE = "N/A", "Need two numeric columns"
 
 
 class Report:
@@ -141,12 +146,13 @@ class Report:
     def kpis(self) -> DataFrame:
         """Rows, missing values and the strongest pair, one row each."""
         s, best = self.summary, self.strongest_pairs(1).first()
-        pair = ("Strongest pair", f"{best.correlation or 0.0:.2f}", f"{best.left_column} x {best.right_column}") if best else (
-            "Strongest pair", "N/A", "Need two numeric columns")
+        value, note = NO_PAIR_VALUE, NO_PAIR_NOTE
+        if best:
+            value, note = f"{best.correlation or 0.0:.2f}", f"{best.left_column} x {best.right_column}"
         rows = [
-            ("Rows", f"{s.cleaned_rows:,}", f"{s.cleaned_columns:,} columns profiled"),
-            ("Missing values", f"{s.missing_values_before:,}", "Across the current analytics profile"),
-            pair,
+            (ROWS_CARD, f"{s.cleaned_rows:,}", ROWS_NOTE.format(s.cleaned_columns)),
+            (MISSING_CARD, f"{s.missing_values_before:,}", MISSING_NOTE),
+            (PAIR_CARD, value, note),
         ]
         return small_frame(self.spark, rows, "label string, value string, note string")
 
@@ -155,7 +161,7 @@ class Report:
 
     def section(self, name: str) -> DataFrame:
         if name not in SECTIONS:
-            raise ValueError("Requested report section is not supported.")
+            raise ValueError("There is no such section.")
         return getattr(self, name)()
 
     def payload(self, sections: tuple[str, ...] = SECTIONS) -> dict[str, list[dict]]:
@@ -206,11 +212,11 @@ def analyze(
         raise ValueError(f"mode is one of {profile.MODES}")
     source = with_row(df, order_by)
     if source.isEmpty():
-        raise ValueError("The dataset is empty after parsing. Please upload a file with records.")
+        raise ValueError("The table has no rows.")
     if mode == "clean":
         frame, summary = cleaning.clean(source)
         if not summary.cleaned_rows or not summary.cleaned_columns:
-            raise ValueError("The dataset is empty after cleaning. Please provide rows with actual values.")
+            raise ValueError("Cleaning leaves no values.")
     else:
         counts = profile.missing_counts(source, "raw").collect()
         missing = {r["column"]: r.missing_count for r in counts}
@@ -218,7 +224,7 @@ def analyze(
         frame = cleaning.normalize_columns(source).drop(*summary.removed_columns)
     wanted = normalize_name(target) if target else None
     if wanted and wanted not in frame.columns:
-        raise ValueError(f"Target column '{target}' was not found after cleaning.")
+        raise ValueError(f"There is no column '{target}' to model.")
     return Report(frame, summary, name, wanted, mode, charts, modeling, max_rows)
 
 

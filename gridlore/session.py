@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+PARTS_PER_JOB = 32
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the one setting results depend on: timestamps are read and shown in UTC."""
@@ -67,3 +69,19 @@ def run_sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     for name in frames:
         text = text.replace("{{" + name + "}}", "{" + name + "}")
     return spark.sql(text, **frames)
+
+
+def run_parts(spark: SparkSession, parts: list[str], **frames: DataFrame) -> DataFrame:
+    """The union of many small aggregate queries over the same tables.
+
+    Up to ``PARTS_PER_JOB`` stay one lazy plan. More, as very wide tables need, are run in
+    batches, so that no plan grows with the number of columns; the parts' results are small.
+    """
+    if len(parts) <= PARTS_PER_JOB:
+        return run_sql(spark, " UNION ALL ".join(parts), **frames)
+    rows, schema = [], None
+    for i in range(0, len(parts), PARTS_PER_JOB):
+        batch = run_sql(spark, " UNION ALL ".join(parts[i : i + PARTS_PER_JOB]), **frames)
+        schema = schema or batch.schema
+        rows += [tuple(r) for r in batch.collect()]
+    return small_frame(spark, rows, schema)

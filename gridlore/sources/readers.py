@@ -44,7 +44,7 @@ def read_csv(
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     if not raw.columns:
-        raise ValueError("The uploaded file is empty.")
+        raise ValueError("The file has no content.")
     na = ", ".join(X.text(t) for t in NA_TEXTS)
     numbered = split_rows(raw)
     cleaned = [f"CASE WHEN {X.quote(c)} NOT IN ({na}) THEN {X.quote(c)} END AS {X.quote(c)}" for c in raw.columns]
@@ -61,9 +61,9 @@ def read_json(spark: SparkSession, path: str | list[str], multi_line: bool | Non
         multi_line = bool(first) and (first[0].value.lstrip().startswith("[") or not _is_record(first[0].value))
     raw = spark.read.json(path, multiLine=multi_line)
     if not raw.columns:
-        raise ValueError("The uploaded JSON file could not be parsed.")
+        raise ValueError("The JSON cannot be parsed.")
     if raw.columns == ["_corrupt_record"]:
-        raise ValueError("The uploaded JSON file could not be parsed.")
+        raise ValueError("The JSON cannot be parsed.")
     nested = (T.ArrayType, T.MapType, T.StructType)
     flat = [
         f"to_json({X.quote(f.name)}) AS {X.quote(f.name)}" if isinstance(f.dataType, nested) else X.quote(f.name)
@@ -120,7 +120,7 @@ def from_rows(spark: SparkSession, columns: list[str], rows: list[dict]) -> Data
     kept = [[tidy(row.get(c)) for c in asked] for row in rows]
     kept = [values for values in kept if any(v not in blank for v in values)]
     if not kept:
-        raise ValueError("Manual entry needs at least one populated row.")
+        raise ValueError("At least one row with a value is needed.")
     fields = []
     for i, name in enumerate(names):
         kinds = {type(values[i]) for values in kept} - {type(None)}

@@ -143,7 +143,7 @@ def read_workbooks(spark: SparkSession, path: str | list[str], glob: str = "*.xl
     headers = cells.where("number = 0").select("path", "cells")
     first = headers.orderBy("path").limit(1).collect()
     if not first:
-        raise ValueError("The uploaded file is empty.")
+        raise ValueError("The workbook has no rows.")
     other = headers.where(F.col("cells") != F.array(*[F.lit(c) for c in first[0].cells])).limit(1).collect()
     if other:
         raise ValueError(f"{other[0].path} has another header than {first[0].path}.")

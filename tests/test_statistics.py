@@ -11,6 +11,7 @@ from gridlore.operators import correlation as R
 from gridlore.operators import modeling as M
 from gridlore.operators import outliers as O
 from gridlore.operators import profile as D
+from gridlore.operators import quantiles as Q
 from gridlore.operators import sampling as K
 from gridlore.operators import trends as T
 from gridlore.operators.ordering import ROW
@@ -74,6 +75,9 @@ def test_wide_tables(spark):
     columns = [f"CAST(id * {i % 7 + 1} % {i + 2} AS DOUBLE) AS c{i}" for i in range(60)]
     df = spark.range(200).selectExpr(*columns, f"id AS {ROW}")
     assert D.numeric_summary(df).count() == 60
+    assert {r["column"]: r.unique_values for r in D.value_groups(df).collect()}["c0"] == 2
+    for small_rows in (0, 10**6):  # both quantile paths, in batches of columns
+        assert len(Q.exact_quantiles(df, df.columns[:-1], [0.5], small_rows=small_rows)) == 60
     assert R.correlation_pairs(df).count() == 60 * 59 // 2
     assert D.missing_counts(df).count() == 60
 
