@@ -91,23 +91,28 @@ def inspect_text(df: DataFrame, columns: list[str]) -> dict[str, Inference]:
     if not columns:
         return {}
     formats = list(X.DATE_FORMATS)
+    place = {c: i for i, c in enumerate(columns)}
+    # trimmed once per value; only values with a date mark are held against the date formats
+    trimmed = df.selectExpr(
+        *[f"{X.strip(X.quote(c))} AS t{i}" for c, i in place.items()],
+        *[f"{X.quote(c)} AS c{i}" for c, i in place.items()],
+    ).selectExpr("*", *[f"{X.date_like(f't{i}')} AS m{i}" for i in place.values()])
 
     def aggregates(name):
-        c = X.quote(name)
-        t = X.strip(c)
+        i = place[name]
         return [
             "count(*)",
-            f"count({c})",
-            f"count_if({c} <> {t})",
-            f"count_if({X.date_like(t)})",
-            f"count({X.double(t)})",
-            f"count_if({t} RLIKE {X.text(X.INTEGER_PATTERN)})",
-            *[f"count({X.timestamp(t, f)})" for f in formats],
+            f"count(t{i})",
+            f"count_if(c{i} <> t{i})",
+            f"count_if(m{i})",
+            f"count({X.double(f't{i}')})",
+            f"count_if(t{i} RLIKE {X.text(X.INTEGER_PATTERN)})",
+            *[f"count(CASE WHEN m{i} THEN {X.timestamp(f't{i}', f)} END)" for f in formats],
         ]
 
     names = ["n", "a", "b", "c", "d", "e", *[f"f{i}" for i in range(len(formats))]]
     found = {}
-    for r in per_column(df, columns, aggregates, names).collect():
+    for r in per_column(trimmed, columns, aggregates, names).collect():
         dates = {f: r[f"f{i}"] for i, f in enumerate(formats)}
         found[r["column"]] = Inference(r.n, r.a, r.b, r.c, r.d, r.e, dates)
     return found
