@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import exact_dedup, near_dedup, packing, secret_scan
+from gridlore.llm import exact_dedup, html_extract, near_dedup, neighbours, packing, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,11 +32,21 @@ def op3_minmax_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.link_documents(_table(spark, folder, "documents"), width=4)
 
 
+@query
+def op4_style_tree_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, folder, "pages"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, folder, "documents")).drop("bounds")
 
 
+@query
+def op6_adaptive_scan_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"))
+
+
 @query
 def op9_content_sort_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.content_sort(_table(spark, folder, "documents"))
