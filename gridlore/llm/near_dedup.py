@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gridlore.llm.preselect import of_ids
 from gridlore.llm.textkit import mix, shingle_sets, slices, text_buffers
 from gridlore.session import materialize
 
@@ -31,8 +32,6 @@ SLACK = 0.15
 """A pair is dropped unverified if its estimate, from 128 signature bytes, is this much under the threshold (over 4 standard deviations)."""
 BLOCK = 64
 """Buckets of more nodes are searched in pairs of blocks, with sets at hand."""
-BITMAP_WORDS = 1 << 17
-"""Size bound of the bitmap that preselects candidate documents; what it lets through in excess is dropped by a join."""
 
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mix(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64))
@@ -106,26 +105,9 @@ def _sets(width: int):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int, label: str) -> DataFrame:
-    """Shingle sets of the documents in ``ids`` (id), written once.
-
-    A bitmap over hashed ids, of a fixed size, is joined to the scan first, so texts that aren't
-    needed go through no shuffle.
-    """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS * 64))
-    words = (
-        ids.select(bit(F.col("id")).alias("b"))
-        .groupBy(F.expr("b div 64").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
-    )  # at most BITMAP_WORDS rows of 16 bytes
-    chosen = (
-        docs.select("doc_id", "text", bit(F.col("doc_id")).alias("b"))
-        .withColumn("w", F.expr("b div 64"))
-        .join(F.broadcast(words), "w")
-        .where("(shiftright(bits, cast(b % 64 as int)) & 1) = 1")
-        .select("doc_id", "text")
-    )
-    sets = chosen.mapInArrow(_sets(width), "id long, shingles array<long>")
-    return materialize(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), label)
+    """Shingle sets of the documents in ``ids`` (id), written once."""
+    sets = of_ids(docs, ids).mapInArrow(_sets(width), "id long, shingles array<long>")
+    return materialize(sets.dropDuplicates(["id"]), label)
 
 
 def _estimates(threshold: float):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlore.llm import exact_dedup, html_extract, near_dedup, neighbours, packing, secret_scan
+from gridlore.llm import exact_dedup, html_extract, lm_scoring, near_dedup, neighbours, packing, piece_codec, quality, secret_scan, toxicity
+
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +26,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit(_table(spark, folder, "documents"))
@@ -47,11 +56,30 @@ def op6_adaptive_scan_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(_table(spark, folder, "embeddings"))
 
 
+@query
+def op7_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.grade(docs, toxicity.fit(docs, _table(spark, folder, "labels")))
+
+
+@query
+def op8_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """The model file lies on the driver and goes to the tasks from there."""
+    return piece_codec.encode(_table(spark, folder, "documents"), Path(PIECE_MODEL).read_bytes())
+
+
 @query
 def op9_content_sort_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.content_sort(_table(spark, folder, "documents"))
 
 
+@query
+def op10_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """The target is the text labelled good and not toxic; the background is everything."""
+    wanted = _table(spark, folder, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
+    return lm_scoring.cross_entropy_difference(_table(spark, folder, "documents"), wanted)
+
+
 ORACLES["op9_content_sort_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
