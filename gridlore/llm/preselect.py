@@ -27,4 +27,5 @@ def of_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
         .where("(shiftright(_bits, cast(_b % 64 as int)) & 1) = 1")
         .drop("_b", "_w", "_bits")
     )
-    return chosen.join(ids.select(F.col("id").alias(key)), key, "left_semi")
+    # an inner join: the planner would move a semi join below the bitmap
+    return chosen.join(ids.select(F.col("id").alias(key)), key)
