@@ -30,8 +30,10 @@ BAND_PERMUTATIONS = 2
 BANDS = PERMUTATIONS // BAND_PERMUTATIONS
 SLACK = 0.15
 """A pair is dropped unverified if its estimate, from 128 signature bytes, is this much under the threshold (over 4 standard deviations)."""
-BLOCK = 64
-"""Buckets of more nodes are searched in pairs of blocks, with sets at hand."""
+SMALL = 64
+"""Buckets of up to this many nodes report candidates; larger ones are searched with full sets at hand."""
+BLOCK = 512
+"""Nodes of a large bucket that a task holds at a time, from either side."""
 
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mix(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64))
@@ -278,25 +280,26 @@ def link_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
 
     marked = entries.where("c > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     marked = materialize(marked, "buckets")
-    open_keys = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = marked.join(open_keys, "key").join(classes.select("rep", "n", "bands", "sig"), "rep")
-    rest = materialize(rest, "open-buckets")
-    blocks = F.ceil(F.col("c") / BLOCK)
-    dealt = rest.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    main = F.max(F.when(F.col("rep") == F.col("lead"), F.col("comp"))).alias("main")
+    open_keys = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), main).where("x <> y").select("key", "main")
+    rest = materialize(marked.join(open_keys, "key").withColumn("out", F.col("comp") != F.col("main")), "open-buckets")
+    many = rest.where(F.col("c") > SMALL).groupBy("key").agg(*[F.ceil(F.sum((F.col("out") == o).cast("int")) / BLOCK).cast("int").alias(n) for o, n in ((False, "mains"), (True, "outs"))])
+    payload = classes.select("rep", "n", "bands", "sig")
     order = ["key", "i", "j"]
-    small = dealt.where("blocks = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "rep", "n", "comp", "bands", "sig")
+    small = rest.where(F.col("c") <= SMALL).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "rep", "comp").join(payload, "rep")
     found = small.repartition(*order).sortWithinPartitions(*order).mapInArrow(_search(False, threshold), "a long, b long").distinct()
     more = confirmed(found)
-    large = dealt.where("blocks > 1")
-    ids = large.select(F.col("rep").alias("id")).distinct()
-    sets = _sets_of(docs, ids, width, "sets").withColumnRenamed("id", "rep")
-    # each block meets itself and every other one; the side says which of the two a row belongs to
-    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        "rep", "n", "comp", "bands", "sig",
+    large = rest.join(many, "key")
+    sets = _sets_of(docs, large.select(F.col("rep").alias("id")).distinct(), width, "sets").withColumnRenamed("id", "rep")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    # nodes outside the leader's component, in blocks, meet its blocks (numbered from -1 down) and each other's
+    inner = large.where("not out").select("key", (-1 - block("mains")).alias("i"), F.explode(F.expr("sequence(0, outs - 1)")).alias("j"), F.lit(0).alias("side"), "rep", "comp")
+    outer = large.where("out").withColumn("own", block("outs")).withColumn("other", F.explode(F.expr("sequence(-mains, outs - 1)")))
+    outer = outer.select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.expr("case when own = other then 2 when own < other then 0 else 1 end").alias("side"), "rep", "comp",
     )
-    met = met.join(sets, "rep").repartition(*order).sortWithinPartitions(*order)
+    met = inner.union(outer).join(payload, "rep").join(sets, "rep").repartition(*order).sortWithinPartitions(*order)
     links = materialize(links.union(more).union(met.mapInArrow(_search(True, threshold), "a long, b long")).distinct(), "links")
     labels = components(links)
 
