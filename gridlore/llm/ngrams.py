@@ -106,8 +106,43 @@ def _discounts(grams: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), found)]
 
 
-def fit(grams: DataFrame) -> np.ndarray:
-    """Log probabilities (natural, single precision) of all CELLS n-grams, from their counts.
+class Model:
+    """Discounted probabilities of the n-grams seen and weights of their contexts, per order.
+
+    That is what is sent to tasks; a task lays out the full table once.
+    """
+
+    def __init__(self) -> None:
+        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {"orders": self.orders, "_table": None}
+
+    @property
+    def table(self) -> np.ndarray:
+        """Log probabilities (natural, single precision) of all CELLS n-grams."""
+        if self._table is None:
+            table = np.full(1, 1 / CLASSES, dtype=np.float32)
+            for k, (code, own, rest) in enumerate(self.orders):
+                lower, table = table, np.zeros(CLASSES ** (k + 1), dtype=np.float32)
+                table[code] = own
+                weight = np.ones(CLASSES**k, dtype=np.float32)
+                weight[code // CLASSES] = rest
+                rows = table.reshape(-1, CLASSES)
+                if k == 0:
+                    rows += weight[:, None] * lower
+                else:
+                    # contexts that differ in their first character alone share the lower order's rows
+                    lower = lower.reshape(-1, CLASSES)
+                    for at in range(0, len(rows), len(lower)):
+                        rows[at : at + len(lower)] += weight[at : at + len(lower), None] * lower
+            self._table = np.log(table, out=table)
+        return self._table
+
+
+def fit(grams: DataFrame) -> Model:
+    """A model from counts of n-grams of the highest order.
 
     Lower orders count the distinct characters before an n-gram. Each order's discounted counts are
     joined to the sums of their contexts; what reaches the driver is bounded by CELLS.
@@ -115,20 +150,17 @@ def fit(grams: DataFrame) -> np.ndarray:
     levels = [grams]
     for k in range(ORDER - 1, 0, -1):
         levels.append(materialize(levels[-1].groupBy((F.col("code") % CLASSES**k).alias("code")).agg(F.count(F.lit(1)).alias("c")), f"order{k}"))
-    table = np.full(1, 1 / CLASSES)
-    for k, level in enumerate(reversed(levels), start=1):
+    model = Model()
+    for level in reversed(levels):
         d = _discounts(level)
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         context = F.expr(f"code div {CLASSES}")
         sums = level.groupBy(context.alias("context")).agg(F.sum("c").alias("all"), F.sum(cut).alias("freed"))
         kept = level.withColumn("context", context).join(sums, "context")
-        kept = kept.select("code", ((F.col("c") - cut) / F.col("all")).alias("a"), (F.col("freed") / F.col("all")).alias("g")).toArrow()
-        own, rest = np.zeros(CLASSES**k), np.ones(CLASSES ** (k - 1))
-        code = kept.column("code").to_numpy()
-        own[code] = kept.column("a").to_numpy()
-        rest[code // CLASSES] = kept.column("g").to_numpy()
-        table = own + np.repeat(rest, CLASSES) * (np.tile(table, CLASSES) if k > 1 else np.repeat(table, CLASSES))
-    return np.log(table).astype(np.float32)
+        own, rest = ((F.col("c") - cut) / F.col("all")).cast("float"), (F.col("freed") / F.col("all")).cast("float")
+        kept = kept.select(F.col("code").cast("int").alias("code"), own.alias("own"), rest.alias("rest")).toArrow()
+        model.orders.append(tuple(kept.column(c).to_numpy() for c in ("code", "own", "rest")))
+    return model
 
 
 def mean_log(table: np.ndarray, code: np.ndarray, starts: np.ndarray) -> np.ndarray:
