@@ -13,9 +13,8 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from gridlore.llm.textkit import slices
 
@@ -213,11 +212,14 @@ def mask(text: str | None) -> str | None:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets in its texts masked and ``n_chars`` kept in step; no row is dropped."""
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(mask)
-
-    text = masked(F.col("text"))
-    columns = {"text": text}
-    out = docs.withColumns(columns)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts = [mask(t) for t in batch.column("text").to_pylist()]
+                columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+                columns["text"] = pa.array(texts, batch.schema.field("text").type)
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts]).cast(batch.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -32,7 +31,7 @@ LEXICON_ODDS = 3.0
 RIDGE = 1.0
 STEPS = 200
 DECISION = 0.5
-MEMO = 1 << 19
+MEMO = 1 << 17
 _EDGES = string.punctuation + "¡¿«»„“”‘’…–—"
 
 
@@ -183,11 +182,11 @@ def _probabilities(model: Model | None, texts: list[str | None], memo: dict[str,
 def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` without the rows judged toxic; all its columns, no shuffle."""
 
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
-        for texts in batches:
-            p = _probabilities(model, texts.tolist(), memo)
-            yield pd.Series(1 - p[:, 0] < DECISION)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                p = _probabilities(model, batch.column("text").to_pylist(), memo)
+                yield batch.filter(pa.array(1 - p[:, 0] < DECISION))
 
-    return docs.where(clean(F.col("text")))
+    return docs.mapInArrow(run, docs.schema)
