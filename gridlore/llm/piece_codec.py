@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer, decoders, models, normalizers
@@ -20,8 +21,10 @@ from tokenizers import Tokenizer, decoders, models, normalizers
 from gridlore.llm.textkit import slices
 
 MARK = "▁"
-MEMO = 1 << 18
+MEMO = 1 << 20
 """Distinct segments that a task remembers; beyond it, it starts afresh."""
+BATCH = 1 << 14
+"""Segments encoded in one call."""
 # Fixed values of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -133,7 +136,8 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         self.independent = self.model.splits()
-        self.memo: dict[str, tuple[list[int], bool]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.lossy: set[str] = set()
         self.control = {i for i, (_, _, t) in enumerate(self.model.pieces) if t == CONTROL}
 
     def normalise(self, text: str) -> str:
@@ -145,25 +149,33 @@ class Codec:
             return ""
         return (MARK if self.model.add_prefix else "") + text.replace(" ", MARK)
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[bool]]:
+    def _learn(self, segments: list[str]) -> None:
+        """Encode distinct segments as one batch, remember their ids as bytes, and whether they decode to themselves."""
+        found = self.tokenizer.encode_batch([segments], is_pretokenized=True, add_special_tokens=False)[0]
+        ids, starts = np.array(found.ids, dtype=np.int32), np.searchsorted(np.array(found.word_ids), np.arange(len(segments) + 1)).tolist()
+        pieces, raw, flat, doubtful = self.model.pieces, ids.tobytes(), ids.tolist(), []
+        for segment, a, b in zip(segments, starts, starts[1:]):
+            self.memo[segment] = raw[4 * a : 4 * b]
+            if "".join([pieces[i][0] for i in flat[a:b]]) != segment:
+                doubtful.append((segment, flat[a:b]))
+        back = self.tokenizer.decode_batch([ids for _, ids in doubtful], skip_special_tokens=False)
+        self.lossy.update(s for (s, _), text in zip(doubtful, back) if text != s.replace(MARK, " "))
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether they decode to its normalised form."""
         cut = [_SEGMENT.findall(t) if self.independent else [t] * bool(t) for t in (self.normalise(t or "") for t in texts)]
-        memo = self.memo
-        missing = list({s for parts in cut for s in parts if s not in memo})
+        missing = list({s for parts in cut for s in parts if s not in self.memo})
         if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
+            if len(self.memo) + len(missing) > MEMO:
+                self.memo.clear()
+                self.lossy.clear()
                 missing = list({s for parts in cut for s in parts})
-            # the library deals a batch out to its own threads
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
-            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            memo.update((s, (i, b == s.replace(MARK, " "))) for s, i, b in zip(missing, ids, back))
-        out, same = [], []
-        for parts in cut:
-            found = [memo[s] for s in parts]
-            out.append([i for ids, _ in found for i in ids])
-            same.append(all(ok for _, ok in found))
-        return out, same
+            # the library deals batches out to its own threads
+            for at in range(0, len(missing), BATCH):
+                self._learn(missing[at : at + BATCH])
+        known = self.memo.__getitem__
+        out = [np.frombuffer(b"".join(map(known, parts)), dtype=np.int32) for parts in cut]
+        return out, [self.lossy.isdisjoint(parts) for parts in cut] if self.lossy else [True] * len(cut)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of id lists; control pieces are silent, the space that encoding put first is dropped."""
@@ -207,9 +219,11 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
             for batch in slices(whole, "text"):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 ids, same = codec.encode(texts)
-                parity = [a == b for a, b in zip(ids, reference.encode(texts, num_threads=1))]
+                parity = [a.tolist() == b for a, b in zip(ids, reference.encode(texts, num_threads=1))]
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same), pa.array(parity)],
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array(same), pa.array(parity)],
                     schema=schema,
                 )
 
