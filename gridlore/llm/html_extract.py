@@ -190,7 +190,9 @@ def extract(page: str | None, noise: set[int] | frozenset[int] = frozenset()) ->
     blocks, _ = parse(page or "")
     chosen = [b for b in blocks if not b.frame and b.main]
     if not chosen:
-        chosen = [b for b in blocks if not b.frame and noise.isdisjoint(b.path)]
+        rest = [b for b in blocks if not b.frame]
+        # a page on which nothing stands out is kept whole
+        chosen = [b for b in rest if not b.path or b.path[-1] not in noise] or rest
     return " ".join(b.text for b in chosen)
 
 

@@ -107,9 +107,11 @@ class PieceModel:
         """Encoder of normalised segments, and decoder."""
         unknown = self.pieces[self.unknown][0]
         if self.kind == UNIGRAM:
-            # control and unused pieces never come from text
-            low = min((s for _, s, t in self.pieces if t == NORMAL), default=0.0) - 1e6
-            vocabulary = [(p, s if t in (NORMAL, UNKNOWN) else low) for p, s, t in self.pieces]
+            # control and unused pieces never come from text, so they get names that no text has; byte pieces must
+            # keep theirs, and a text that spells one out may differ, as parity then shows
+            low = min((s for _, s, t in self.pieces if t == NORMAL), default=0.0)
+            hidden = lambda i, p, t: f"\0{i}\0{p}" if t in (CONTROL, UNUSED) else p
+            vocabulary = [(hidden(i, p, t), s if t == NORMAL else low) for i, (p, s, t) in enumerate(self.pieces)]
             model = models.Unigram(vocabulary, unk_id=self.unknown, byte_fallback=self.byte_fallback)
         else:
             ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
