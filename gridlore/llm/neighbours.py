@@ -19,17 +19,19 @@ from gridlore.session import materialize
 
 FIT_ROWS = 20_000
 """Rows, of smallest hash, that the lists' centres are fitted on; every row is indexed."""
-ROWS_PER_LIST = 200
-MAX_LISTS = 4_096
-"""Bound of the centres that every task holds."""
+ROWS_PER_LIST = 160
+MAX_LISTS = 64
+"""Bound of the lists, and so of the partial answers that a query gathers."""
 PROBED_SHARE = 0.65
 LEAST_PROBED = 12
 BLOCK_DIMENSIONS = 16
 SIGNIFICANCE = 2.1
 """How far, in units of 1 / sqrt(scanned dimensions), a partial distance must be off to drop a candidate."""
+SPARSE = 0.1
+"""Share of candidates left below which they are picked one by one."""
 QUERY_ROWS = 256
 """Queries scanned together."""
-CHUNK_ROWS = 4_096
+CHUNK_ROWS = 8_192
 """Vectors of a list held by one task; larger lists are cut, and queries visit every part."""
 
 
@@ -84,12 +86,22 @@ def scan_list(queries: np.ndarray, blocks: list[np.ndarray], k: int) -> tuple[np
         start += b.shape[1]
     bar = bar.max(axis=1)
     likely = lambda x, limit: x * (total / at) <= limit * (1 + SIGNIFICANCE / np.sqrt(at)) ** 2
-    query, row = np.nonzero(likely(partial, bar[:, None]))
+    rest = blocks[1:]
+    while rest:
+        keep = likely(partial, bar[:, None])
+        if keep.mean() < SPARSE:
+            break
+        # while most candidates are left, a product of whole blocks is cheaper than picking rows
+        partial[~keep] = np.inf
+        b, own = rest[0], queries[:, at : at + rest[0].shape[1]]
+        partial += (b**2).sum(axis=1) - 2 * own @ b.T + (own**2).sum(axis=1)[:, None]
+        at, rest = at + b.shape[1], rest[1:]
+    query, row = np.nonzero(keep if rest else partial <= bar[:, None] * (1 + 1e-4))
     partial = partial[query, row]
-    for b in blocks[1:]:
+    for b in rest:
         partial = partial + ((b[row] - queries[query, at : at + b.shape[1]]) ** 2).sum(axis=1)
         at += b.shape[1]
-        keep = likely(partial, bar[query]) if at < total else partial <= bar[query] * (1 + 1e-6)
+        keep = likely(partial, bar[query]) if at < total else partial <= bar[query] * (1 + 1e-4)
         query, row, partial = query[keep], row[keep], partial[keep]
     return query, row
 
@@ -161,11 +173,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             return pd.DataFrame({"asked": [], "vec_id": [], "score": []})
         own = own.sort_values("vec_id", ignore_index=True)
         x, ids, q = np.stack(own["v"].to_numpy()), own["vec_id"].to_numpy(), np.stack(asking["v"].to_numpy())
-        rotated = placed(x)
+        rotated = placed(x).astype(np.float32)  # the scan only selects; scores are exact
         blocks = [np.ascontiguousarray(rotated[:, a : a + BLOCK_DIMENSIONS]) for a in range(0, d + 1, BLOCK_DIMENSIONS)]
         asked_ids, out = asking["vec_id"].to_numpy(), []
         for at in range(0, len(q), QUERY_ROWS):
-            query, row = scan_list(placed(q[at : at + QUERY_ROWS], True), blocks, k + 1)
+            query, row = scan_list(placed(q[at : at + QUERY_ROWS], True).astype(np.float32), blocks, k + 1)
             score = (x[row] * q[at + query]).sum(axis=1)
             order = np.lexsort((ids[row], -score, query))
             query, row, score = query[order], row[order], score[order]
