@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -91,6 +92,8 @@ class ReportStore:
     ) -> tuple[str, bool]:
         """(report id, reused): link to the finished analysis of the same data, or run and store one."""
         content_hash = fingerprint(df)
+        if options:  # another choice of options makes another report
+            content_hash += "-" + hashlib.sha256(repr(sorted(options.items())).encode()).hexdigest()[:16]
         wanted = normalize_name(target) if target else None
         known = self.find(content_hash, wanted, mode).first()
         if known:

@@ -18,12 +18,14 @@ def fingerprint(df: DataFrame) -> str:
     """
     dtypes = X.types_of(df)
     values = [f"to_json({X.quote(c)})" if isinstance(dtypes[c], T.MapType) else X.quote(c) for c in df.columns]
+    # the hash skips nulls, so their places are hashed too; the second hash starts from another seed
+    cells = ", ".join(part for c, v in zip(df.columns, values) for part in (f"isnull({X.quote(c)})", v))
     row = (
-        df.selectExpr(f"xxhash64({', '.join(values)}) AS h")
+        df.selectExpr(f"xxhash64({cells}) AS h", f"xxhash64(2, {cells}) AS g")
         .selectExpr(
             "count(*) AS n",
             "coalesce(sum(CAST(h AS DECIMAL(38,0))), 0) AS first",
-            "coalesce(sum(CAST(xxhash64(h, 2) AS DECIMAL(38,0))), 0) AS second",
+            "coalesce(sum(CAST(g AS DECIMAL(38,0))), 0) AS second",
         )
         .first()
     )
@@ -38,12 +40,16 @@ def staged_path(folder: str, content_hash: str) -> str:
 def stage(df: DataFrame, folder: str, content_hash: str | None = None) -> DataFrame:
     """Write a table once as Zstandard Parquet and return the staged copy.
 
-    A copy already there under the same content hash is reused. Row numbers are kept as a
+    A finished copy already there under the same content hash is reused; a half-written one is replaced. Row numbers are kept as a
     column; rows are written in the order they are scanned, so row-number ranges stay together
     and later range filters skip most row groups.
     """
     path = staged_path(folder, content_hash or fingerprint(df))
-    df.write.mode("ignore").option("compression", "zstd").parquet(path)
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    finished = done.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(done)
+    if not finished:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -146,3 +146,19 @@ def test_as_cells(spark):
 def test_describe(spark, folder):
     kinds = [r.kind for r in describe_columns(readers.read_parquet(spark, f"{folder}/events.parquet")).collect()]
     assert kinds == ["numeric", "datetime", "numeric", "categorical", "numeric", "categorical"]
+
+
+def test_fingerprint_sees_where_nulls_are(spark):
+    from gridlore.sources.staging import fingerprint
+
+    a, b = (spark.createDataFrame([row], "a string, b string") for row in (("x", None), (None, "x")))
+    assert fingerprint(a) != fingerprint(b)
+
+
+def test_stage_replaces_a_half_written_copy(spark, tmp_path):
+    from gridlore.sources.staging import fingerprint, stage, staged_path
+
+    df = spark.range(2)
+    path = staged_path(str(tmp_path), fingerprint(df))
+    df.limit(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    assert stage(df, str(tmp_path)).count() == 2 and stage(df, str(tmp_path)).count() == 2
