@@ -21,16 +21,16 @@ def events(spark, folder):
 
 def test_manual_rows_to_report(spark):
     rows = [
-        {"region": "North", "sales": "120000", "profit": "32000", "category": "Retail"},
-        {"region": "South", "sales": "98000", "profit": "24000", "category": "Wholesale"},
-        {"region": "West", "sales": "110500", "profit": "28000", "category": "Retail"},
+        {"port": "Aalborg", "cargo": "10", "crew": "3", "flag": "red"},
+        {"port": "Bergen", "cargo": "20", "crew": "7", "flag": "blue"},
+        {"port": "Cadiz", "cargo": "40", "crew": "9", "flag": "red"},
     ]
-    report = gridlore.analyze(from_rows(spark, ["region", "sales", "profit", "category"], rows), "manual")
-    assert report.summary.types["sales"] == report.summary.types["profit"] == "bigint"
+    report = gridlore.analyze(from_rows(spark, ["port", "cargo", "crew", "flag"], rows), "manual")
+    assert report.summary.types["cargo"] == report.summary.types["crew"] == "bigint"
     assert report.model.status == "skipped"
     document = json.loads(report.to_json())
     assert set(SECTIONS) <= set(document)
-    assert document["strongest_pairs"][0]["correlation"] == 0.997  # 88 / sqrt(243.5 * 32)
+    assert document["strongest_pairs"][0]["correlation"] == 0.929  # 260 / sqrt(1400 * 56)
     assert {c["chart_type"] for c in document["charts"]} == {"bar", "pie", "histogram", "box", "scatter", "line", "heatmap"}
     advice = [r["text"] for r in document["narrative"] if r["section"] == "recommendations"]
     assert any("target column" in a for a in advice)
