@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridlore.session import materialize, small_frame
+from gridlore.session import materialize
 
 ROW = "_row"
 BLOCK_ROWS = 1 << 18
-MAX_BROADCAST_FILES = 500_000
-_SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
+OFFSET_ROW_BYTES, MAX_OFFSET_BYTES = 64, 256 << 20  # a row of three longs in a hash table, and what may be broadcast
+SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
+PATH_KEYS = ["_path_a", "_path_b"]
 
 
 def data_columns(df: DataFrame) -> list[str]:
@@ -35,44 +36,66 @@ def with_row(df: DataFrame, order_by: list[str | Column] | None = None) -> DataF
     """Attach ``ROW`` to a table that has none: in the order of ``order_by``, else as read.
 
     The order a table is read in is only fixed once it is written down, so that case stores a
-    copy. Its row numbers ascend but leave gaps between partitions.
+    copy and numbers its rows densely.
     """
     if ROW in df.columns:
         return df
     if order_by:
         return sorted_positions(df, order_by, ROW)
-    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    stored = materialize(df.withColumn("_slot", F.monotonically_increasing_id()), "rows")
+    return _densely(stored, ROW, freeze(_parts(stored)))
+
+
+def _parts(stored: DataFrame) -> DataFrame:
+    """Rows before each task of a table whose ``_slot`` a task counted up."""
+    sizes = stored.groupBy(F.shiftright("_slot", SLOT_BITS).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    return running_offsets(sizes, "_part", "_n").select("_part", "_before")
+
+
+def _densely(stored: DataFrame, name: str, offsets: DataFrame) -> DataFrame:
+    """``_slot`` as a dense position."""
+    return (
+        stored.withColumn("_part", F.shiftright("_slot", SLOT_BITS))
+        .join(offsets, "_part")
+        .withColumn(name, F.col("_before") + F.col("_slot").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)))
+        .drop("_slot", "_part", "_before")
+    )
 
 
 def file_rows(df: DataFrame) -> DataFrame:
-    """Attach ``ROW`` to a Parquet scan from file name and row index, without a shuffle."""
-    files = df.inputFiles()
-    indexed = df.select("*", F.col("_metadata.row_index").alias(ROW))
-    if len(files) <= 1:
-        return indexed
+    """Attach ``ROW`` to a Parquet scan from file name and row index, without a shuffle.
+
+    Files are matched by two hashes of their path, so no path is broadcast.
+    """
+    if len(df._jdf.inputFiles()) <= 1:  # counted in the JVM, no path reaches Python
+        return df.select("*", F.col("_metadata.row_index").alias(ROW))
     path = F.col("_metadata.file_path")
     counts = df.select(path.alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = freeze(_running_offsets(counts, "_file", "_n").select("_file", "_before"))
+    offsets = running_offsets(counts.withColumns(path_keys("_file")), "_file", "_n").select(*PATH_KEYS, "_before")
     return (
         df.select("*", path.alias("_file"), F.col("_metadata.row_index").alias("_index"))
-        .join(offsets, "_file")
+        .withColumns(path_keys("_file"))
+        .join(freeze(offsets), PATH_KEYS)
         .withColumn(ROW, F.col("_before") + F.col("_index"))
-        .drop("_file", "_index", "_before")
+        .drop("_file", "_index", *PATH_KEYS, "_before")
     )
 
 
+def path_keys(path: str) -> dict[str, Column]:
+    """Two hashes that stand for a path."""
+    return {k: F.xxhash64(F.lit(i), path) for i, k in enumerate(PATH_KEYS)}
+
+
 def freeze(offsets: DataFrame) -> DataFrame:
-    """Compute an offset table once and broadcast it, if it has at most ``MAX_BROADCAST_FILES`` rows.
+    """Write an offset table of longs once, and broadcast it up to ``MAX_OFFSET_BYTES``.
 
-    A larger one stays a plan of its own, joined as adaptive execution sees fit.
+    That is four million files or splits; a larger table is joined by shuffle.
     """
-    rows = offsets.limit(MAX_BROADCAST_FILES + 1).collect()
-    if len(rows) > MAX_BROADCAST_FILES:
-        return offsets
-    return F.broadcast(small_frame(offsets.sparkSession, [tuple(r) for r in rows], offsets.schema))
+    stored = materialize(offsets, "offsets")
+    return F.broadcast(stored) if stored.count() * OFFSET_ROW_BYTES <= MAX_OFFSET_BYTES else stored
 
 
-def _running_offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
+def running_offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
     """Prefix sums over a table of one row per file, block or partition."""
     earlier = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_before", F.coalesce(F.sum(n).over(earlier), F.lit(0).cast("long")))
@@ -90,7 +113,7 @@ def positions(df: DataFrame, name: str, block_rows: int = BLOCK_ROWS) -> DataFra
     """
     blocked = require_row(df).withColumn("_block", block_of(block_rows))
     sizes = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _running_offsets(sizes, "_block", "_n").select("_block", "_before")
+    offsets = running_offsets(sizes, "_block", "_n").select("_block", "_before")
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(ROW)) - 1
     return (
         blocked.withColumn("_inside", inside)
@@ -113,16 +136,8 @@ def sorted_positions(df: DataFrame, keys: list[str | Column], name: str) -> Data
         .withColumn("_slot", F.monotonically_increasing_id())
     )
     stored = materialize(slots, "sorted")
-    part = F.shiftright("_slot", _SLOT_BITS).alias("_part")
-    sizes = stored.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     # one row per range partition: bounded by spark.sql.shuffle.partitions
-    offsets = F.broadcast(_running_offsets(sizes, "_part", "_n").select("_part", "_before"))
-    return (
-        stored.withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
-        .join(offsets, "_part")
-        .withColumn(name, F.col("_before") + F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1)))
-        .drop("_slot", "_part", "_before")
-    )
+    return _densely(stored, name, F.broadcast(_parts(stored)))
 
 
 def fill_both_ways(df: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlore.functions import exprs as X
 from gridlore.functions.names import unique_names
-from gridlore.operators.ordering import ROW, data_columns, require_row
+from gridlore.operators.ordering import ROW, data_columns, positions, require_row
 from gridlore.session import small_frame
 
 SEED = 42
@@ -83,12 +83,15 @@ def page_bounds(page: int, size: int | None) -> tuple[int, int]:
 def page(df: DataFrame, page: int, size: int | None = None) -> DataFrame:
     """One page of rows under normalised names, found by row number instead of an offset scan.
 
-    Row numbers must be dense, as the readers and staged tables have them.
+    Row numbers with gaps, as rows dropped by cleaning leave them, are made dense first.
     """
     page, size = page_bounds(page, size)
     first = (page - 1) * size
     columns = data_columns(require_row(df))
-    wanted = df.where(F.col(ROW).between(first, first + size - 1)).orderBy(ROW)
+    seen = df.agg(F.count(ROW).alias("n"), F.min(ROW).alias("low"), F.max(ROW).alias("high")).first()
+    dense = seen.n == 0 or (seen.low == 0 and seen.high == seen.n - 1)
+    placed = df.withColumn("_place", F.col(ROW)) if dense else positions(df, "_place")
+    wanted = placed.where(F.col("_place").between(first, first + size - 1)).orderBy("_place")
     return wanted.select(*[F.col(X.quote(c)).alias(n) for c, n in zip(columns, unique_names(columns))])
 
 

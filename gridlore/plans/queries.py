@@ -103,21 +103,43 @@ def typed_events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "s1_csv_scan",
-    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
-       c_acctbal, c_mktsegment FROM customer""",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
+       CASE WHEN c_custkey % 3 = 2 THEN concat(c_name, chr(10), '"2"') ELSE c_name END AS c_name,
+       CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""",
 )
 def s1(spark, folder):
+    """Files of one header, of another column order, and with line breaks inside quotes."""
     path = scratch_path(spark, "customer-csv")
-    spark.read.parquet(f"{folder}/customer.parquet").write.option("header", True).csv(path)
-    read = readers.read_csv(spark, path)
-    return read.selectExpr("c_custkey", "c_name", "c_nationkey", f"{X.double('c_acctbal')} AS c_acctbal", "c_mktsegment")
-
-
-@query("s2_json_scan", "SELECT event_id, user_id, event_type, value, props FROM events")
+    customer = spark.read.parquet(f"{folder}/customer.parquet")
+    thirds = [customer.where(f"c_custkey % 3 = {i}") for i in range(3)]
+    thirds[1] = thirds[1].select(*reversed(customer.columns))
+    thirds[2] = thirds[2].withColumn("c_name", F.expr("concat(c_name, char(10), '\"2\"')"))
+    for third in thirds:
+        third.write.mode("append").options(header=True, escape='"').csv(path)
+    return readers.read_csv(spark, path).withColumn("c_acctbal", F.expr(X.double("c_acctbal"))).drop(ROW)
+
+
+def _as_array(batches):
+    """Records of one task as the lines of one JSON array."""
+    lead = "["
+    for batch in batches:
+        lines = [(lead if i == 0 else ",") + record for i, record in enumerate(batch["value"])]
+        if lines:
+            lead = ","
+            yield pd.DataFrame({"value": lines})
+    yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+
+
+@query("s2_json_scan", "SELECT * FROM events")
 def s2(spark, folder):
+    """Files of one record a line and files of one array each."""
     path = scratch_path(spark, "events-json")
-    spark.read.parquet(f"{folder}/events.parquet").write.json(path)
-    return readers.read_json(spark, path).select("event_id", "user_id", "event_type", "value", "props")
+    style = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    events.where("event_id % 2 = 0").write.option("timestampNTZFormat", style).json(path)
+    odd = events.where("event_id % 2 = 1").select(F.to_json(F.struct("*"), {"timestampNTZFormat": style}).alias("value"))
+    odd.mapInPandas(_as_array, "value string").write.mode("append").text(path)
+    return readers.read_json(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*events.columns)
 
 
 @query(
@@ -132,18 +154,15 @@ def s4(spark, folder):
 
 @query(
     "s6_parquet_scan",
-    "SELECT o_orderkey AS row_index, o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders",
+    "SELECT o_orderkey AS row_index, * FROM orders",
 )
 def s6(spark, folder):
-    return table(spark, folder, "orders").select(
-        F.col(ROW).alias("row_index"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"
-    )
+    return table(spark, folder, "orders").withColumnRenamed(ROW, "row_index")
 
 
-@query("s7_stage_round_trip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("s7_stage_round_trip", "SELECT * FROM orders")
 def s7(spark, folder):
-    staged = staging.stage(table(spark, folder, "orders"), scratch_path(spark, "staged"))
-    return staged.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return staging.stage(table(spark, folder, "orders"), scratch_path(spark, "staged")).drop(ROW)
 
 
 @query(
@@ -167,6 +186,27 @@ def s10(spark, folder):
     )
 
 
+@query(
+    "s10_fingerprint_rules",
+    """SELECT count(*) AS row_count, true AS same_in_other_partitions, true AS moved_null_differs,
+       true AS changed_value_differs, true AS other_order_differs FROM orders""",
+)
+def s10_rules(spark, folder):
+    orders = table(spark, folder, "orders")
+    known = staging.fingerprint(orders)
+    left = staging.fingerprint(orders.selectExpr("o_orderpriority AS a", "CAST(NULL AS STRING) AS b"))
+    right = staging.fingerprint(orders.selectExpr("CAST(NULL AS STRING) AS a", "o_orderpriority AS b"))
+    changed = orders.withColumn("o_totalprice", F.expr("o_totalprice + CAST(o_orderkey = 7 AS INT)"))
+    moved = orders.withColumn(ROW, F.col(ROW) + 1)
+    return orders.agg(F.count(F.lit(1)).alias("row_count")).select(
+        "row_count",
+        F.lit(staging.fingerprint(orders.repartition(7)) == known).alias("same_in_other_partitions"),
+        F.lit(left != right).alias("moved_null_differs"),
+        F.lit(staging.fingerprint(changed) != known).alias("changed_value_differs"),
+        F.lit(staging.fingerprint(moved) != known).alias("other_order_differs"),
+    )
+
+
 SHEET = (
     '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>'
 )

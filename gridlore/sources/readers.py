@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from gridlore.functions import exprs as X
-from gridlore.operators.ordering import ROW, file_rows, freeze
-from gridlore.session import small_frame
+from gridlore.operators.ordering import ROW, SLOT_BITS, file_rows, freeze
+from gridlore.session import materialize, small_frame
 
 # Texts that stand for a missing value in delimited files.
 NA_TEXTS = [
@@ -22,10 +25,38 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return file_rows(spark.read.parquet(*([path] if isinstance(path, str) else path)))
 
 
-def _has_quoted_newlines(spark: SparkSession, path) -> bool:
-    """Whether some line holds an odd number of quotes, which an unbroken record never does."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def _alike(spark: SparkSession, path, anywhere: Column, opening: Column) -> list[tuple[int, int, str | list[str], dict]]:
+    """Files of one form: (largest ``anywhere``, ``opening`` of the first line, their paths, options to read them).
+
+    One scan of the text gives both marks of every file, by counts combined on the map side. If
+    all files agree the path is passed on as it is; else each form names its files, which the
+    driver has listed for the scan anyway.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
+        "value",
+    )
+    splits = (
+        lines.where("trim(value) <> ''")
+        .groupBy("file", "start")
+        .agg(F.max(anywhere).alias("anywhere"), F.min_by(opening, "id").alias("opening"))
+    )
+    files = splits.groupBy("file").agg(F.max("anywhere").alias("anywhere"), F.min_by("opening", "start").alias("opening"))
+    stored = materialize(files, "file-forms")
+    forms = stored.groupBy("anywhere", "opening").agg(F.min("file").alias("first")).orderBy("first").collect()
+    if len(forms) == 1:
+        return [(forms[0].anywhere, forms[0].opening, path, {})]
+    # paths come percent-encoded, and readers take some characters for patterns
+    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    escaped = F.regexp_replace(plain, r"([\[\]{}*?\\])", r"\\$1")
+    named: dict[tuple[int, int], list[str]] = {}
+    for f in stored.select("anywhere", "opening", escaped.alias("path")).orderBy("file").collect():
+        named.setdefault((f.anywhere, f.opening), []).append(f.path)
+    # columns that folder names hold stay columns
+    base = {"basePath": path} if isinstance(path, str) and not re.search(r"[\[\]{}*?]", path) else {}
+    return [(f.anywhere, f.opening, named[f.anywhere, f.opening], base) for f in forms]
 
 
 def read_csv(
@@ -33,74 +64,110 @@ def read_csv(
 ) -> DataFrame:
     """Delimited text with a header row, every column as text, missing-value texts as null.
 
-    Records with line breaks inside quotes need whole files per task (``multi_line``); by
-    default the text is scanned once to see whether there are any, and files are split if not.
-    A file without any content is an error; a header alone gives an empty table.
+    Columns of several files are matched by name; files whose names differ are an error. Files
+    with line breaks inside quotes (``multi_line``, found out per file by default) are read by
+    one task each, all others are split. A file without any content is an error; a header alone
+    gives an empty table. The parsed rows are written once to the shared folder.
     """
-    if multi_line is None:
-        multi_line = _has_quoted_newlines(spark, path)
-    raw = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=multi_line, sep=sep, escape='"', quote='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
-    if not raw.columns:
-        raise ValueError("The file has no content.")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = quotes % 2 == 1  # never so in a record without line breaks
+    whole = odd.cast("int") if multi_line is None else F.lit(int(multi_line))
+    header = F.when(odd, F.xxhash64("value", "file")).otherwise(F.xxhash64("value"))
     na = ", ".join(X.text(t) for t in NA_TEXTS)
-    numbered = split_rows(raw)
-    cleaned = [f"CASE WHEN {X.quote(c)} NOT IN ({na}) THEN {X.quote(c)} END AS {X.quote(c)}" for c in raw.columns]
-    return numbered.selectExpr(*cleaned, ROW)
+    scans = []
+    for whole_file, _, files, base in _alike(spark, path, whole, header):
+        raw = spark.read.options(**base).csv(
+            files, header=True, inferSchema=False, multiLine=bool(whole_file), sep=sep, escape='"', quote='"',
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
+        cleaned = [f"CASE WHEN {X.quote(c)} NOT IN ({na}) THEN {X.quote(c)} END AS {X.quote(c)}" for c in raw.columns]
+        scans.append(_with_origin(raw, cleaned))
+    if not scans:
+        raise ValueError("The file has no content.")
+    if any(set(s.columns) != set(scans[0].columns) for s in scans):
+        raise ValueError("The files do not have the same columns.")
+    return number_rows(scans)
 
 
 def read_json(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
     """JSON records, one per line or as an array per file; nested values become JSON text.
 
-    By default the first non-blank character decides: an array is read whole-file.
+    By default each file's first line decides: unless it is a whole record, the file is parsed
+    as one text. A malformed record is an error. A column whose type differs between the two
+    forms is a double if both are numbers, else text as written. The parsed rows are written once to the
+    shared folder.
     """
-    if multi_line is None:
-        first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
-        multi_line = bool(first) and (first[0].value.lstrip().startswith("[") or not _is_record(first[0].value))
-    raw = spark.read.json(path, multiLine=multi_line)
-    if not raw.columns:
-        raise ValueError("The JSON cannot be parsed.")
-    if raw.columns == ["_corrupt_record"]:
-        raise ValueError("The JSON cannot be parsed.")
-    nested = (T.ArrayType, T.MapType, T.StructType)
-    flat = [
-        f"to_json({X.quote(f.name)}) AS {X.quote(f.name)}" if isinstance(f.dataType, nested) else X.quote(f.name)
-        for f in raw.schema.fields
-    ]
-    return split_rows(raw).selectExpr(*flat, ROW)
-
-
-def _is_record(line: str) -> bool:
+    line = F.expr("trim(BOTH ' \t\r' FROM value)")
+    opening = F.when(line.startswith("{") & line.endswith("}"), 0).otherwise(1)
+    opening = opening if multi_line is None else F.lit(int(multi_line))
     try:
-        return isinstance(json.loads(line), dict)
-    except ValueError:
-        return False
-
-
-def split_rows(df: DataFrame) -> DataFrame:
-    """Attach ``ROW`` to a scan of text files, which have no row index.
-
-    Inside a split rows are numbered as they are read; a table of one row per split gives the
-    rows before it. Reading the same files twice cuts the same splits.
+        forms = [
+            (files, {**base, "multiLine": bool(whole), "mode": "FAILFAST"})
+            for _, whole, files, base in _alike(spark, path, F.lit(0), opening)
+        ]
+        schemas = [spark.read.options(**options).json(files).schema for files, options in forms]
+        if not any(s.fields for s in schemas):
+            raise ValueError("no columns")
+        types = _common_types(schemas)
+        scans = []
+        for (files, options), schema in zip(forms, schemas):
+            fields = [T.StructField(f.name, types.get(f.name, f.dataType)) for f in schema.fields]
+            raw = spark.read.schema(T.StructType(fields)).options(**options).json(files)
+            nested = (T.ArrayType, T.MapType, T.StructType)
+            flat = [
+                f"to_json({X.quote(f.name)}) AS {X.quote(f.name)}" if isinstance(f.dataType, nested) else X.quote(f.name)
+                for f in fields
+            ]
+            scans.append(_with_origin(raw, flat))
+        return number_rows(scans)
+    except AnalysisException:
+        raise
+    except Exception as error:
+        raise ValueError("The JSON cannot be parsed.") from error
+
+
+def _common_types(schemas: list[T.StructType]) -> dict[str, T.DataType]:
+    """Types of the columns on which ``schemas`` differ."""
+    found: dict[str, list[T.DataType]] = {}
+    for schema in schemas:
+        for f in schema.fields:
+            found.setdefault(f.name, []).append(f.dataType)
+    numbers = (T.LongType, T.DoubleType)
+    return {
+        name: T.DoubleType() if all(isinstance(t, numbers) for t in types) else T.StringType()
+        for name, types in found.items()
+        if any(t != types[0] for t in types)
+    }
+
+
+def _with_origin(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of a scan with the file and split each row comes from."""
+    origin = ["_metadata.file_path AS _file", "_metadata.file_block_start AS _start"]
+    return raw.selectExpr(*columns, *origin)
+
+
+def number_rows(scans: list[DataFrame]) -> DataFrame:
+    """Write scans of text files, which have no row index, and attach ``ROW`` to the copy.
+
+    File, split and place in the task are captured by the job that writes the rows, so it does
+    not matter how a later scan of the text would cut it. A table of one row per split gives the
+    rows before it; it is matched by task and a hash of the split, so no path is broadcast.
     """
-    start = F.col("_metadata.file_block_start")
-    tagged = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        start.alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
+    merged = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), scans)
+    stored = materialize(merged.withColumn("_slot", F.monotonically_increasing_id()), "text-rows")
+    keyed = stored.withColumns(
+        {"_part": F.shiftright("_slot", SLOT_BITS), "_split": F.xxhash64("_file", "_start")}
     )
-    splits = tagged.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")).alias("_before")
+    splits = keyed.groupBy("_part", "_split", "_file", "_start").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_slot").alias("_first")
     )
+    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long"))
+    offsets = splits.select("_part", "_split", (before - F.col("_first")).alias("_shift"))
     return (
-        tagged.join(freeze(offsets), ["_file", "_start"])
-        .withColumn(ROW, F.col("_before") + F.col("_id") - F.col("_first"))
-        .drop("_file", "_start", "_id", "_first", "_before")
+        keyed.join(freeze(offsets), ["_part", "_split"])
+        .withColumn(ROW, F.col("_slot") + F.col("_shift"))
+        .drop("_file", "_start", "_slot", "_part", "_split", "_shift")
     )
 
 

@@ -40,9 +40,9 @@ def staged_path(folder: str, content_hash: str) -> str:
 def stage(df: DataFrame, folder: str, content_hash: str | None = None) -> DataFrame:
     """Write a table once as Zstandard Parquet and return the staged copy.
 
-    A finished copy already there under the same content hash is reused; a half-written one is replaced. Row numbers are kept as a
-    column; rows are written in the order they are scanned, so row-number ranges stay together
-    and later range filters skip most row groups.
+    A finished copy already there under the same content hash is reused; a half-written one is
+    replaced. Row numbers are kept as a column; rows are written in the order they are scanned,
+    so row-number ranges stay together and later range filters skip most row groups.
     """
     path = staged_path(folder, content_hash or fingerprint(df))
     spark = df.sparkSession

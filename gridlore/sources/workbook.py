@@ -1,4 +1,4 @@
-"""Folders of ``.xlsx`` workbooks: the first sheet of each file, its first row as header.
+"""Folders of workbooks: the first sheet of each file, its first row as header.
 
 Spark lists the files and hands one file to a task; the task reads the sheet row by row from
 the zipped XML, so a workbook is never held as a table in memory.
@@ -14,10 +14,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.functions import exprs as X
-from gridlore.operators.ordering import ROW
+from gridlore.operators.ordering import PATH_KEYS, ROW, freeze, path_keys, running_offsets
+from gridlore.session import materialize
 
 BATCH_ROWS = 10_000
 # Number-format ids and letters that mark a cell as a date.
@@ -130,28 +131,28 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(held, columns=["path", "number", "cells"])
 
 
-def read_workbooks(spark: SparkSession, path: str | list[str], glob: str = "*.xls[xm]") -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str | list[str], glob: str = "*.xl[st][xm]") -> DataFrame:
     """First sheets of all workbooks under ``path`` as one all-text table with ``ROW``.
 
     The header of the first file (by path) names the columns; a blank header becomes
     ``Unnamed: {i}``. Short rows are padded with nulls, long rows cut. All files must share the
-    header. A file whose sheet is empty is an error.
+    header. A file whose sheet is empty is an error. Each workbook is parsed once, by one task,
+    and its cells are written to the shared folder.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    files = files.repartitionByRange(F.col("path")) if len(files.inputFiles()) > 1 else files
-    cells = files.mapInPandas(_parse, "path string, number long, cells array<string>")
+    parsed = files.mapInPandas(_parse, "path string, number long, cells array<string>")
+    cells = materialize(parsed.withColumns(path_keys("path")), "cells")
     headers = cells.where("number = 0").select("path", "cells")
     first = headers.orderBy("path").limit(1).collect()
     if not first:
         raise ValueError("The workbook has no rows.")
-    other = headers.where(F.col("cells") != F.array(*[F.lit(c) for c in first[0].cells])).limit(1).collect()
+    header = F.array(*[F.lit(c).cast("string") for c in first[0].cells])
+    other = headers.where(~F.col("cells").eqNullSafe(header)).limit(1).collect()
     if other:
         raise ValueError(f"{other[0].path} has another header than {first[0].path}.")
     names = [c if c and c.strip() else f"Unnamed: {i}" for i, c in enumerate(first[0].cells)]
     body = cells.where("number > 0")
-    counts = body.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    offsets = counts.select("path", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")).alias("_before"))
-    placed = body.join(offsets, "path")
+    counts = body.groupBy("path", *PATH_KEYS).agg(F.count(F.lit(1)).alias("_n"))
+    placed = body.join(freeze(running_offsets(counts, "path", "_n").select(*PATH_KEYS, "_before")), PATH_KEYS)
     columns = [f"nullif({X.strip(f'get(cells, {i})')}, '') AS {X.quote(n)}" for i, n in enumerate(names)]
     return placed.selectExpr(*columns, f"_before + number - 1 AS {ROW}")

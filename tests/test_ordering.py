@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import exprs as X
 from gridlore.operators import ordering as H
 from gridlore.operators import quantiles as Q
+from gridlore.operators import sampling as K
 from gridlore.operators.ordering import ROW
 from gridlore.session import scratch_path, small_frame
 from gridlore.sources.readers import read_parquet
@@ -32,7 +33,19 @@ def test_row_from_sort_keys_and_as_read(spark, folder):
     by_key = H.with_row(orders, ["o_orderkey"])
     assert by_key.where(F.col(ROW) != F.col("o_orderkey")).count() == 0
     as_read = H.with_row(orders)
-    assert as_read.select(ROW).distinct().count() == orders.count()
+    assert sorted(r[ROW] for r in as_read.select(ROW).collect()) == list(range(orders.count()))
+
+
+def test_pages_of_sparse_rows(spark, folder):
+    orders = read_parquet(spark, f"{folder}/orders.parquet").where("o_orderkey % 3 = 1")
+    assert [r.o_orderkey for r in K.page(orders, 3, 10).collect()] == [3 * i + 1 for i in range(20, 30)]
+
+
+def test_offsets_never_move_the_table(spark, folder):
+    path = scratch_path(spark, "files")
+    spark.read.parquet(f"{folder}/orders.parquet").repartition(5).write.parquet(path)
+    plan = read_parquet(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
 def test_positions_do_not_depend_on_partitions(spark, folder):

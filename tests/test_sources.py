@@ -45,8 +45,8 @@ def test_csv_rows_across_splits(spark, tmp_path):
     path = write(tmp_path, "a.csv", "n,pad\n" + "".join(f"{i},{'x' * 90}\n" for i in range(4000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
     try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 3
         df = readers.read_csv(spark, path)
-        assert df.rdd.getNumPartitions() > 3
         assert df.where(F.col(ROW) != F.col("n").cast("long")).count() == 0 and df.count() == 4000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -67,6 +67,47 @@ def test_json_broken(spark, tmp_path):
         readers.read_json(spark, write(tmp_path, "a.json", "not json at all")).collect()
 
 
+def test_json_forms_may_differ_by_file(spark, tmp_path):
+    write(tmp_path, "1.json", '[{"a": 1, "b": 1.50},\n {"a": 2},\n {"a": 3, "c": {"d": 1}}]')
+    write(tmp_path, "2.json", '\n{"a": 4.5}\n{"a": 5, "b": "x"}\n\t{"a": 6, "c": [1]} \n')
+    df = readers.read_json(spark, str(tmp_path)).orderBy(ROW)
+    assert [(r.a, r.b, r.c, r[ROW]) for r in df.collect()] == [
+        (1.0, "1.50", None, 0), (2.0, None, None, 1), (3.0, None, '{"d": 1}', 2),
+        (4.5, None, None, 3), (5.0, "x", None, 4), (6.0, None, "[1]", 5),
+    ]
+
+
+def test_json_bad_record_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError):
+        readers.read_json(spark, write(tmp_path, "a.json", '{"a": 1}\n{"a": \n{"a": 3}\n'))
+
+
+def test_csv_columns_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "1 [x]+%.csv", "a,b c\n10,20\n")
+    write(tmp_path / "in", "2.csv", "b c,a\n21,11\n")
+    write(tmp_path / "in", "3.csv", 'a,b c\n12,"2\n2"\n13,2" pipe\n')
+    df = readers.read_csv(spark, str(tmp_path / "in")).orderBy(ROW)
+    assert [tuple(r) for r in df.collect()] == [
+        ("10", "20", 0), ("11", "21", 1), ("12", "2\n2", 2), ("13", '2" pipe', 3),
+    ]
+    write(tmp_path / "in", "4.csv", "a,z\n1,2\n")
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, str(tmp_path / "in"))
+
+
+def test_csv_rows_survive_other_split_settings(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "n,pad\n" + "".join(f"{i},{'x' * 90}\n" for i in range(4000)))
+    df = readers.read_csv(spark, path)
+    spark.conf.set("spark.sql.files.minPartitionNum", 11)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        assert df.where(F.col(ROW) == F.col("n").cast("long")).count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_manual_rows(spark):
     rows = [{"region": " North ", "sales": "12"}, {"region": "", "sales": " "}, {"sales": "9", "extra": "x"}]
     df = readers.from_rows(spark, ["region", "sales", " "], rows)
