@@ -21,7 +21,6 @@ LINE_POINTS = 180
 DENSITY_BINS = 28
 MIN_BINS, MAX_BINS = 10, 30
 CHART_ROWS = 5_000
-CHART_LIMIT = 8
 
 HISTOGRAM_SCHEMA = "bin long, left_edge double, right_edge double, label string, count long"
 
@@ -292,13 +291,12 @@ def charts(df: DataFrame, mode: str = "clean", facts: list[tuple] | None = None,
         else:
             add(f"line-{c}", "line", f"Line chart for {c}", line_order(df, c, dense=mode == "clean"), "record_index", "record_index", "NULL", "y")
     if len(numbers) > 1:
-        limit = C.RAW_COLUMN_LIMIT if mode == "raw" else None
-        pairs = C.correlation_pairs(df, numbers, limit, mode == "raw") if pairs is None else pairs
-        cells = C.heatmap(pairs, numbers[:limit])
+        pairs = C.correlation_pairs(df, numbers, null_as_zero=mode == "raw") if pairs is None else pairs
+        cells = C.heatmap(pairs, numbers)
         add("heatmap-correlations", "heatmap", "Correlation heatmap", cells, "NULL", "x", "y", "correlation")
     frames = [
         frame.select(F.lit(i).alias("chart_id"), F.lit(k).alias("chart_type"), F.lit(t).alias("title"), "*")
-        for i, k, t, frame in parts[:CHART_LIMIT]
+        for i, k, t, frame in parts
     ]
     if not frames:
         return small_frame(df.sparkSession, [], "chart_id string, chart_type string, title string, position long, x string, y string, value double")

@@ -10,7 +10,6 @@ from gridlore.functions import exprs as X
 from gridlore.operators.profile import NumericStats, _chunks, columns_of, numeric_stats
 from gridlore.session import run_parts, small_frame
 
-RAW_COLUMN_LIMIT = 8
 PAIR_SCHEMA = "left_column string, right_column string, left_position int, right_position int, correlation double"
 # pairs per scan, so that an aggregate's buffers stay under spark.sql.codegen.maxFields
 PAIRS_PER_SCAN = 80

@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridlore.functions import exprs as X
 from gridlore.operators.cleaning import fill_values
-from gridlore.operators.ordering import ROW, data_columns
-from gridlore.operators.profile import approximate_distinct, columns_of, numeric_stats
+from gridlore.operators.ordering import ROW, data_columns, sorted_positions
+from gridlore.operators.profile import columns_of, numeric_stats
 from gridlore.operators.sampling import SEED, cap_rows, sample_hash
 from gridlore.session import materialize, run_sql, small_frame
 
@@ -32,9 +30,8 @@ MAX_CLUSTERS = 6
 MAX_CLASSES, MAX_CLASS_SHARE = 40, 0.08
 FLOAT_LIKE_DISTINCT, FLOAT_LIKE_SHARE = 20, 0.005
 TOP_FEATURES = 8
-SILHOUETTE_ROWS = 3_000
+STARTS = 3
 
-ONE_HOT_LEVELS = 100
 HASHED_FEATURES = 256
 KEY_BITS, STEP_BITS = 52, 13
 REGRESSION, CLASSIFICATION, CLUSTERING = "regression", "classification", "clustering"
@@ -162,52 +159,70 @@ def _cut_offs(keyed: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
 
 @dataclass
 class FeaturePipeline:
-    """Numbers standardised around the training mean, categories one-hot or hashed."""
+    """Numbers standardised around the training mean, categories one-hot, or hashed on request.
+
+    A vector is: the numbers, one slot per level of each text column, the hashed columns.
+    """
 
     numbers: list[str]
     texts: list[str]
+    hashed: list[str]
     fills: dict[str, object]
     scale: dict[str, tuple[float, float]]
-    stages: PipelineModel
+    levels: list[DataFrame] = field(default_factory=list)  # per text column (_c, _i): value and index
+    sizes: list[int] = field(default_factory=list)
+    stages: PipelineModel | None = None
+
+    @property
+    def size(self) -> int:
+        return len(self.numbers) + sum(self.sizes) + HASHED_FEATURES * len(self.hashed)
 
-    def _scaled(self, df: DataFrame) -> DataFrame:
+    def _text(self, c: str, dtype: T.DataType) -> Column:
+        return F.coalesce(F.expr(X.as_text(X.quote(c), dtype)), F.lit(str(self.fills.get(c, "Unknown"))))
+
+    def _columns(self, df: DataFrame) -> DataFrame:
         dtypes = X.types_of(df)
         columns = {}
         for i, c in enumerate(self.numbers):
             mean, std = self.scale[c]
             value = f"coalesce({X.double(X.quote(c), dtypes[c])}, {X.number(self.fills.get(c, mean))})"
             columns[f"_n{i}"] = F.expr(f"({value} - {X.number(mean)}) / {X.number(std)}")
-        for i, c in enumerate(self.texts):
-            filled = F.coalesce(F.expr(X.as_text(X.quote(c), dtypes[c])), F.lit(str(self.fills.get(c, "Unknown"))))
-            columns[f"_c{i}"] = filled
-        return df.withColumns(columns)
+        columns |= {f"_h{i}": self._text(c, dtypes[c]) for i, c in enumerate(self.hashed)}
+        columns |= {f"_c{i}": self._text(c, dtypes[c]) for i, c in enumerate(self.texts)}
+        frame = df.withColumns(columns)
+        for i, (levels, size) in enumerate(zip(self.levels, self.sizes)):
+            known = levels.select(F.col("_c").alias(f"_c{i}"), F.col("_i").alias(f"_l{i}"))
+            index = F.coalesce(F.col(f"_l{i}"), F.lit(float(size)))  # beyond the levels: no slot
+            frame = frame.join(known, f"_c{i}", "left").withColumn(f"_i{i}", index)
+            frame = frame.withMetadata(f"_i{i}", {"ml_attr": {"type": "nominal", "num_vals": size}})
+        return frame
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with its ``features`` vector."""
-        scaled = self._scaled(df)
-        return self.stages.transform(scaled).select(*df.columns, "features")
-
-    def names(self, table: DataFrame) -> list[str]:
-        """A readable name per vector slot."""
-        slots = {}
-        for group in table.schema["features"].metadata["ml_attr"].get("attrs", {}).values():
-            slots.update({a["idx"]: a.get("name", "") for a in group})
-        return [self._readable(slots.get(i, str(i))) for i in range(table.schema["features"].metadata["ml_attr"]["num_attrs"])]
-
-    def _readable(self, slot: str) -> str:
-        for prefix, columns in (("_n", self.numbers), ("_v", self.texts), ("_h", self.texts)):
-            if slot.startswith(prefix):
-                index, _, level = slot[len(prefix) :].partition("_")
-                if index.isdigit():
-                    return f"{columns[int(index)]}_{level}" if level else columns[int(index)]
-        return slot
-
-
-def feature_pipeline(df: DataFrame, one_hot_levels: int = ONE_HOT_LEVELS) -> FeaturePipeline:
+        return self.stages.transform(self._columns(df)).select(*df.columns, "features")
+
+    def names(self, slots: Iterable[int]) -> dict[int, str]:
+        """Readable names of some vector slots, looked up in the levels."""
+        slots = sorted(slots)
+        found = {s: self.numbers[s] for s in slots if s < len(self.numbers)}
+        first = len(self.numbers)
+        for c, levels, size in zip(self.texts, self.levels, self.sizes):
+            wanted = [float(s - first) for s in slots if first <= s < first + size]
+            if wanted:
+                found |= {first + int(r["_i"]): f"{c}_{r['_c']}" for r in levels.where(F.col("_i").isin(wanted)).collect()}
+            first += size
+        for c in self.hashed:
+            found |= {s: f"{c}_{s - first}" for s in slots if first <= s < first + HASHED_FEATURES}
+            first += HASHED_FEATURES
+        return found
+
+
+def feature_pipeline(df: DataFrame, hashed: Sequence[str] = ()) -> FeaturePipeline:
     """Fit the features of every data column: median and population scaling, mode and one-hot.
 
-    A text column of more than ``one_hot_levels`` values is hashed into a fixed number of slots
-    instead, so neither the driver nor the vectors grow with the data. Unknown levels later on
+    Every level of a text column gets a slot, in the order of the values. The levels are a table
+    that rows are joined with, so the driver only learns how many there are; vectors are sparse.
+    Columns named in ``hashed`` share a fixed number of slots instead. Unknown levels later on
     are all zeros.
     """
     frame = times_as_seconds(df)
@@ -225,42 +240,48 @@ def feature_pipeline(df: DataFrame, one_hot_levels: int = ONE_HOT_LEVELS) -> Fea
         ]
         stats |= numeric_stats(frame.selectExpr(*filled), gaps)
     scale = {c: (s.mean, s.std or 1.0) for c, s in stats.items()}
-    levels = {r["column"]: r.unique_values for r in approximate_distinct(frame, texts).collect()} if texts else {}
-    narrow = [i for i, c in enumerate(texts) if levels[c] <= one_hot_levels]
-    wide = [i for i, c in enumerate(texts) if levels[c] > one_hot_levels]
+    wide = [c for c in texts if c in hashed]
+    fitted = FeaturePipeline(numbers, [c for c in texts if c not in hashed], wide, fills, scale)
+    plain = fitted._columns(frame)
+    for i in range(len(fitted.texts)):
+        values = plain.select(F.col(f"_c{i}").alias("_c")).distinct()
+        indexed = sorted_positions(values, ["_c"], "_i").select("_c", F.col("_i").cast("double").alias("_i"))
+        fitted.levels.append(materialize(indexed, "levels"))
+    fitted.sizes = [levels.count() for levels in fitted.levels]
+    places = range(len(fitted.texts))
     stages = []
-    if narrow:
-        stages += [
-            StringIndexer(
-                inputCols=[f"_c{i}" for i in narrow], outputCols=[f"_i{i}" for i in narrow],
-                handleInvalid="keep", stringOrderType="alphabetAsc",
-            ),
-            OneHotEncoder(inputCols=[f"_i{i}" for i in narrow], outputCols=[f"_v{i}" for i in narrow]),
-        ]
-    stages += [FeatureHasher(inputCols=[f"_c{i}"], outputCol=f"_h{i}", numFeatures=HASHED_FEATURES) for i in wide]
-    vectors = [*[f"_n{i}" for i in range(len(numbers))], *[f"_v{i}" for i in narrow], *[f"_h{i}" for i in wide]]
+    if places:  # sizes come from the columns' metadata, so this fits without a scan
+        stages = [
+            OneHotEncoder(
+                inputCols=[f"_i{i}" for i in places], outputCols=[f"_v{i}" for i in places], handleInvalid="keep"
+            )
+        ]
+    stages += [FeatureHasher(inputCols=[f"_h{i}"], outputCol=f"_s{i}", numFeatures=HASHED_FEATURES) for i in range(len(wide))]
+    vectors = [f"_n{i}" for i in range(len(numbers))] + [f"_v{i}" for i in places] + [f"_s{i}" for i in range(len(wide))]
     stages.append(VectorAssembler(inputCols=vectors, outputCol="features"))
-    unfitted = FeaturePipeline(numbers, texts, fills, scale, None)
-    unfitted.stages = Pipeline(stages=stages).fit(unfitted._scaled(frame))
-    return unfitted
+    fitted.stages = Pipeline(stages=stages).fit(fitted._columns(frame))
+    return fitted
 
 
-def feature_importance(model, names: list[str], spark, top: int = TOP_FEATURES) -> DataFrame:
+def feature_importance(model, features: FeaturePipeline, spark, top: int = TOP_FEATURES) -> DataFrame:
     """The ``top`` features by importance."""
-    scored = sorted(zip(names, model.featureImportances.toArray()), key=lambda s: (-s[1], s[0]))[:top]
-    rows = [(i, n, round(float(v), 4)) for i, (n, v) in enumerate(scored, start=1)]
+    weights = model.featureImportances.toArray()
+    best = [int(i) for i in np.argsort(-weights, kind="stable")[:top]]
+    names = features.names(best)
+    rows = [(place, names[i], round(float(weights[i]), 4)) for place, i in enumerate(best, start=1)]
     return small_frame(spark, rows, "place int, feature string, importance double")
 
 
-def _prepare(df: DataFrame, target: str, label: str, stratify: str | None):
+def _prepare(df: DataFrame, target: str, label: str, stratify: str | None, hashed: Sequence[str]):
     """Feature tables of the train and test rows, written once, and the fitted features."""
     labelled = times_as_seconds(df).withColumn("_label", F.expr(label)).where("_label IS NOT NULL")
     train, test = split(labelled, stratify=stratify)
-    features = feature_pipeline(train.drop("_label", target))
+    train = materialize(train, "train-rows")
+    features = feature_pipeline(train.drop("_label", target), hashed)
     keep = ["_label", "features"]
     train_table = materialize(features.transform(train).select(*keep), "train")
     test_table = materialize(features.transform(test).select(*keep), "test")
-    return train_table, test_table, features.names(features.transform(train))
+    return train_table, test_table, features
 
 
 def regression_metrics(predictions: DataFrame) -> dict[str, float]:
@@ -276,11 +297,14 @@ def regression_metrics(predictions: DataFrame) -> dict[str, float]:
     return {"rmse": round(math.sqrt(row.e / row.n), 4), "mae": round(row.a / row.n, 4), "r2": round(r2, 4)}
 
 
-def regress(df: DataFrame, target: str, max_rows: int | None = None, trees: int = TREES, depth: int = DEPTH) -> ModelResult:
-    """Random-forest regression with a held-out fifth."""
-    df = cap_rows(df, max_rows) if max_rows else df
+def regress(df: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH, hashed: Sequence[str] = ()) -> ModelResult:
+    """Random-forest regression with a held-out fifth.
+
+    A forest keeps counts per slot, so its memory grows with the levels of the text columns;
+    name very wide ones in ``hashed``.
+    """
     dtype = X.types_of(df)[target]
-    train, test, names = _prepare(df, target, X.double(X.quote(target), dtype), None)
+    train, test, features = _prepare(df, target, X.double(X.quote(target), dtype), None, hashed)
     forest = RandomForestRegressor(
         featuresCol="features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=512,
         featureSubsetStrategy="all",
@@ -290,7 +314,7 @@ def regress(df: DataFrame, target: str, max_rows: int | None = None, trees: int
     return ModelResult(
         "completed", REGRESSION, target, model="Random Forest Regressor",
         metrics=regression_metrics(predictions),
-        importance=feature_importance(model, names, df.sparkSession),
+        importance=feature_importance(model, features, df.sparkSession),
         predictions=predictions,
     )
 
@@ -321,7 +345,14 @@ def classification_metrics(predictions: DataFrame) -> dict[str, float]:
     return {k: round(v, 4) for k, v in values.items()}
 
 
-def classify(df: DataFrame, target: str, max_rows: int | None = None, trees: int = TREES, depth: int = DEPTH) -> ModelResult:
+def classify(
+    df: DataFrame,
+    target: str,
+    max_rows: int | None = None,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    hashed: Sequence[str] = (),
+) -> ModelResult:
     """Random-forest classification with balanced class weights and a held-out fifth."""
     rows, distinct = target_facts(df, target)
     if distinct < 2:
@@ -335,7 +366,7 @@ def classify(df: DataFrame, target: str, max_rows: int | None = None, trees: int
     classes = sorted(counts)
     label = "CASE " + " ".join(f"WHEN {text} = {X.text(c)} THEN {i}D" for i, c in enumerate(classes)) + " END"
     stratified = min(counts.values()) >= 2 and len(counts) <= max(1, round(rows * TEST_SHARE))
-    train, test, names = _prepare(df, target, label, "_label" if stratified else None)
+    train, test, features = _prepare(df, target, label, "_label" if stratified else None, hashed)
     in_train = {r["_label"]: r["count"] for r in train.groupBy("_label").count().collect()}
     total = sum(in_train.values())
     weight = "CASE " + " ".join(
@@ -352,67 +383,36 @@ def classify(df: DataFrame, target: str, max_rows: int | None = None, trees: int
     return ModelResult(
         "completed", CLASSIFICATION, target, model="Random Forest Classifier",
         metrics=classification_metrics(predictions),
-        importance=feature_importance(model, names, df.sparkSession),
+        importance=feature_importance(model, features, df.sparkSession),
         classes=small_frame(df.sparkSession, sorted(counts.items()), "class string, count long"),
         predictions=predictions,
     )
 
 
-def silhouette(table: DataFrame, metric: str = "squaredEuclidean", rows: int = SILHOUETTE_ROWS) -> float:
-    """Mean silhouette of (features, prediction).
+def silhouette(table: DataFrame) -> float:
+    """Mean silhouette of (features, prediction) under squared Euclidean distance.
 
-    ``squaredEuclidean`` uses all rows. ``euclidean`` compares a fixed-size sample with itself:
-    the sample, at most ``rows`` vectors, is shared with every task.
+    Distances to a cluster follow from its count, sum and sum of squares, so no pairs are formed.
     """
-    if metric == "squaredEuclidean":
-        return ClusteringEvaluator(predictionCol="prediction", featuresCol="features").evaluate(table)
-    arrays = table.select(vector_to_array("features").alias("point"), "prediction")
-    arrays = arrays if ROW not in table.columns else table.select(vector_to_array("features").alias("point"), "prediction", ROW)
-    drawn = materialize(cap_rows(arrays, rows), "silhouette").select("point", "prediction")
-    local = drawn.collect()
-    points = np.array([r.point for r in local])
-    labels = np.array([r.prediction for r in local])
-    if len(set(labels)) < 2:
-        return float("nan")
-    shared = drawn.sparkSession.sparkContext.broadcast((points, labels))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        others, owner = shared.value
-        groups = np.unique(owner)
-        sizes = np.array([(owner == g).sum() for g in groups])
-        for batch in batches:
-            mine = np.stack(batch["point"].to_numpy())
-            own = np.searchsorted(groups, batch["prediction"].to_numpy())
-            squares = (mine**2).sum(1)[:, None] + (others**2).sum(1)[None, :] - 2 * mine @ others.T
-            distance = np.sqrt(np.maximum(squares, 0))
-            sums = np.stack([distance[:, owner == g].sum(1) for g in groups], axis=1)
-            at = np.arange(len(own))
-            inside = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-            means = sums / sizes
-            means[at, own] = np.inf
-            nearest = means.min(1)
-            value = (nearest - inside) / np.maximum(np.maximum(nearest, inside), 1e-300)
-            yield pd.DataFrame({"score": np.where(sizes[own] == 1, 0.0, value)})
-
-    return drawn.mapInPandas(score, "score double").agg(F.avg("score")).first()[0]
-
-
-def cluster(df: DataFrame, max_rows: int | None = None, metric: str = "squaredEuclidean") -> ModelResult:
-    """KMeans with the cluster count, 2 to 6, of the best silhouette."""
-    df = cap_rows(df, max_rows) if max_rows else df
+    return ClusteringEvaluator(predictionCol="prediction", featuresCol="features").evaluate(table)
+
+
+def cluster(df: DataFrame, starts: int = STARTS, hashed: Sequence[str] = ()) -> ModelResult:
+    """KMeans with the cluster count, 2 to 6, of the best silhouette; each count's best of several starts."""
     rows = df.count()
     if rows < MIN_CLUSTER_ROWS:
         return skipped(CLUSTERING, "Clustering needs at least five records.")
     frame = times_as_seconds(df)
-    features = feature_pipeline(frame)
+    features = feature_pipeline(frame, hashed)
     keep = ["features"] + ([ROW] if ROW in frame.columns else [])
     table = materialize(features.transform(frame).select(*keep), "features")
     best = None
     for k in range(2, min(MAX_CLUSTERS, rows - 1) + 1):
-        assigned = KMeans(k=k, seed=SEED).fit(table).transform(table)
+        fits = [KMeans(k=k, seed=SEED + i).fit(table) for i in range(starts)]
+        assigned = min(fits, key=lambda fit: fit.summary.trainingCost).transform(table)
         if assigned.select("prediction").distinct().count() < 2:
             continue
-        score = silhouette(assigned, metric)
+        score = silhouette(assigned)
         if best is None or score > best[0]:
             best = (score, k, assigned)
     if best is None:
@@ -423,21 +423,21 @@ def cluster(df: DataFrame, max_rows: int | None = None, metric: str = "squaredEu
         metrics={"silhouette_score": round(score, 4), "clusters": float(k)},
         clusters=assigned.groupBy(F.col("prediction").alias("cluster")).count(),
         predictions=assigned.select(*[c for c in keep if c == ROW], "prediction"),
-        notes=f"silhouette metric: {metric}",
+        notes="silhouette metric: squaredEuclidean",
     )
 
 
-def model(df: DataFrame, target: str | None = None, max_rows: int | None = None) -> ModelResult:
+def model(df: DataFrame, target: str | None = None, hashed: Sequence[str] = ()) -> ModelResult:
     """Pick and run the model that suits the table and target, or say why there is none."""
     if len(df.head(MIN_ROWS)) < MIN_ROWS:
         return skipped("insufficient_data", "At least 8 records are needed for a baseline model.", target)
     columns = data_columns(df)
     if target is None:
-        return cluster(df, max_rows)
+        return cluster(df, hashed=hashed)
     if target not in columns:
         return skipped("target_missing", f"Target column '{target}' is not in the table.", target)
     if len(columns) < 2:
         return skipped("missing_features", "The table has no column besides the target.", target)
     if target_mode(df, target) == REGRESSION:
-        return regress(df, target, max_rows)
-    return classify(df, target, max_rows)
+        return regress(df, target, hashed=hashed)
+    return classify(df, target, hashed=hashed)

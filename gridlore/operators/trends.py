@@ -9,7 +9,6 @@ from gridlore.operators.ordering import ROW, positions, require_row, sorted_posi
 from gridlore.operators.profile import columns_of, per_column
 from gridlore.session import small_frame
 
-TREND_COLUMNS = 4
 STEEP = 0.08
 POSITION = "_position"
 
@@ -21,7 +20,7 @@ def trend_basis(df: DataFrame, columns: list[str] | None = None, basis: str | No
     time spread over several partitions.
     """
     require_row(df)
-    columns = columns_of(df, X.NUMERIC)[:TREND_COLUMNS] if columns is None else columns
+    columns = columns_of(df, X.NUMERIC) if columns is None else columns
     times = columns_of(df, X.DATETIME)
     basis = basis or (times[0] if times else None)
     dtypes = X.types_of(df)
@@ -34,12 +33,12 @@ def trend_basis(df: DataFrame, columns: list[str] | None = None, basis: str | No
 
 
 def trends(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per numeric column (first four): least-squares slope on position, and its direction.
+    """Per numeric column: least-squares slope on position, and its direction.
 
     The slope is scaled by positions and value range: above 0.08 upward, below -0.08 downward.
     A column with fewer than two distinct values is stable and has no slope.
     """
-    columns = columns_of(df, X.NUMERIC)[:TREND_COLUMNS] if columns is None else columns
+    columns = columns_of(df, X.NUMERIC) if columns is None else columns
     schema = "column string, position int, direction string, basis string, slope double, description string"
     if not columns:
         return small_frame(df.sparkSession, [], schema)
@@ -58,7 +57,7 @@ def trends(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     order = small_frame(df.sparkSession, list(zip(columns, range(len(columns)))), "column string, position int")
     where = f"when records are ordered by {basis}" if basis != "row_order" else "across the dataset order"
     return (
-        fitted.join(F.broadcast(order), "column")  # at most four rows
+        fitted.join(F.broadcast(order), "column")  # one row per column
         .selectExpr(
             "column",
             "position",

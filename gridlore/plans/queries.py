@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyarrow import fs
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,7 +27,7 @@ from gridlore.operators import sampling as K
 from gridlore.operators import trends as T
 from gridlore.operators.ordering import ROW
 from gridlore.plans import report, store
-from gridlore.session import scratch_path
+from gridlore.session import materialize, scratch_path, small_frame
 from gridlore.sources import readers, staging
 from gridlore.sources.workbook import read_workbooks
 
@@ -622,8 +623,10 @@ def r1(spark, folder):
     return R.correlation_matrix(table(spark, folder, "lineitem")).select("x", "y", "correlation")
 
 
-FLAT = "SELECT event_id, value, user_id, 7 AS constant, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value * user_id END AS gappy FROM events"
-FLAT_COLUMNS = ["event_id", "value", "user_id", "constant", "gappy"]
+REMAINDERS = [f"user_id % {k} AS rest_{k}" for k in (3, 5, 7, 11, 13)]
+FLAT = f"""SELECT event_id, value, user_id, 7 AS constant, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value * user_id END AS gappy,
+    {", ".join(REMAINDERS)} FROM events"""
+FLAT_COLUMNS = ["event_id", "value", "user_id", "constant", "gappy", *[p.split()[-1] for p in REMAINDERS]]
 
 
 @query(
@@ -633,7 +636,7 @@ FLAT_COLUMNS = ["event_id", "value", "user_id", "constant", "gappy"]
 )
 def r2(spark, folder):
     events = spark.sql(FLAT.replace("FROM events", "FROM {e}"), e=spark.read.parquet(f"{folder}/events.parquet"))
-    pairs = R.correlation_pairs(events, max_columns=R.RAW_COLUMN_LIMIT, null_as_zero=True)
+    pairs = R.correlation_pairs(events, null_as_zero=True)
     return pairs.select("left_column", "right_column", "correlation")
 
 
@@ -751,18 +754,20 @@ def t2(spark, folder):
     return T.trends(table(spark, folder, "orders")).select("column", "slope")
 
 
-_ROW_TREND = """WITH e AS (SELECT event_id, user_id, value, 5 AS constant, event_id AS p FROM events)"""
+_ROW_TREND = """WITH e AS (SELECT event_id, user_id, value, 5 AS constant, event_id % 5 AS fifth, event_id * value AS sixth,
+    event_id AS p FROM events)"""
 
 
 @query(
     "t3_trends",
-    f"""{_ROW_TREND}, f AS ({_slope_sql(["event_id", "user_id", "value", "constant"], "e")})
+    f"""{_ROW_TREND}, f AS ({_slope_sql(["event_id", "user_id", "value", "constant", "fifth", "sixth"], "e")})
         SELECT "column", 'row_order' AS basis, CASE WHEN span > 0 THEN round(s, 4) END AS slope,
         CASE WHEN span = 0 THEN 'stable' WHEN s * steps / span > 0.08 THEN 'upward'
              WHEN s * steps / span < -0.08 THEN 'downward' ELSE 'stable' END AS direction FROM f""",
 )
 def t3(spark, folder):
-    events = table(spark, folder, "events").select("event_id", "user_id", "value", F.lit(5).alias("constant"), ROW)
+    events = table(spark, folder, "events").select("event_id", "user_id", "value", F.lit(5).alias("constant"),
+        F.expr("event_id % 5").alias("fifth"), F.expr("event_id * value").alias("sixth"), ROW)
     return T.trends(events).select("column", "basis", "slope", "direction")
 
 
@@ -917,7 +922,9 @@ def k3(spark, folder):
 )
 def k4(spark, folder):
     ordered = K.order_by(table(spark, folder, "orders"), "o_orderdate").select("o_orderkey", "o_orderdate", ROW)
-    placed = H.sorted_positions(ordered, ["o_orderdate", ROW], "place")
+    # partitions of a sorted table follow each other, so ids ascend in its order
+    slots = materialize(ordered.withColumn("_slot", F.monotonically_increasing_id()), "ordered")
+    placed = H.sorted_positions(slots, ["_slot"], "place")
     return placed.selectExpr("o_orderkey", "o_orderdate", "place + 1 AS place")
 
 
@@ -1023,6 +1030,26 @@ def m3(spark, folder):
     )
 
 
+@query(
+    "m3_one_hot_levels",
+    """WITH p AS (SELECT p_partkey, concat(p_brand, '/', p_type, '/', p_size) AS kind FROM part)
+       SELECT p_partkey, dense_rank() OVER (ORDER BY kind) AS level, 1 + (SELECT count(DISTINCT kind) FROM p) AS slots,
+       kind AS name FROM p""",
+)
+def m3_levels(spark, folder):
+    """The slot of each part's kind among all kinds, behind one number, and the name that belongs to it."""
+    part = spark.read.parquet(f"{folder}/part.parquet").selectExpr(
+        "p_partkey", "concat(p_brand, '/', p_type, '/', p_size) AS kind", "p_retailprice"
+    )
+    features = M.feature_pipeline(part.drop("p_partkey"))
+    rows = features.transform(part).select("p_partkey", vector_to_array("features").alias("v"))
+    found = rows.selectExpr(
+        "p_partkey", "array_position(slice(v, 2, size(v) - 1), 1D) AS level", "CAST(size(v) AS BIGINT) AS slots"
+    )
+    names = features.levels[0].selectExpr("CAST(_i AS BIGINT) + 1 AS level", "_c AS name")
+    return found.join(names, "level")
+
+
 @query("m4_regression")
 def m4(spark, folder):
     return M.model(table(spark, folder, "orders"), "o_totalprice").table(spark)
@@ -1051,13 +1078,26 @@ def m6(spark, folder):
 
 @query("m7_clusters")
 def m7(spark, folder):
-    return M.cluster(table(spark, folder, "customer").drop("c_name")).clusters
+    return M.cluster(table(spark, folder, "customer")).clusters
 
 
-@query("m8_silhouette_euclidean")
+@query(
+    "m8_silhouette",
+    """WITH p AS (SELECT c_mktsegment AS g, CAST(c_nationkey AS DOUBLE) AS x, c_acctbal / 1000 AS y FROM customer),
+       s AS (SELECT g, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS ss FROM p GROUP BY g),
+       d AS (SELECT p.x, p.y, p.g, s.g = p.g AS own,
+                    n * (p.x * p.x + p.y * p.y) + ss - 2 * (p.x * sx + p.y * sy) AS total, n FROM p, s),
+       m AS (SELECT x, y, g, max(CASE WHEN own THEN total / (n - 1) END) AS inside, min(CASE WHEN NOT own THEN total / n END) AS nearest
+             FROM d GROUP BY ALL)
+       SELECT round(avg((nearest - inside) / greatest(nearest, inside)), 6) AS silhouette FROM m""",
+)
 def m8(spark, folder):
-    customers = table(spark, folder, "customer").select("c_nationkey", "c_acctbal", ROW)
-    return M.cluster(customers, metric="euclidean").table(spark)
+    """Customers grouped by segment; segments differ in their first letter."""
+    customers = spark.read.parquet(f"{folder}/customer.parquet").selectExpr(
+        "c_nationkey AS x", "c_acctbal / 1000 AS y", "CAST(ascii(c_mktsegment) AS DOUBLE) AS prediction"
+    )
+    grouped = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(customers)
+    return small_frame(spark, [(round(M.silhouette(grouped), 6),)], "silhouette double")
 
 
 @query("m9_feature_importance")

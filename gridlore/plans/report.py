@@ -35,11 +35,11 @@ class Report:
     What several sections need (moments, quartiles, pairs) is computed once and shared.
     """
 
-    def __init__(self, frame, summary, name, target, mode, with_charts=True, with_model=True, max_rows=None):
+    def __init__(self, frame, summary, name, target, mode, with_charts=True, with_model=True):
         self.frame: DataFrame = frame
         self.summary: cleaning.CleaningSummary = summary
         self.name, self.target, self.mode = name, target, mode
-        self.with_charts, self.with_model, self.max_rows = with_charts, with_model, max_rows
+        self.with_charts, self.with_model = with_charts, with_model
         self.spark = frame.sparkSession
         self.numbers = profile.columns_of(frame, X.NUMERIC)
 
@@ -54,9 +54,8 @@ class Report:
     @cached_property
     def _pairs(self) -> DataFrame:
         raw = self.mode == "raw"
-        limit = correlation.RAW_COLUMN_LIMIT if raw else None
         found = correlation.correlation_pairs(
-            self.frame, self.numbers, limit, raw, stats=self._stats, rows=self.summary.cleaned_rows
+            self.frame, self.numbers, null_as_zero=raw, stats=self._stats, rows=self.summary.cleaned_rows
         )
         return small_frame(self.spark, [tuple(r) for r in found.collect()], correlation.PAIR_SCHEMA)
 
@@ -90,8 +89,7 @@ class Report:
         return self._statistics
 
     def correlations(self) -> DataFrame:
-        limit = correlation.RAW_COLUMN_LIMIT if self.mode == "raw" else None
-        return correlation.heatmap(self._pairs, self.numbers[:limit] if len(self.numbers) > 1 else [])
+        return correlation.heatmap(self._pairs, self.numbers if len(self.numbers) > 1 else [])
 
     def strongest_pairs(self, k: int = 6) -> DataFrame:
         return correlation.strongest_pairs(self._pairs, k)
@@ -121,7 +119,7 @@ class Report:
     def model(self) -> modeling.ModelResult:
         if not self.with_model:
             return modeling.skipped("preview_deferred", "Previews leave out modelling.", self.target)
-        return modeling.model(self.frame, self.target, self.max_rows)
+        return modeling.model(self.frame, self.target)
 
     def modeling(self) -> DataFrame:
         return self.model.table(self.spark)
@@ -201,12 +199,10 @@ def analyze(
     charts: bool = True,
     modeling: bool = True,
     order_by: list | None = None,
-    max_rows: int | None = None,
 ) -> Report:
     """Analyse a table: ``clean`` cleans it first, ``raw`` profiles it as it is.
 
-    ``order_by`` gives the row order of a table that has no source order. ``max_rows`` caps the
-    rows a model trains on; by default it uses all.
+    ``order_by`` gives the row order of a table that has no source order.
     """
     if mode not in profile.MODES:
         raise ValueError(f"mode is one of {profile.MODES}")
@@ -225,7 +221,7 @@ def analyze(
     wanted = normalize_name(target) if target else None
     if wanted and wanted not in frame.columns:
         raise ValueError(f"There is no column '{target}' to model.")
-    return Report(frame, summary, name, wanted, mode, charts, modeling, max_rows)
+    return Report(frame, summary, name, wanted, mode, charts, modeling)
 
 
 def preview(df: DataFrame, name: str, size: str = "large", rows: int | None = None) -> Report:

@@ -168,7 +168,17 @@ def test_models_learn(spark):
 
 def test_clusters_and_silhouettes(spark):
     df = spark.range(90).selectExpr("(id % 3) * 100 + (id % 5) * 0.1 AS x", f"id AS {ROW}")
-    for metric in ("squaredEuclidean", "euclidean"):
-        found = M.cluster(df, metric=metric)
-        assert found.metrics["clusters"] == 3 and found.metrics["silhouette_score"] > 0.95
-        assert sorted(r["count"] for r in found.clusters.collect()) == [30, 30, 30]
+    found = M.cluster(df)
+    assert found.metrics["clusters"] == 3 and found.metrics["silhouette_score"] > 0.95
+    assert sorted(r["count"] for r in found.clusters.collect()) == [30, 30, 30]
+
+
+def test_every_level_has_its_slot(spark):
+    df = spark.range(260).selectExpr("concat('k', id % 130) AS t", "concat('h', id) AS h", "id AS n", f"id AS {ROW}")
+    features = M.feature_pipeline(df.drop("h"))
+    seen = {r.t: tuple(r.features.indices[r.features.indices > 0]) for r in features.transform(df).collect()}
+    assert len(set(seen.values())) == 130 and features.size == 131
+    assert all(features.names(slots)[slots[0]] == f"t_{t}" for t, slots in seen.items())
+    unknown = features.transform(spark.range(1).selectExpr("'new' AS t", "id AS n")).first().features
+    assert unknown.size == 131 and set(unknown.indices) <= {0}
+    assert M.feature_pipeline(df, hashed=["h"]).size == 1 + 130 + M.HASHED_FEATURES
