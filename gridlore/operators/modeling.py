@@ -19,7 +19,7 @@ from gridlore.functions import exprs as X
 from gridlore.operators.cleaning import fill_values
 from gridlore.operators.ordering import ROW, data_columns, sorted_positions
 from gridlore.operators.profile import columns_of, numeric_stats
-from gridlore.operators.sampling import SEED, cap_rows, sample_hash
+from gridlore.operators.sampling import HASH_BITS, SEED, cap_rows, sample_hash
 from gridlore.session import materialize, run_sql, small_frame
 
 # Model sizes and guards.
@@ -106,7 +106,7 @@ def split(df: DataFrame, share: float = TEST_SHARE, stratify: str | None = None,
     sorted or gathered. Give ``stratify`` only for a target of bounded class count.
     """
     group = F.col(X.quote(stratify)).cast("string") if stratify else F.lit("all")
-    keyed = df.withColumn("_key", F.shiftrightunsigned(sample_hash(df, seed), 64 - KEY_BITS)).withColumn("_class", group)
+    keyed = df.withColumn("_key", F.shiftright(sample_hash(df, seed), HASH_BITS - KEY_BITS)).withColumn("_class", group)
     sizes = {r["_class"]: r["count"] for r in keyed.groupBy("_class").count().collect()}
     wanted = _shares(sizes, share)
     cuts = _cut_offs(keyed, wanted)

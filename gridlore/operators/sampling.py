@@ -12,6 +12,7 @@ from gridlore.operators.ordering import ROW, data_columns, positions, require_ro
 from gridlore.session import small_frame
 
 SEED = 42
+HASH_BITS = 60
 # Sample sizes by file class, and page limits.
 SAMPLE_SIZES = {
     "preview": {"small": 10_000, "medium": 3_000, "large": 1_500},
@@ -23,12 +24,15 @@ MAX_PAGE_SIZE = 100
 
 
 def sample_hash(df: DataFrame, seed: int = SEED) -> Column:
-    """A uniform 64-bit number per row that does not depend on partitioning.
+    """A uniform number of ``HASH_BITS`` bits per row that does not depend on partitioning.
 
-    It mixes the row number when there is one; without it, copies of a row share a number.
+    It comes from the MD5 of seed and row number, which any SQL engine can repeat. Without a row
+    number the columns are hashed instead, and copies of a row share a number.
     """
-    keys = [ROW] if ROW in df.columns else df.columns
-    return F.xxhash64(F.lit(seed), *[F.col(X.quote(k)) for k in keys])
+    if ROW in df.columns:
+        digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col(ROW).cast("string")))
+        return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(X.quote(k)) for k in df.columns]), 64 - HASH_BITS)
 
 
 def head(df: DataFrame, n: int) -> DataFrame:
@@ -50,8 +54,7 @@ def sample_n(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     hashed = df.withColumn("_hash", sample_hash(df, seed))
     share = (n + 6 * math.sqrt(n) + 16) / total
     while True:
-        cut = min(-(2**63) + int(min(share, 1.0) * 2**64), 2**63 - 1)
-        kept = hashed.where(F.col("_hash") <= F.lit(cut))
+        kept = hashed.where(F.col("_hash") <= F.lit(int(min(share, 1.0) * 2**HASH_BITS)))
         if share >= 1.0 or kept.count() >= n:
             break
         share *= 2

@@ -35,6 +35,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+
+def _sample_hash_sql(row: str) -> str:
+    """The sample hash of a row number, as DuckDB writes it."""
+    return f"CAST(concat('0x', substr(md5(concat('42-', {row})), 1, 15)) AS BIGINT)"
+
+
+def _sampled_sql(n: int, columns: str = "*", source: str = "lineitem") -> str:
+    numbered = f"SELECT {columns}, row_number() OVER () - 1 AS r FROM {source}"
+    return f"SELECT * FROM ({numbered}) ORDER BY {_sample_hash_sql('r')}, r LIMIT {n}"
+
+
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *MEASURES]
 
@@ -520,6 +531,23 @@ def d3_distinct(spark, folder):
     return D.approximate_distinct(table(spark, folder, "lineitem"))
 
 
+LINE_COLUMNS = [*NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query(
+    "d3_approximate_distinct_bound",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS exact, true AS within_bound FROM lineitem""" for c in LINE_COLUMNS
+    ),
+)
+def d3_bound(spark, folder):
+    """Approximate counts lie within three standard errors (5 % each) of the exact ones."""
+    lines = table(spark, folder, "lineitem")
+    exact = D.profile(lines, "clean").select("column", F.col("unique_values").alias("exact"))
+    near = "abs(unique_values - exact) <= 0.15 * exact AS within_bound"
+    return exact.join(D.approximate_distinct(lines), "column").selectExpr("column", "exact", near)
+
+
 def _summary_sql(columns: list[str], source: str) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median,
@@ -555,6 +583,28 @@ def d5_approximate(spark, folder):
     return Q.approximate_quantiles(table(spark, folder, "lineitem"), MEASURES, PROBABILITIES)
 
 
+@query(
+    "d5_approximate_quantiles_bound",
+    f"""SELECT c AS "column", p::DOUBLE AS probability, true AS within_bound
+        FROM (VALUES {", ".join(f"('{c}')" for c in MEASURES)}) a(c), (VALUES {", ".join(f"({p})" for p in PROBABILITIES)}) b(p)""",
+)
+def d5_bound(spark, folder):
+    """Each value's ranks reach within a ten-thousandth of the rows around the wanted one."""
+    lines = table(spark, folder, "lineitem")
+    found = Q.approximate_quantiles(lines, MEASURES, PROBABILITIES).collect()  # columns times probabilities
+    counts = lines.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(r["column"]) < r.value).alias(f"below{i}") for i, r in enumerate(found)],
+        *[F.count_if(F.col(r["column"]) <= r.value).alias(f"upto{i}") for i, r in enumerate(found)],
+    ).first()
+    slack = counts.n / 10_000 + 1
+    rows = [
+        (r["column"], r.probability, counts[f"below{i}"] - slack <= r.probability * counts.n <= counts[f"upto{i}"] + slack)
+        for i, r in enumerate(found)
+    ]
+    return small_frame(spark, rows, "column string, probability double, within_bound boolean")
+
+
 @query(
     "d6_datetime_summary",
     """SELECT 'l_shipdate' AS "column", strftime(min(l_shipdate), '%Y-%m-%dT%H:%M:%S') AS min_time,
@@ -577,16 +627,23 @@ def d7(spark, folder):
     return D.categorical_summary(table(spark, folder, "lineitem"))
 
 
+def _statistics_sql(numbers: list[str], texts: list[str], time: str, source: str) -> str:
+    counted = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS non_null_count, count(DISTINCT {c}) AS unique_values FROM {source}"""
+        for c in (*numbers, *texts, time)
+    )
+    return f"""num AS ({_summary_sql(numbers, source)}), txt AS ({_top_sql(texts, source)}),
+        tim AS (SELECT '{time}' AS "column", strftime(min({time}), '%Y-%m-%dT%H:%M:%S') AS min_time,
+                strftime(max({time}), '%Y-%m-%dT%H:%M:%S') AS max_time FROM {source}),
+        cnt AS ({counted})
+        SELECT "column", non_null_count, unique_values, mean, median, std, min, max, q1, q3, min_time, max_time, top_value, top_frequency
+        FROM cnt LEFT JOIN num USING ("column") LEFT JOIN txt USING ("column") LEFT JOIN tim USING ("column")"""
+
+
 @query(
     "d8_summary_statistics",
-    f"""WITH num AS ({_summary_sql(["o_orderkey", "o_custkey", "o_totalprice"], "orders")}),
-        txt AS ({_top_sql(["o_orderstatus", "o_orderpriority"], "orders")}),
-        tim AS (SELECT 'o_orderdate' AS "column", strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS min_time,
-                strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS max_time FROM orders),
-        cnt AS ({" UNION ALL ".join(f'''SELECT '{c}' AS "column", count({c}) AS non_null_count, count(DISTINCT {c}) AS unique_values FROM orders'''
-                for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))})
-        SELECT "column", non_null_count, unique_values, mean, median, std, min, max, q1, q3, min_time, max_time, top_value, top_frequency
-        FROM cnt LEFT JOIN num USING ("column") LEFT JOIN txt USING ("column") LEFT JOIN tim USING ("column")""",
+    "WITH "
+    + _statistics_sql(["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], "o_orderdate", "orders"),
 )
 def d8(spark, folder):
     return D.summary_statistics(table(spark, folder, "orders")).drop("position", "dtype", "kind", "castable_count")
@@ -812,9 +869,10 @@ def v4(spark, folder):
     return bins.selectExpr("bin", "round(left_edge, 4) AS left_edge", "round(right_edge, 4) AS right_edge", "label", "count")
 
 
-@query("v5_sampled_histogram")
+@query("v5_sampled_histogram", _HISTOGRAM.format(c="l_extendedprice", t=f"({_sampled_sql(V.CHART_ROWS)})"))
 def v5(spark, folder):
-    return V.sampled_histogram(table(spark, folder, "lineitem"), "l_extendedprice")
+    bins = V.sampled_histogram(table(spark, folder, "lineitem"), "l_extendedprice")
+    return bins.selectExpr("bin", "round(left_edge, 4) AS left_edge", "round(right_edge, 4) AS right_edge", "label", "count")
 
 
 @query(
@@ -829,7 +887,11 @@ def v6(spark, folder):
     return found.selectExpr("column", *[f"round({c}, 4) AS {c}" for c in found.columns[1:]])
 
 
-@query("v7_sampled_box_points")
+@query(
+    "v7_sampled_box_points",
+    f"""{_SKEWED_SQL}, d AS ({_sampled_sql(V.CHART_ROWS, source="s")}), b AS ({_bounds_sql(["unit"], "d")})
+        SELECT r AS {ROW}, unit FROM d, b WHERE unit < lo OR unit > hi""",
+)
 def v7(spark, folder):
     return V.sampled_box(skewed_lines(spark, folder), "unit")[1]
 
@@ -849,7 +911,7 @@ def v8(spark, folder):
     return V.density(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice")
 
 
-@query("v9_scatter")
+@query("v9_scatter", f"SELECT l_quantity AS x, l_extendedprice AS y FROM ({_sampled_sql(V.CHART_ROWS)})")
 def v9(spark, folder):
     return V.scatter(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice")
 
@@ -877,9 +939,13 @@ def v11(spark, folder):
     return V.line_order(gappy, "value", block_rows=1000).selectExpr("record_index", "round(y, 4) AS y")
 
 
-@query("v12_sampled_line")
+@query(
+    "v12_sampled_line",
+    f"SELECT l_shipdate AS x, round(avg(l_extendedprice), 4) AS y FROM ({_sampled_sql(V.CHART_ROWS)}) GROUP BY 1",
+)
 def v12(spark, folder):
-    return V.sampled_line(table(spark, folder, "lineitem"), "l_extendedprice", "l_shipdate")
+    points = V.sampled_line(table(spark, folder, "lineitem"), "l_extendedprice", "l_shipdate")
+    return points.select(F.col("x").cast("timestamp_ntz").alias("x"), F.round("y", 4).alias("y"))
 
 
 @query("v13_heatmap", MATRIX_SQL)
@@ -906,12 +972,12 @@ def k1(spark, folder):
     return K.head(table(spark, folder, "orders"), 3000).select("o_orderkey", "o_totalprice")
 
 
-@query("k2_reservoir_sample")
+@query("k2_reservoir_sample", f"SELECT * EXCLUDE r FROM ({_sampled_sql(3000)})")
 def k2(spark, folder):
     return K.sample_n(table(spark, folder, "lineitem"), 3000).drop(ROW)
 
 
-@query("k3_capped_sample")
+@query("k3_capped_sample", f"SELECT * EXCLUDE r FROM ({_sampled_sql(5000)})")
 def k3(spark, folder):
     return K.cap_rows(table(spark, folder, "lineitem"), 5000).drop(ROW)
 
@@ -1076,6 +1142,54 @@ def m6(spark, folder):
     return sized[0].unionByName(sized[1])
 
 
+@query(
+    "m6_split_members",
+    f"""WITH o AS (SELECT o_orderkey, o_orderpriority AS c, {_sample_hash_sql("o_orderkey")} >> 8 AS key FROM orders),
+        s AS (SELECT c, count(*) AS n, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS k FROM o GROUP BY c),
+        w AS (SELECT c, k + CAST(row_number() OVER (ORDER BY k - n * 0.2::DOUBLE, c) <=
+                    (SELECT ceil(sum(n) * 0.2::DOUBLE) - sum(k) FROM s) AS INT) AS wanted FROM s),
+        p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY key) AS place FROM o)
+        SELECT o_orderkey, CASE WHEN place <= wanted THEN 'test' ELSE 'train' END AS part FROM p JOIN w USING (c)""",
+)
+def m6_members(spark, folder):
+    """Row numbers of orders are their keys."""
+    train, test = M.split(table(spark, folder, "orders"), stratify="o_orderpriority")
+    named = [p.select("o_orderkey", F.lit(n).alias("part")) for n, p in (("train", train), ("test", test))]
+    return named[0].unionByName(named[1])
+
+
+GUESSED = """SELECT l_returnflag AS label, CASE WHEN l_linenumber <= 3 THEN l_returnflag
+    WHEN l_linestatus = 'O' THEN 'N' ELSE 'A' END AS prediction FROM lineitem"""
+
+
+@query(
+    "m5_metrics",
+    f"""WITH g AS ({GUESSED}), n AS (SELECT count(*) AS n FROM g),
+        c AS (SELECT label, count(*) AS actual, CAST(sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS DOUBLE) AS hit,
+              any_value(said) AS said FROM g LEFT JOIN (SELECT prediction AS p, count(*) AS said FROM g GROUP BY 1) ON label = p GROUP BY label),
+        r AS (SELECT actual / n AS share, hit / actual AS recall, coalesce(hit / said, 0) AS prec, hit, n FROM c, n),
+        m AS (SELECT round(sum(hit) / any_value(n), 4) AS accuracy, round(sum(share * prec), 4) AS "precision",
+              round(sum(share * recall), 4) AS recall,
+              round(sum(share * CASE WHEN prec + recall > 0 THEN 2 * prec * recall / (prec + recall) ELSE 0 END), 4) AS f1_score FROM r)
+        UNPIVOT m ON accuracy, "precision", recall, f1_score INTO NAME metric VALUE "value" """,
+)
+def m5_metrics(spark, folder):
+    guessed = spark.sql(GUESSED.replace("FROM lineitem", "FROM {lines}"), lines=table(spark, folder, "lineitem"))
+    return small_frame(spark, list(M.classification_metrics(guessed).items()), "metric string, value double")
+
+
+@query(
+    "m4_metrics",
+    """WITH g AS (SELECT l_extendedprice AS label, l_quantity * 1000 AS prediction FROM lineitem),
+       m AS (SELECT round(sqrt(avg((label - prediction) ** 2)), 4) AS rmse, round(avg(abs(label - prediction)), 4) AS mae,
+             round(1 - sum((label - prediction) ** 2) / (var_pop(label) * count(*)), 4) AS r2 FROM g)
+       UNPIVOT m ON rmse, mae, r2 INTO NAME metric VALUE "value" """,
+)
+def m4_metrics(spark, folder):
+    guessed = table(spark, folder, "lineitem").selectExpr("l_extendedprice AS label", "l_quantity * 1000 AS prediction")
+    return small_frame(spark, list(M.regression_metrics(guessed).items()), "metric string, value double")
+
+
 @query("m7_clusters")
 def m7(spark, folder):
     return M.cluster(table(spark, folder, "customer")).clusters
@@ -1118,9 +1232,14 @@ def n2(spark, folder):
     return report.analyze(table(spark, folder, "lineitem"), "lines", mode="raw", modeling=False).columns()
 
 
-@query("n3_preview")
+@query(
+    "n3_preview",
+    f"WITH drawn AS MATERIALIZED ({_sampled_sql(1500)}), "
+    + _statistics_sql(NUMBERS, ["l_returnflag", "l_linestatus"], "l_shipdate", "drawn"),
+)
 def n3(spark, folder):
-    return report.preview(table(spark, folder, "lineitem"), "lines").summary_statistics()
+    statistics = report.preview(table(spark, folder, "lineitem"), "lines").summary_statistics()
+    return statistics.drop("position", "dtype", "kind", "castable_count")
 
 
 @query(
