@@ -27,8 +27,21 @@ DATE_FORMATS = {
     "M/d/yyyy H:mm:ss": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
     "d/M/yyyy H:mm": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$",
     "d/M/yyyy H:mm:ss": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
+    "yyyy/M/d H:mm": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}$",
     "yyyy/M/d H:mm:ss": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
+    "M/d/yy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$",
+    "d/M/yy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$",
+    "d-MMM-yy": r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{2}$",
+    "d-MMM-yyyy H:mm": r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4} [0-9]{1,2}:[0-9]{2}$",
+    "d-MMM-yyyy H:mm:ss": r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
+    "M/d/yyyy h:mm a": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2} [AaPp][Mm]$",
+    "M/d/yyyy h:mm:ss a": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2} [AaPp][Mm]$",
+    "d/M/yyyy h:mm a": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2} [AaPp][Mm]$",
+    "MMM d, yyyy H:mm": r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4} [0-9]{1,2}:[0-9]{2}$",
+    "MMM d, yyyy H:mm:ss": r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
+    "d MMM yyyy H:mm": r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{1,2}:[0-9]{2}$",
 }
+DATE_SHAPES = list(dict.fromkeys(DATE_FORMATS.values()))  # no text has two of them
 
 NUMERIC, DATETIME, CATEGORICAL = "numeric", "datetime", "categorical"
 
@@ -73,15 +86,20 @@ def double(c: str, dtype: T.DataType | None = None) -> str:
 
 
 def timestamp(c: str, fmt: str = "iso", dtype: T.DataType | None = None) -> str:
-    """Timestamp without zone or null; ``fmt`` is a key of ``DATE_FORMATS``."""
+    """Timestamp without zone or null; ``fmt`` is a key of ``DATE_FORMATS``.
+
+    Texts with an offset are moved to the session's zone, which ``configure`` sets to UTC.
+    """
     if dtype is not None and kind_of(dtype) == DATETIME:
         return f"CAST({c} AS TIMESTAMP_NTZ)"
     t = f"trim(CAST({c} AS STRING))"
     parsed = (
-        f"try_cast({t} AS TIMESTAMP_NTZ)"
+        f"CAST(try_cast({t} AS TIMESTAMP) AS TIMESTAMP_NTZ)"
         if fmt == "iso"
         else f"CAST(try_to_timestamp({t}, {text(fmt)}) AS TIMESTAMP_NTZ)"
     )
+    if "yy" in fmt and "yyyy" not in fmt:  # two digits stand for 1969 to 2068
+        parsed = f"{parsed} - make_interval(CASE WHEN year({parsed}) > 2068 THEN 100 ELSE 0 END)"
     return f"CASE WHEN {t} RLIKE {text(DATE_FORMATS[fmt])} THEN {parsed} END"
 
 

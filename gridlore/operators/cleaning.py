@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gridlore.functions import exprs as X
 from gridlore.functions.names import unique_names
 from gridlore.operators.ordering import ROW, data_columns, fill_both_ways, require_row
-from gridlore.operators.profile import columns_of, missing_counts, per_column, value_groups
+from gridlore.operators.profile import AGGREGATES_PER_SCAN, columns_of, missing_counts, per_column, value_groups
 from gridlore.operators.quantiles import exact_quantiles
 from gridlore.session import materialize, small_frame
 
@@ -58,7 +58,7 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Inference:
-    """What one scan says about a text column."""
+    """What the values of a text column parse as; ``dates`` counts by format, where any value has its shape."""
 
     rows: int
     values: int
@@ -71,8 +71,8 @@ class Inference:
     @property
     def date_format(self) -> str | None:
         """The format that parses most values; the earlier listed one on ties."""
-        best = max(self.dates, key=lambda f: self.dates[f])
-        return best if self.dates[best] else None
+        best = max(self.dates, key=lambda f: self.dates[f], default=None)
+        return best if best and self.dates[best] else None
 
     def kind(self, share: float = PARSE_SHARE) -> str:
         if not self.values:
@@ -86,13 +86,17 @@ class Inference:
 def inspect_text(df: DataFrame, columns: list[str]) -> dict[str, Inference]:
     """Count, over all rows, what every text column's values parse as.
 
-    A value is parsed with a date format only if it has that format's shape.
+    One scan finds the shape of each value and notes which date shapes a column has. Only dates
+    of those shapes are parsed, in a second scan over the columns that have any.
     """
     if not columns:
         return {}
-    formats = list(X.DATE_FORMATS)
     place = {c: i for i, c in enumerate(columns)}
-    # trimmed once per value; only values with a date mark are held against the date formats
+
+    def shape(t):
+        return " ".join(f"WHEN {t} RLIKE {X.text(p)} THEN {1 << i}" for i, p in enumerate(X.DATE_SHAPES))
+
+    # trimmed once per value; only values with a date mark are held against the date shapes
     trimmed = df.selectExpr(
         *[f"{X.strip(X.quote(c))} AS t{i}" for c, i in place.items()],
         *[f"{X.quote(c)} AS c{i}" for c, i in place.items()],
@@ -107,15 +111,22 @@ def inspect_text(df: DataFrame, columns: list[str]) -> dict[str, Inference]:
             f"count_if(m{i})",
             f"count({X.double(f't{i}')})",
             f"count_if(t{i} RLIKE {X.text(X.INTEGER_PATTERN)})",
-            *[f"count(CASE WHEN m{i} THEN {X.timestamp(f't{i}', f)} END)" for f in formats],
+            f"coalesce(bit_or(CASE WHEN NOT m{i} THEN 0 {shape(f't{i}')} ELSE 0 END), 0)",
         ]
 
-    names = ["n", "a", "b", "c", "d", "e", *[f"f{i}" for i in range(len(formats))]]
-    found = {}
-    for r in per_column(trimmed, columns, aggregates, names).collect():
-        dates = {f: r[f"f{i}"] for i, f in enumerate(formats)}
-        found[r["column"]] = Inference(r.n, r.a, r.b, r.c, r.d, r.e, dates)
-    return found
+    seen = {r["column"]: r for r in per_column(trimmed, columns, aggregates, ["n", "a", "b", "c", "d", "e", "shapes"]).collect()}
+    formats = [
+        (c, f)
+        for c in columns
+        for f, pattern in X.DATE_FORMATS.items()
+        if seen[c].shapes >> X.DATE_SHAPES.index(pattern) & 1
+    ]
+    dates: dict[str, dict[str, int]] = {c: {} for c in columns}
+    for chunk in (formats[i : i + AGGREGATES_PER_SCAN] for i in range(0, len(formats), AGGREGATES_PER_SCAN)):
+        counts = trimmed.selectExpr(*[f"count({X.timestamp(f't{place[c]}', f)}) AS f{i}" for i, (c, f) in enumerate(chunk)])
+        for (c, f), n in zip(chunk, counts.first()):
+            dates[c][f] = n
+    return {c: Inference(r.n, r.a, r.b, r.c, r.d, r.e, dates[c]) for c, r in seen.items()}
 
 
 def text_columns(df: DataFrame) -> list[str]:

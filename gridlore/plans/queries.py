@@ -406,6 +406,23 @@ def c5(spark, folder):
     return orders.selectExpr("o_orderkey", f"date_format({day}, 'yyyy-MM-dd') AS placed")
 
 
+@query(
+    "c5_everyday_dates",
+    """SELECT o_orderkey, date_trunc('day', o_orderdate) AS short, date_trunc('minute', o_orderdate) + INTERVAL 754 MINUTE AS clock,
+       date_trunc('day', o_orderdate) AS named, o_orderdate - INTERVAL 2 HOUR AS zoned FROM orders""",
+)
+def c5_everyday(spark, folder):
+    """Two-digit years, half-day clocks, month names and offsets, all found by inference."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").selectExpr(
+        "o_orderkey",
+        "date_format(o_orderdate, 'MM/dd/yy') AS short",
+        "date_format(date_trunc('minute', o_orderdate) + INTERVAL 754 MINUTE, 'M/d/yyyy h:mm a') AS clock",
+        "date_format(o_orderdate, 'dd-MMM-yy') AS named",
+        "concat(date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'), '+02:00') AS zoned",
+    )
+    return C.infer_types(orders)
+
+
 @query("c6_drop_duplicates", f"{TYPED} SELECT r, id, strftime(day, '%Y-%m-%d') AS day, kind, amount FROM firsts")
 def c6(spark, folder):
     kept = C.drop_duplicates(typed_events(spark, folder))

@@ -39,6 +39,17 @@ def test_dates(spark):
     assert kind(["2025-01-03", "2025-1-4", "2025-01-05T10:11:12"]).date_format == "iso"
     assert kind(["01/03/2025", "02/28/2025"]).date_format == "M/d/yyyy"
     assert kind(["13/03/2025", "28/02/2025"]).date_format == "d/M/yyyy"
+    for text, fmt, day, hour in [
+        ("01/23/25", "M/d/yy", 23, 0), ("23/01/25", "d/M/yy", 23, 0), ("1/23/2025 4:05 PM", "M/d/yyyy h:mm a", 23, 16),
+        ("23-Jan-25", "d-MMM-yy", 23, 0), ("Jan 23, 2025 10:00", "MMM d, yyyy H:mm", 23, 10),
+        ("2025/01/23 10:00", "yyyy/M/d H:mm", 23, 10), ("23-jan-2025 10:00", "d-MMM-yyyy H:mm", 23, 10),
+        ("2025-01-23T02:00:00+02:00", "iso", 23, 0), ("2025-01-23T00:30:00+0100", "iso", 22, 23),
+    ]:
+        found = kind([text, text, None])
+        assert found.date_format == fmt and found.kind() == X.DATETIME
+        read = C.infer_types(texts(spark, [text])).first().c
+        assert (read.year, read.day, read.hour) == (2025, day, hour)
+    assert C.infer_types(texts(spark, ["01/23/92"])).first().c.year == 1992
     assert kind(["2025", "2024"]).kind() == X.NUMERIC  # bare years are numbers
     assert kind(["-1.5", "-2"]).kind() == X.NUMERIC  # a minus looks like a date but does not parse as one
     assert kind(["2025-01-03", "03 Jan", "x", "y"]).kind() == X.CATEGORICAL
