@@ -1125,9 +1125,12 @@ def m3_levels(spark, folder):
         "p_partkey", "concat(p_brand, '/', p_type, '/', p_size) AS kind", "p_retailprice"
     )
     features = M.feature_pipeline(part.drop("p_partkey"))
-    rows = features.transform(part).select("p_partkey", vector_to_array("features").alias("v"))
+    # a sparse vector prints as (size,[slots],[values]); the level has the last slot
+    rows = features.transform(part).selectExpr("p_partkey", "CAST(features AS STRING) AS v")
     found = rows.selectExpr(
-        "p_partkey", "array_position(slice(v, 2, size(v) - 1), 1D) AS level", "CAST(size(v) AS BIGINT) AS slots"
+        "p_partkey",
+        r"CAST(regexp_extract(v, '([0-9]+)\\],', 1) AS BIGINT) AS level",
+        r"CAST(regexp_extract(v, '^.([0-9]+),', 1) AS BIGINT) AS slots",
     )
     names = features.levels[0].selectExpr("CAST(_i AS BIGINT) + 1 AS level", "_c AS name")
     return found.join(names, "level")
@@ -1241,7 +1244,12 @@ def m9(spark, folder):
 
 @query("n1_analyze_clean")
 def n1(spark, folder):
-    return report.analyze(dirty_events(spark, folder), "events", modeling=False).charts()
+    return report.analyze(dirty_events(spark, folder), "events", target="amount").records()
+
+
+@query("n2_raw_sections")
+def n2_sections(spark, folder):
+    return report.analyze(table(spark, folder, "lineitem"), "lines", mode="raw", modeling=False).records()
 
 
 @query("n2_analyze_raw")
@@ -1334,7 +1342,7 @@ def s11(spark, folder):
     reports = store.ReportStore(spark, scratch_path(spark, "store"))
     orders = table(spark, folder, "orders")
     done = report.analyze(orders, "orders", modeling=False)
-    report_id = reports.save(done, "analyst", staging.fingerprint(orders), ("cleaning", "summary_statistics"))
+    report_id = reports.save(done, "analyst", staging.fingerprint(orders))
     fields = "column string, castable_count long, mean double, median double, std double, min double, max double, q1 double, q3 double"
     records = reports.load(report_id, "summary_statistics").select(F.from_json("record", fields).alias("r"))
     return records.select("r.*").where("castable_count IS NOT NULL")

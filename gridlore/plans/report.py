@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -162,6 +162,16 @@ class Report:
             raise ValueError("There is no such section.")
         return getattr(self, name)()
 
+    def records(self, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+        """Sections as one table (section, place, record), each record as JSON text."""
+        parts = []
+        for name in sections:
+            record = X.sanitize(self.section(name)).select(F.to_json(F.struct("*")).alias("record"))
+            # bounded tables, whose ids ascend with their rows
+            numbered = record.withColumn("place", F.monotonically_increasing_id())
+            parts.append(numbered.select(F.lit(name).alias("section"), "place", "record"))
+        return reduce(DataFrame.unionByName, parts)
+
     def payload(self, sections: tuple[str, ...] = SECTIONS) -> dict[str, list[dict]]:
         """Sections as lists of plain records."""
         return {s: [_plain(r.asDict(recursive=True)) for r in X.sanitize(self.section(s)).collect()] for s in sections}

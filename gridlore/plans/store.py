@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from gridlore.functions import exprs as X
 from gridlore.functions.names import normalize_name
 from gridlore.plans.report import SECTIONS, Report, analyze
 from gridlore.session import small_frame
@@ -58,13 +57,7 @@ class ReportStore:
     def save(self, report: Report, user_id: str, content_hash: str, sections: tuple[str, ...] = SECTIONS) -> str:
         """Store the sections of a finished report as a new cache entry, and a report on it."""
         entry_id, now = uuid.uuid4().hex, dt.datetime.now(dt.timezone.utc)
-        parts = None
-        for name in sections:
-            table = X.sanitize(report.section(name))
-            # bounded tables, so one ordered window over a section is fine
-            record = table.select(F.to_json(F.struct("*")).alias("record")).withColumn("place", F.monotonically_increasing_id())
-            record = record.select(F.lit(name).alias("section"), "place", "record", F.lit(entry_id).alias("entry_id"))
-            parts = record if parts is None else parts.unionByName(record)
+        parts = report.records(sections).withColumn("entry_id", F.lit(entry_id))
         parts.coalesce(1).write.mode("append").partitionBy("entry_id").parquet(self._path("sections"))
         s = report.summary
         entry = (entry_id, content_hash, report.target, report.mode, "completed", s.cleaned_rows, s.cleaned_columns, now)

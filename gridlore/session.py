@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -21,16 +24,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder intermediate tables go to.
 
-    A cluster names it in ``spark.checkpoint.dir``. A local session may leave that unset and
-    gets a temporary folder; a cluster may not, since a machine-local folder would be lost
-    with its machine.
+    A cluster names it in ``spark.checkpoint.dir``. A session whose tasks run in this process may
+    leave that unset and gets a temporary folder until it exits; a cluster may not, since a
+    machine-local folder would be lost with its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach.")
     folder = tempfile.mkdtemp(prefix="gridlore-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

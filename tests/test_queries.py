@@ -8,7 +8,7 @@ from compare import connect, differences
 import __spark_entry__ as entry
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW = {"m4_regression", "m5_classification", "m7_clusters", "m9_feature_importance"}
+SLOW = {"n1_analyze_clean", "m4_regression", "m5_classification", "m7_clusters", "m9_feature_importance"}
 
 
 @pytest.fixture(scope="module")
