@@ -23,16 +23,22 @@ DEFAULT_PAGE_SIZE = 25
 MAX_PAGE_SIZE = 100
 
 
-def sample_hash(df: DataFrame, seed: int = SEED) -> Column:
-    """A uniform number of ``HASH_BITS`` bits per row that does not depend on partitioning.
+def sample_digits(df: DataFrame, seed: int = SEED) -> Column:
+    """``HASH_BITS`` uniform bits per row, as hexadecimal digits, that do not depend on partitioning.
 
     It comes from the MD5 of seed and row number, which any SQL engine can repeat. Without a row
     number the columns are hashed instead, and copies of a row share a number.
     """
     if ROW in df.columns:
         digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col(ROW).cast("string")))
-        return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(X.quote(k)) for k in df.columns]), 64 - HASH_BITS)
+        return F.substring(digest, 1, HASH_BITS // 4)
+    mixed = F.xxhash64(F.lit(seed), *[F.col(X.quote(k)) for k in df.columns])
+    return F.lpad(F.lower(F.hex(F.shiftrightunsigned(mixed, 64 - HASH_BITS))), HASH_BITS // 4, "0")
+
+
+def sample_hash(df: DataFrame, seed: int = SEED) -> Column:
+    """The sample digits as a number."""
+    return F.conv(sample_digits(df, seed), 16, 10).cast("long")
 
 
 def head(df: DataFrame, n: int) -> DataFrame:
@@ -51,10 +57,11 @@ def sample_n(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
         return df
     if n <= 0:
         return df.limit(0)
-    hashed = df.withColumn("_hash", sample_hash(df, seed))
+    hashed = df.withColumn("_hash", sample_digits(df, seed))
     share = (n + 6 * math.sqrt(n) + 16) / total
     while True:
-        kept = hashed.where(F.col("_hash") <= F.lit(int(min(share, 1.0) * 2**HASH_BITS)))
+        cut = min(int(share * 2**HASH_BITS), 2**HASH_BITS - 1)  # as many digits as a hash, so texts compare as numbers
+        kept = hashed.where(F.col("_hash") <= F.lit(f"{cut:0{HASH_BITS // 4}x}"))
         if share >= 1.0 or kept.count() >= n:
             break
         share *= 2
