@@ -27,6 +27,8 @@ LEAST_PROBED = 12
 BLOCK_DIMENSIONS = 16
 SIGNIFICANCE = 2.1
 """How far, in units of 1 / sqrt(scanned dimensions), a partial distance must be off to drop a candidate."""
+ROUNDING = 1e-5
+"""Share of the squared norms by which a distance may be off in single precision; smaller differences drop nothing."""
 SPARSE = 0.1
 """Share of candidates left below which they are picked one by one."""
 QUERY_ROWS = 256
@@ -72,7 +74,7 @@ def scan_list(queries: np.ndarray, blocks: list[np.ndarray], k: int) -> tuple[np
 
     ``blocks`` holds the rows' rotated components, some columns each. A query's k nearest by the
     first block are measured in full; their worst distance is the bar that partial distances are
-    tested against, block by block.
+    tested against, block by block. They are never dropped themselves, and no test is finer than rounding.
     """
     total, at, n = sum(b.shape[1] for b in blocks), blocks[0].shape[1], len(blocks[0])
     if n <= k:
@@ -85,10 +87,14 @@ def scan_list(queries: np.ndarray, blocks: list[np.ndarray], k: int) -> tuple[np
         bar = bar + ((b[first] - queries[:, None, start : start + b.shape[1]]) ** 2).sum(axis=2)
         start += b.shape[1]
     bar = bar.max(axis=1)
-    likely = lambda x, limit: x * (total / at) <= limit * (1 + SIGNIFICANCE / np.sqrt(at)) ** 2
+    sure = np.zeros(partial.shape, dtype=bool)
+    np.put_along_axis(sure, first, True, axis=1)
+    noise = ROUNDING * ((queries**2).sum(axis=1) + sum((b**2).sum(axis=1) for b in blocks).max())
+    likely = lambda x, limit, e: (x - e) * (total / at) <= limit * (1 + SIGNIFICANCE / np.sqrt(at)) ** 2
+    final = bar * (1 + 1e-4) + noise
     rest = blocks[1:]
     while rest:
-        keep = likely(partial, bar[:, None])
+        keep = likely(partial, bar[:, None], noise[:, None]) | sure
         if keep.mean() < SPARSE:
             break
         # while most candidates are left, a product of whole blocks is cheaper than picking rows
@@ -96,12 +102,13 @@ def scan_list(queries: np.ndarray, blocks: list[np.ndarray], k: int) -> tuple[np
         b, own = rest[0], queries[:, at : at + rest[0].shape[1]]
         partial += (b**2).sum(axis=1) - 2 * own @ b.T + (own**2).sum(axis=1)[:, None]
         at, rest = at + b.shape[1], rest[1:]
-    query, row = np.nonzero(keep if rest else partial <= bar[:, None] * (1 + 1e-4))
+    query, row = np.nonzero(keep if rest else (partial <= final[:, None]) | sure)
     partial = partial[query, row]
     for b in rest:
         partial = partial + ((b[row] - queries[query, at : at + b.shape[1]]) ** 2).sum(axis=1)
         at += b.shape[1]
-        keep = likely(partial, bar[query]) if at < total else partial <= bar[query] * (1 + 1e-4)
+        keep = likely(partial, bar[query], noise[query]) if at < total else partial <= final[query]
+        keep |= sure[query, row]
         query, row, partial = query[keep], row[keep], partial[keep]
     return query, row
 

@@ -144,6 +144,30 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_copies(spark):
+    """Unit vectors, some in groups of copies: distances of copies are all rounding."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2000, 64))
+    for a in range(0, 2000, 100):
+        x[a : a + 30] = x[a]
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
+    answers = {q: p.sort_values("rank")["vec_id"].tolist() for q, p in got.groupby("query_id")}
+    for q in (a + b for a in range(0, 2000, 100) for b in (0, 20)):
+        assert answers[q] == [i for i in range(q // 100 * 100, q // 100 * 100 + 22) if i != q][:20]
+
+
+def test_scan_keeps_what_sets_the_bar():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 65))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for spread in (0.0, 1e-7, 1e-5):
+        x[:40] = x[0] + spread * rng.standard_normal((40, 65))
+        rows = x.astype(np.float32)
+        query, row = neighbours.scan_list(rows[:40], [rows[:, a : a + 16] for a in range(0, 65, 16)], 21)
+        assert set(zip(query, row)) >= {(q, r) for q in range(40) for r in range(40)}
+
+
 def test_packing(docs, empty):
     got = packing.best_fit(docs, capacities=(64, 256, 1024)).toPandas()
     words = [len(WORDS.findall(t or "")) for t in TEXTS]
