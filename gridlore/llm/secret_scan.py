@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and encoded candidates confirmed by their structure.
 
 Candidates in base64 or hex are decoded; a key encoding must parse to its last byte (nested DER
-lengths, OpenSSH fields) and a signed token must carry a header that names an algorithm.
+lengths, OpenSSH fields) and a signed token must carry a header that names an algorithm. A key may
+start anywhere in a run of such characters and be wrapped over lines; its own lengths give its end.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# DER sequences and the magic word of OpenSSH as they begin in base64 and hex, a token's brace with what may follow it
+_KEY64 = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{8})|b3BlbnNzaC1rZXktdjEA")
+_KEY16 = re.compile(r"30(?:8[1-4]|[1-7][0-9a-f])(?=[0-9a-f]{8})|6f70656e7373682d6b65792d763100", re.I)
+_TOKEN = re.compile(r"e(?:y[A-DI-L]|w[k-r0-3])|[CDI]")
+_DIGITS = {4: re.compile(r"[A-Za-z0-9+/_-]+"), 2: re.compile(r"[0-9A-Fa-f]+")}
+_WRAP = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*")
 _DER_TAGS = {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x16, 0x17, 0x18, 0x30, 0x31}
 SCHEMA = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long, bounds array<int>"
@@ -81,6 +88,24 @@ def is_der_key(data: bytes) -> bool:
     return held > 0
 
 
+def openssh_length(data: bytes) -> int | None:
+    """Bytes of the complete private key of OpenSSH that ``data`` begins with."""
+    at, strings = len(b"openssh-key-v1\0"), 3
+    if not is_openssh_key(data):
+        return None
+    for part in range(2):
+        for _ in range(strings):
+            if at + 4 > len(data):
+                return None
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if part == 0:
+            # as many public keys as told, then the private part
+            if at + 4 > len(data):
+                return None
+            strings, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
+    return at if at <= len(data) else None
+
+
 def is_openssh_key(data: bytes) -> bool:
     """The private key format of OpenSSH: a magic word, then length-prefixed fields."""
     magic = b"openssh-key-v1\0"
@@ -105,8 +130,9 @@ def _decode64(text: str) -> bytes | None:
 
 
 def _is_token_header(text: str) -> bool:
-    data = _decode64(text)
-    if not data or data[:1] != b"{":
+    first = (_decode64(text[:16]) or b"").lstrip(b" \t\r\n")
+    data = None if first and first[:1] != b"{" else _decode64(text)
+    if not data or data.lstrip(b" \t\r\n")[:1] != b"{":
         return False
     try:
         header = json.loads(data)
@@ -126,27 +152,87 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _gather(text: str, at: int, bits: int, most: int | None = None) -> tuple[str, int]:
+    """Up to ``most`` digits that begin at ``at``, over line ends, and where they stop."""
+    out, held, wrap = [], 0, None
+    while m := _DIGITS[bits].match(text, wrap.end() if wrap else at):
+        end = m.end() if most is None else min(m.end(), m.start() + most - held)
+        out.append(text[m.start() : end])
+        held, at = held + end - m.start(), end
+        wrap = None if held == most else _WRAP.match(text, at)
+        if wrap is None:
+            break
+    return "".join(out), at
+
+
+def _bytes_of(digits: str, bits: int) -> bytes:
+    if bits == 2:
+        return bytes.fromhex(digits[: len(digits) // 2 * 2])
+    return _decode64(digits[:-1] if len(digits) % 4 == 1 else digits) or b""
+
+
+def _key_at(text: str, at: int, bits: int) -> tuple[str, int] | None:
+    """Kind and end of the key whose digits begin at ``at``; 4 base64 or 2 hex digits hold 3 or 1 bytes."""
+    digits = lambda size: -(-size * 4 // 3) if bits == 4 else 2 * size
+    if text[at] in "b6":
+        data = _bytes_of(_gather(text, at, bits)[0], bits)
+        size = openssh_length(data)
+        if size is None:
+            return None
+        kind = "openssh"
+    else:
+        head = _bytes_of(_gather(text, at, bits, 12)[0], bits)
+        found = _der_length(head, 1)
+        # every key form opens with its version or with an algorithm
+        if found is None or found[1] >= len(head) or head[found[1]] not in (0x02, 0x30) or sum(found) < 24:
+            return None
+        size, kind = sum(found), "der"
+        if not is_der_key(_bytes_of(_gather(text, at, bits, digits(size))[0], bits)[:size]):
+            return None
+    end = _gather(text, at, bits, digits(size))[1]
+    while bits == 4 and digits(size) % 4 and end < len(text) and text[end] == "=" and text[end - 2 : end] != "==":
+        end += 1
+    return kind, end
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Encoded secrets whose decoded structure is that of a key or a signed token."""
     out = []
+    if "-----BEGIN" in text:
+        for m in _PEM.finditer(text):
+            data = _decode64(re.sub(r"\s+", "", m.group(2)))
+            if data and (is_der_key(data) or is_openssh_key(data)):
+                out.append(("pem", *m.span()))
     for m in _ENCODED.finditer(text):
         # keys start with a sequence tag or the magic word, so other first letters decode to neither
         head = m.group()[:1]
         data = _decode64(m.group()) if head in ("M", "b") else None
         if data and is_der_key(data):
             out.append(("der", *m.span()))
-        elif data and is_openssh_key(data):
+        elif data and is_openssh_key(data) and not _key_at(text, m.start(), 4):
             out.append(("openssh", *m.span()))
     for m in _HEX_ANY.finditer(text):
         if m.group().startswith("30") and is_der_key(bytes.fromhex(m.group())):
             out.append(("der", *m.span()))
-    if "ey" in text:
-        out += [("jwt", *m.span()) for m in _JWT.finditer(text) if m.group(1).startswith("ey") and _is_token_header(m.group(1))]
-    if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = _decode64(re.sub(r"\s+", "", m.group(2)))
-            if data and (is_der_key(data) or is_openssh_key(data)):
-                out.append(("pem", *m.span()))
+    whole = [x[1:] for x in out]
+    for bits, start in ((4, _KEY64), (2, _KEY16)):
+        at = 0
+        while m := start.search(text, at):
+            at = m.start() + 1
+            inside = [b for a, b in whole if a <= m.start() < b]
+            found = None if inside else _key_at(text, m.start(), bits)
+            if inside:
+                at = max(inside)
+            elif found:
+                out.append((found[0], m.start(), found[1]))
+                at = found[1]
+    m = _JWT.search(text)
+    while m:
+        starts = (t.start() for t in _TOKEN.finditer(m.group(1)))
+        start = next((a for a in starts if _is_token_header(m.group(1)[a:])), None)
+        if start is not None:
+            out.append(("jwt", m.start() + start, m.end()))
+        m = _JWT.search(text, m.end(1) if start is None else m.end())
     return out
 
 

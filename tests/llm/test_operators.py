@@ -111,6 +111,27 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.mask_secrets(docs).columns == docs.columns and secret_scan.mask_secrets(docs).exceptAll(docs).where("text is not null").count() <= len(TEXTS)
 
 
+def test_secrets_inside_runs_and_lines():
+    der = b"\x30\x3a\x02\x01\x00\x04\x35" + bytes(range(53))
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + part(b"none") * 2 + part(b"") + (1).to_bytes(4, "big") + part(bytes(51)) + part(bytes(range(144)))
+    wrap = lambda t, w: "\n".join(t[a : a + w] for a in range(0, len(t), w))
+    token = lambda h: base64.urlsafe_b64encode(h).decode().rstrip("=") + ".e30.c2ln"
+    d64, s64, spans = base64.b64encode(der).decode(), base64.b64encode(ssh).decode(), []
+    for kind, secret in (("der", d64), ("openssh", s64), ("der", der.hex()), ("openssh", ssh.hex().upper())):
+        for before in ("", "see /keys/", "key_", "v1-"):
+            if before != "key_" or secret in (d64, s64):
+                spans += [(kind, before, secret), (kind, before, wrap(secret, 64)), (kind, before, wrap(secret, 70).replace("\n", "\\n"))]
+    headers = (b'{\n "alg": "HS256"}', b'{\r\n"alg":"HS256"}', b'{\t"alg":"HS256"}', b' {"alg":"HS256"}')
+    spans += [("jwt", before, token(h)) for h in headers for before in ("", "jwt_", "a-long-prefix.")]
+    for kind, before, secret in spans:
+        text = f"{before}{secret} end"
+        assert (kind, len(before), len(before) + len(secret)) in secret_scan.confirmed_spans(text), (kind, text)
+        assert secret_scan.mask(text).endswith("[secret] end") and secret_scan.mask(text).startswith(before)
+    assert secret_scan.confirmed_spans(f"{d64.rstrip('=')}_old") == [("der", 0, len(d64.rstrip("=")))]
+    assert not secret_scan.confirmed_spans(f"/keys/{d64[:-8]} {wrap(s64[:-8], 64)[65:]} MAINTENANCE_MANUAL_AND_MAIN_INDEX_OF_ALL")
+
+
 def test_pages(spark):
     page = (
         "<html><head><title>t</title></head><body><nav>menu</nav><div class='cookie-notice'>ok?</div><article><h1>A &amp; B</h1><p>one <b>t</b>wo<br>three"
