@@ -3,7 +3,9 @@
 The pages of a host are merged into one tree, whose nodes are element paths. A node's importance is
 taken from entropies over the host's pages: of the ways its children are laid out (presentation), and of
 where its texts occur (content). Branches that look and read alike on many pages are menus, notices
-and other frame. Element roles decide where counts can't, on hosts with few pages.
+and other frame, inside the main element too; texts that few pages share stay even there. A main element
+whose texts differ from page to page stands against a class or id word around it. Element roles decide
+where counts can't: on hosts with few pages, and between advertisements, comments and articles, whose texts all differ.
 
 Both passes parse a page where it lies. Only short counts per host and path are shuffled.
 """
@@ -25,6 +27,8 @@ from gridlore.session import materialize
 LEAST_PAGES = 8
 """Pages of a host that must share a node before its importance can remove it."""
 LEAST_IMPORTANCE = 0.3
+HIGH_IMPORTANCE = 0.7
+"""Importance from which a main element's branch overrules a word in the class or id of an element around it."""
 PRESENTATION_WEIGHT = 0.2
 
 # Elements by role.
@@ -55,20 +59,29 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    """A run of text between block boundaries."""
+    """A run of text between block boundaries.
 
-    __slots__ = ("path", "text", "frame", "main")
+    ``lead`` is the path of the outermost main element around it if only class or id words of elements
+    around that one make it frame, else 0.
+    """
+
+    __slots__ = ("path", "text", "frame", "main", "lead")
+
+    def __init__(self, path: tuple[int, ...], text: str, frame: bool, main: bool, lead: int):
+        self.path, self.text, self.frame, self.main, self.lead = path, text, frame, main, lead
 
-    def __init__(self, path: tuple[int, ...], text: str, frame: bool, main: bool):
-        self.path, self.text, self.frame, self.main = path, text, frame, main
+
+def _mark(path: int, text: str) -> int:
+    """A text at a path as one number."""
+    return xxhash.xxh64_intdigest(text, seed=path) >> 1
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
 
 
-def _is_frame(tag: str, attributes: dict[str, str], inside_main: bool) -> bool:
-    """Whether an element's role is that of a page's frame rather than its article."""
+def _is_frame(tag: str, attributes: dict[str, str], inside_main: bool) -> bool | None:
+    """Whether an element's role is that of a page's frame rather than its article; None if only a class or id word says so."""
     if tag in FRAME and not (tag == "header" and inside_main):
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
@@ -78,15 +91,16 @@ def _is_frame(tag: str, attributes: dict[str, str], inside_main: bool) -> bool:
     if attributes.get("role", "").lower() in FRAME_ROLES:
         return True
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().replace("_", "-")
-    return any(part in FRAME_WORDS for name in names.split() for part in [name, *name.split("-")])
+    return None if any(part in FRAME_WORDS for name in names.split() for part in [name, *name.split("-")]) else False
 
 
 def parse(page: str) -> tuple[list[Block], dict[int, int]]:
     """The blocks of a page in order, and per element path the hash of its layout (its children's tags)."""
     blocks: list[Block] = []
     layout: dict[int, int] = {}
-    # one entry per open element: tag, hashes of the paths down to it, inside a frame branch, inside the main element
-    stack: list[tuple[str, tuple[int, ...], bool, bool]] = [("", (), False, False)]
+    # one entry per open element: tag, hashes of the paths down to it, inside a frame branch, inside the main element,
+    # inside a branch that a word makes frame and nothing else, the outermost main element inside that
+    stack: list[tuple[str, tuple[int, ...], bool, bool, bool, int]] = [("", (), False, False, False, 0)]
     parts: list[str] = []
     at = 0
 
@@ -95,8 +109,8 @@ def parse(page: str) -> tuple[list[Block], dict[int, int]]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, path, frame, main = stack[-1]
-                blocks.append(Block(path, text, frame, main))
+                _, path, frame, main, _, lead = stack[-1]
+                blocks.append(Block(path, text, frame, main, lead))
 
     def pop_to(depth: int) -> None:
         flush()
@@ -159,7 +173,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, int]]:
                     break
         if tag in BLOCK:
             flush()
-        _, path, frame, main = stack[-1]
+        _, path, frame, main, worded, lead = stack[-1]
         attributes = _attributes(raw)
         if tag in BLOCK:
             above = path[-1] if path else 0
@@ -167,10 +181,17 @@ def parse(page: str) -> tuple[list[Block], dict[int, int]]:
             here = xxhash.xxh64_intdigest(label) >> 1
             layout[above] = (layout.get(above, 7) * 1000003 + (xxhash.xxh64_intdigest(tag) >> 1)) & 0x7FFFFFFFFFFFFFFF
             path = (*path, here)
+        outside = not main
         main = main or tag in ("article", "main") or attributes.get("role", "") in ("main", "article") or attributes.get("itemprop", "") == "articleBody"
-        frame = frame or _is_frame(tag, attributes, main)
+        role = _is_frame(tag, attributes, main)
+        if role is not False:
+            # inside the main element, or by more than a word, it is frame whatever stands around it
+            worded, lead = role is None and outside and (worded or not frame), 0
+        elif outside and main and worded and path:
+            lead = path[-1]
+        frame = frame or role is not False
         if not raw.rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, path, frame, main))
+            stack.append((tag, path, frame, main, worded, lead))
     flush()
     return blocks, layout
 
@@ -182,22 +203,25 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def extract(page: str | None, noise: set[int] | frozenset[int] = frozenset()) -> str:
-    """Main text of one page, given the paths that its host's tree found unimportant.
+def extract(page: str | None, noise: set[int] | frozenset[int] = frozenset(), valued: set[int] | frozenset[int] = frozenset()) -> str:
+    """Main text of one page, given what its host's tree found: marks of unimportant texts, and main elements of high importance.
 
-    Counts never reach into the main element: a passage of the article may stand on many pages.
+    A passage of the article may stand on many pages: it stays, as the texts around it differ.
     """
     blocks, _ = parse(page or "")
-    chosen = [b for b in blocks if not b.frame and b.main]
+    free = [b for b in blocks if not b.frame]
+    kept = [b for b in free if not b.path or _mark(b.path[-1], b.text) not in noise]
+    chosen = [b for b in kept if b.main]
     if not chosen:
-        rest = [b for b in blocks if not b.frame]
-        # a page on which nothing stands out is kept whole
-        chosen = [b for b in rest if not b.path or b.path[-1] not in noise] or rest
+        # words around an important main element don't count if the page has no other
+        chosen = [b for b in blocks if b.lead in valued and _mark(b.path[-1], b.text) not in noise]
+    # a page on which nothing stands out is kept whole, one without anything else has its main element
+    chosen = chosen or [b for b in free if b.main] or kept or free or [b for b in blocks if b.lead]
     return " ".join(b.text for b in chosen)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature) of each page: 0 the path itself, 1 its layout, 2 a text in it."""
+    """(host, path, kind, feature) of each page: 0 the path itself, 1 its layout, 2 a text in it, 3 a text below it, of main elements with a word around them."""
     schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())])
     for whole in batches:
         for batch in slices(whole, "html"):
@@ -210,27 +234,35 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen.add((host, path, 1, shape))
                 for b in blocks:
                     if b.path:
-                        seen.add((host, b.path[-1], 2, xxhash.xxh64_intdigest(b.text) >> 1))
+                        seen.add((host, b.path[-1], 2, _mark(b.path[-1], b.text)))
                         seen.update((host, p, 0, 0) for p in b.path)
+                    if b.lead:
+                        seen.add((host, b.lead, 3, xxhash.xxh64_intdigest(b.text) >> 1))
                 rows += seen
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance): the merged tree of every host, one row per node.
+def _counts(pages: DataFrame) -> DataFrame:
+    """(host, path, kind, feature, c): on how many pages each feature occurs."""
+    seen = pages.select("url", "html").mapInArrow(_features, "host string, path long, kind int, feature long")
+    return seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
+
+
+def style_tree(counts: DataFrame) -> DataFrame:
+    """(host, path, pages, importance, branch): the merged tree of every host, one row per node.
 
     Content importance is 1 minus the mean over a node's texts of log(pages with the text) / log(pages);
-    presentation importance is the entropy of its layouts over log(pages).
+    presentation importance is the entropy of its layouts over log(pages). ``branch`` is the content
+    importance of all texts below a main element with a word around it, null for other nodes.
     """
-    seen = pages.select("url", "html").mapInArrow(_features, "host string, path long, kind int, feature long")
-    counts = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
     total = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     c, log = F.col("c"), F.log(F.col("c").cast("double"))
     nodes = counts.groupBy("host", "path").agg(
         F.coalesce(total(0, c), F.lit(0)).alias("pages"),
         total(1, c).alias("shown"), total(1, c * log).alias("shown_log"),
         total(2, c).alias("texts"), total(2, c * log).alias("texts_log"),
+        total(3, c).alias("below"), total(3, c * log).alias("below_log"),
     )
     m = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
     content = 1 - F.col("texts_log") / F.col("texts") / m
@@ -240,15 +272,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
         .when(F.col("shown").isNull(), content)
         .otherwise(PRESENTATION_WEIGHT * presentation + (1 - PRESENTATION_WEIGHT) * content)
     )
-    return nodes.select("host", "path", "pages", F.when(F.col("pages") >= 2, F.coalesce(importance, F.lit(1.0))).otherwise(1.0).alias("importance"))
+    branch = 1 - F.col("below_log") / F.col("below") / m
+    return nodes.select(
+        "host", "path", "pages", F.when(F.col("pages") >= 2, F.coalesce(importance, F.lit(1.0))).otherwise(1.0).alias("importance"), branch.alias("branch")
+    )
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     for whole in batches:
         for batch in slices(whole, "html"):
-            noise = batch.column("noise").to_pylist()
-            texts = [extract(page, frozenset(x or ())) for page, x in zip(batch.column("html").to_pylist(), noise)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "noise", "valued")))
+            texts = [extract(page, frozenset(x or ()), frozenset(y or ())) for page, x, y in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 schema=schema,
@@ -262,9 +297,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     name. Repeated rows are extracted each; ties can't occur, since no page depends on another's
     order. Other columns are ignored; an empty table gives an empty result.
     """
-    low = style_tree(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    counts = materialize(_counts(pages), "counts")
+    tree = style_tree(counts).where(F.col("pages") >= LEAST_PAGES)
+    tree = materialize(tree.where((F.col("importance") < LEAST_IMPORTANCE) | (F.col("branch") >= HIGH_IMPORTANCE)), "tree")
+    low = tree.where(F.col("importance") < LEAST_IMPORTANCE).select("host", "path", "pages")
+    # a text that few of the node's pages share is protected
+    shared = 1 - F.log(F.col("c").cast("double")) / F.log(F.col("pages").cast("double")) < LEAST_IMPORTANCE
+    noise = counts.where("kind = 2").join(low, ["host", "path"]).where(shared).select("host", F.col("feature").alias("noise"), F.lit(None).cast("long").alias("valued"))
+    valued = tree.where(F.col("branch") >= HIGH_IMPORTANCE).select("host", F.lit(None).cast("long"), "path")
     # written first, so that the planner knows its size and joins it to the scan if it is small
-    noise = materialize(low.groupBy("host").agg(F.collect_set("path").alias("noise")), "noise")
+    sets = (F.collect_set(x).alias(x) for x in ("noise", "valued"))
+    noise = materialize(noise.union(valued).groupBy("host").agg(*sets), "noise")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     joined = pages.select("page_id", "url", "html", host.alias("host")).join(noise, "host", "left")
-    return joined.select("page_id", "url", "html", "noise").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "noise", "valued").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -146,6 +146,24 @@ def test_pages(spark):
     assert {r.page_id: r.text for r in got} == {i: f"story {i}" for i in range(20)}
 
 
+def test_pages_by_importance(spark):
+    form = "page_id long, url string, html string"
+    text = lambda rows: {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, form)).collect()}
+    # inside an article: a branch that reads alike is frame, a text of one page in it and a passage among others stay
+    page = "<article><div class=x><p>{}</p></div><section><p>story {}</p><p>{}</p></section></article>"
+    rows = [(i, "http://h/p", page.format("read on" if i else "erratum", i, "passage" if i % 2 else f"more {i}")) for i in range(40)]
+    want = {i: f"story {i} " + ("passage" if i % 2 else f"more {i}") for i in range(1, 40)}
+    assert text(rows) == {0: "erratum story 0 more 0", **want}
+    # a word around the article doesn't hide it, but the words in and beside it stand; teasers on many pages aren't articles
+    page = "<div class='layout has-sidebar'><nav>n</nav><article><p>story {}</p><div class=share>s {}</div></article><div class=ad>a {}</div></div>"
+    rows = [(i, "http://h/p", page.format(i, i, i)) for i in range(20)] + [(50, "http://few/p", page.format(50, 50, 50))]
+    assert text(rows) == {i: f"story {i}" for i in [*range(20), 50]}
+    page = "<div id=content><p>story {}</p></div><div class=related><article><p>teaser {}</p></article></div>"
+    assert text([(i, "http://h/p", page.format(i, i % 2)) for i in range(20)]) == {i: f"story {i}" for i in range(20)}
+    # neither elements nor roles are overruled
+    assert text([(i, "http://h/p", f"<p>story {i}</p><aside><article>side {i}</article></aside>") for i in range(20)]) == {i: f"story {i}" for i in range(20)}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 24))
