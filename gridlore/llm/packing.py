@@ -83,7 +83,8 @@ def best_fit(docs: DataFrame, length: Column | None = None, capacities: tuple[in
     document longer than the largest capacity becomes several pieces, in order and without gaps; one
     without tokens, or with null text, keeps one row with zero tokens and no bin. Repeated rows are
     packed each; ties are broken by doc_id, piece. Further columns are ignored; an empty table gives
-    an empty result. Lengths, not texts, are shuffled, in shards of bounded size.
+    an empty result. Lengths, not texts, are shuffled, in shards of bounded size whatever the keys; which
+    rows share a shard follows from their place in the table as read.
     """
     top = max(capacities)
     n = F.col("n")
@@ -93,13 +94,14 @@ def best_fit(docs: DataFrame, length: Column | None = None, capacities: tuple[in
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / top), F.lit(0)).cast("int"))))
         .select("doc_id", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(n - F.col("piece").cast("long") * top, F.lit(top)).cast("int").alias("n_tokens"))
     )
-    pieces = materialize(pieces, "pieces")
+    # written with its place, which no later run of a task can change
+    pieces = materialize(pieces.withColumn("place", F.monotonically_increasing_id()), "pieces")
     full = pieces.where("n_tokens > 0")
     shards = max(1, -(-full.count() // SHARD_ROWS))
-    # a fixed function of the row and its place, so that repeated rows are spread and a lost task repeats its work
-    dealt = full.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # a fixed function of the row's place, so that repeated and null keys are spread and a lost task repeats its work
+    dealt = full.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).drop("place")
     packed = dealt.groupBy("shard").applyInPandas(_packer(tuple(capacities)), PLACED)
-    bare = pieces.where("n_tokens = 0").select("*", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("capacity"), F.lit(None).cast("int").alias("position"))
+    bare = pieces.where("n_tokens = 0").drop("place").select("*", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("capacity"), F.lit(None).cast("int").alias("position"))
     return packed.union(bare)
 
 

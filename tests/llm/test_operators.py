@@ -221,6 +221,14 @@ def test_packing(docs, empty):
     assert len(sizes) <= 3 and sum(sizes) >= 10
 
 
+def test_packing_spreads_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 100)
+    for key in ("null", "7"):
+        got = packing.best_fit(spark.range(3000).selectExpr(f"cast({key} as long) doc_id", "'one two' text"), capacities=(64, 256))
+        sizes = [r["count"] for r in got.groupBy(F.shiftright("bin_id", 32)).count().collect()]
+        assert sum(sizes) == 3000 and len(sizes) == 30 and max(sizes) < 200
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(1)
     rows, labels = [], []
