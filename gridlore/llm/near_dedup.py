@@ -4,7 +4,8 @@ Every permutation of a document's shingles gives two signature values, its minim
 so ``2 * PERMUTATIONS`` values cost ``PERMUTATIONS`` hashes per shingle. Bands of ``2 * BAND_PERMUTATIONS``
 values name candidate buckets; a candidate link counts only if it holds on the full shingle sets.
 
-At a similarity of 0.8 a pair shares none of the 32 bands with probability (1 - 0.8**4)**32 = 5e-8.
+At a similarity of 0.8 a pair shares none of the 32 bands with probability (1 - 0.8**4)**32 = 5e-8,
+and its estimate rules it out with probability 8e-11 more (binomial, 128 bytes): 5e-8 together.
 
 No step lists all pairs of a bucket. Documents with equal sets are one node. In each bucket all nodes
 are first compared with one of them, the best connected. Only buckets whose nodes are then still in several
@@ -28,8 +29,8 @@ from gridlore.session import materialize
 PERMUTATIONS = 64
 BAND_PERMUTATIONS = 2
 BANDS = PERMUTATIONS // BAND_PERMUTATIONS
-SLACK = 0.15
-"""A pair is dropped unverified if its estimate, from 128 signature bytes, is this much under the threshold (over 4 standard deviations)."""
+SLACK = 0.25
+"""A pair is dropped unverified if its estimate, from 128 signature bytes, is this much under the threshold (7 standard deviations)."""
 SMALL = 64
 """Buckets of up to this many nodes report candidates; larger ones are searched with full sets at hand."""
 BLOCK = 512

@@ -96,6 +96,15 @@ def test_near_dedup_of_a_large_bucket(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(comp))
 
 
+def test_near_dedup_confirms_pairs_of_low_estimate():
+    """A pair at the threshold has an estimate of 0.6 now and then; only full sets may rule it out."""
+    import pyarrow as pa
+
+    low = bytes(77) + b"\1" * 51
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2], "b": [3, 4], "n_a": [50, 50], "n_b": [50, 50], "sig_a": [bytes(128)] * 2, "sig_b": [low, b"\1" * 128]})
+    assert [b.to_pydict() for b in near_dedup._estimates(0.8)([batch])] == [{"a": [1], "b": [3]}]
+
+
 def test_secrets(spark, docs, empty):
     key = base64.b64encode(bytes.fromhex("3082002a") + b"").decode()
     der = b"\x30\x26\x02\x01\x00\x04\x21" + bytes(range(33))
