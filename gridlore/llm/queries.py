@@ -8,9 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlore.llm import exact_dedup, html_extract, lm_scoring, near_dedup, neighbours, packing, piece_codec, quality, secret_scan, toxicity
+from gridlore.llm import ball_tree, exact_dedup, html_extract, lm_scoring, near_dedup, neighbours, nnls_packing, packing, piece_codec, quality, secret_scan, token_links, toxicity
 
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+BYTE_BPE = os.environ.get("BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,6 +81,22 @@ def op10_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame
     return lm_scoring.cross_entropy_difference(_table(spark, folder, "documents"), wanted)
 
 
+@query
+def op11_ball_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ball_tree.ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@query
+def op12_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The vocabulary file lies on the driver and goes to the tasks from there."""
+    return nnls_packing.digest(nnls_packing.pack(_table(spark, folder, "documents"), Path(BYTE_BPE).read_bytes()))
+
+
+@query
+def op13_lockstep_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_links.align_tokenizers(_table(spark, folder, "documents"), Path(BYTE_BPE).read_bytes(), Path(PIECE_MODEL).read_bytes())
+
+
 ORACLES["op9_content_sort_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
@@ -90,3 +107,23 @@ SELECT doc_id,
        sha256(norm) AS text_sha256
 FROM t
 """
+
+ORACLES["op11_ball_tree_search"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+whole AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+tf AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d),
+f AS (SELECT doc_id, n, t, count(*) AS tf FROM tf WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * whole.n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM f GROUP BY t), whole),
+s AS (
+  SELECT item_id, doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * f.n * whole.n) // whole.l))))::BIGINT AS score
+  FROM q JOIN f USING (t) JOIN w USING (t), whole GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
