@@ -32,10 +32,12 @@ END_ID = 1
 """Token that closes each document."""
 SWEEPS = 2_000
 """Bound on the solver's sweeps. Whatever it leaves is packed greedily, so it decides on speed alone."""
-BROADCAST_ROWS = 1 << 20
-"""Rank offsets (20 bytes each) are broadcast up to this number of rows and joined by shuffle beyond it."""
+BROADCAST_ROWS = 1 << 18
+"""Rank offsets (some 100 bytes each) are broadcast up to this number of rows and joined by shuffle beyond it."""
+PLACED_ROWS = 512
+"""Pieces placed at once inside a task."""
 PIECES = "doc_id long, start long, length int, doc_tokens long, ids array<int>, part int, nth long"
-PLACED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+PLACED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long"
 
 
 def combinations(counts: np.ndarray, window: int) -> np.ndarray:
@@ -194,44 +196,47 @@ def _cut(tokenizer: bytes, window: int):
     return run
 
 
-def _place(rows: np.ndarray):
+def _place(rows: np.ndarray, digest: bool):
     """Fragments of each piece by its length and rank: one search per start within a piece."""
-    starts = sorted(set(rows[:, 3].tolist()))
+    keys = rows[:, 0] * (1 << 48) + rows[:, 1]
+    # a piece has one fragment per start at most, so ranges of one start are disjoint
+    by_start = [np.flatnonzero(rows[:, 3] == s) for s in sorted(set(rows[:, 3].tolist()))]
+
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        length = batch.column("length").to_numpy().astype(np.int64)
+        rank = batch.column("nth").to_numpy() + batch.column("base").to_numpy()
+        wanted, hits, at = length * (1 << 48) + rank, [], []
+        for chosen in by_start:
+            k = np.searchsorted(keys[chosen], wanted, side="right") - 1
+            row = chosen[np.maximum(k, 0)]
+            ok = np.flatnonzero((k >= 0) & (rows[row, 0] == length) & (rank < rows[row, 2]))
+            hits.append(row[ok])
+            at.append(ok)
+        row, piece = np.concatenate(hits), np.concatenate(at)
+        lists, size = batch.column("ids"), rows[row, 4]
+        first, values = lists.offsets.to_numpy()[piece] + rows[row, 3], lists.values.to_numpy()
+        parts = [values[a : a + n] for a, n in zip(first.tolist(), size.tolist())]
+        if digest:
+            last = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64())
+        else:
+            last = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), np.concatenate(parts))
+        numbers = [batch.column("start").to_numpy()[piece] + rows[row, 3], size, batch.column("doc_tokens").to_numpy()[piece], rows[row, 5] + rank[piece] - rows[row, 1], rows[row, 6]]
+        names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if digest else "ids"]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(piece)), *map(pa.array, numbers), last], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = rows[:, 0] * (1 << 48) + rows[:, 1]
-        # a piece has one fragment per start at most, so ranges of one start are disjoint
-        by_start = [np.flatnonzero(rows[:, 3] == s) for s in starts]
         for batch in batches:
-            length = batch.column("length").to_numpy().astype(np.int64)
-            rank = batch.column("nth").to_numpy() + batch.column("base").to_numpy()
-            wanted, hits, at = length * (1 << 48) + rank, [], []
-            for chosen in by_start:
-                k = np.searchsorted(keys[chosen], wanted, side="right") - 1
-                row = chosen[np.maximum(k, 0)]
-                ok = np.flatnonzero((k >= 0) & (rows[row, 0] == length) & (rank < rows[row, 2]))
-                hits.append(row[ok])
-                at.append(ok)
-            row, piece = np.concatenate(hits), np.concatenate(at)
-            lists = batch.column("ids")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.to_numpy()
-            size = rows[row, 4]
-            first = offsets[piece] + rows[row, 3]
-            ends = np.cumsum(size)
-            ids = values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
-            columns = [
-                batch.column("doc_id").take(pa.array(piece)), batch.column("start").to_numpy()[piece] + rows[row, 3], size, batch.column("doc_tokens").to_numpy()[piece],
-                rows[row, 5] + rank[piece] - rows[row, 1], rows[row, 6], pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), ids),
-            ]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            for at in range(0, batch.num_rows, PLACED_ROWS):
+                yield place(batch.slice(at, PLACED_ROWS))
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: bytes, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: bytes, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
+    With ``digest`` the last column is ids_crc32, the CRC-32 of the ids as unsigned little-endian 32-bit numbers.
+
     ``start`` counts the document's ids before the piece, ``doc_tokens`` all of its ids with the closing
     one. Sequences hold at most ``window`` ids without gaps; all but one are full. Null or empty text is
     the closing id alone. Repeated rows and null ids are packed each; a text of any length is cut, never
@@ -250,18 +255,4 @@ def pack(docs: DataFrame, tokenizer: bytes, window: int = WINDOW) -> DataFrame:
     if counted.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "start", "length", "doc_tokens", "ids", "nth", "base")
-    return ranked.mapInArrow(_place(plan(counts, window)), PLACED)
-
-
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("ids")
-        offsets, values = lists.offsets.to_numpy().tolist(), lists.values.to_numpy().astype("<u4")
-        sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
-        kept = [batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(sums, pa.int64())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"])
-
-
-def digest(packed: DataFrame) -> DataFrame:
-    """``pack``'s rows with a CRC-32 of the ids, as unsigned little-endian 32-bit numbers, in their place."""
-    return packed.mapInArrow(_checked, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    return ranked.mapInArrow(_place(plan(counts, window), digest), PLACED + (", ids_crc32 long" if digest else ", ids array<int>"))

@@ -89,7 +89,7 @@ def op11_ball_tree_search(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The vocabulary file lies on the driver and goes to the tasks from there."""
-    return nnls_packing.digest(nnls_packing.pack(_table(spark, folder, "documents"), Path(BYTE_BPE).read_bytes()))
+    return nnls_packing.pack(_table(spark, folder, "documents"), Path(BYTE_BPE).read_bytes(), digest=True)
 
 
 @query

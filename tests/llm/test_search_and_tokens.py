@@ -147,7 +147,7 @@ def test_packing(docs, empty, window):
         assert all(a + n == b for (a, n), (b, _) in zip(slots, slots[1:])) and slots[0][0] == 0
         ends.append(sum(slots[-1]))
     assert sum(e < window for e in ends) <= 1 and max(ends) <= window and sorted(used) == list(range(len(used)))
-    for r in nnls_packing.digest(nnls_packing.pack(docs, BPE, window)).collect():
+    for r in nnls_packing.pack(docs, BPE, window, digest=True).collect():
         ids = next(ids for d, ids in whole if d == r.doc_id)[r.start : r.start + r.length]
         assert r.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
     assert nnls_packing.pack(empty, BPE).count() == 0
