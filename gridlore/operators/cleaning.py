@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from gridlore.functions import exprs as X
 from gridlore.functions.names import unique_names
-from gridlore.operators.ordering import ROW, data_columns, fill_both_ways, require_row
-from gridlore.operators.profile import AGGREGATES_PER_SCAN, columns_of, missing_counts, per_column, value_groups
+from gridlore.operators.ordering import ROW, data_columns, fill_gaps, free_name, require_row
+from gridlore.operators.profile import columns_of, missing_counts, value_groups
 from gridlore.operators.quantiles import exact_quantiles
-from gridlore.session import materialize, small_frame
+from gridlore.session import materialize, observed, small_frame
 
 PARSE_SHARE = 0.85
 DATE_LIKE_SHARE = 0.5
@@ -86,47 +86,38 @@ class Inference:
 def inspect_text(df: DataFrame, columns: list[str]) -> dict[str, Inference]:
     """Count, over all rows, what every text column's values parse as.
 
-    One scan finds the shape of each value and notes which date shapes a column has. Only dates
-    of those shapes are parsed, in a second scan over the columns that have any.
+    One scan for any number of columns: each row becomes one short row per column, which is counted in a
+    fixed set of counters per column before anything is shuffled. A value is held against the date shapes
+    only if it has a date mark, and parsed only by the formats of its shape.
     """
     if not columns:
         return {}
-    place = {c: i for i, c in enumerate(columns)}
-
-    def shape(t):
-        return " ".join(f"WHEN {t} RLIKE {X.text(p)} THEN {1 << i}" for i, p in enumerate(X.DATE_SHAPES))
-
-    # trimmed once per value; only values with a date mark are held against the date shapes
-    trimmed = df.selectExpr(
-        *[f"{X.strip(X.quote(c))} AS t{i}" for c, i in place.items()],
-        *[f"{X.quote(c)} AS c{i}" for c, i in place.items()],
-    ).selectExpr("*", *[f"{X.date_like(f't{i}')} AS m{i}" for i in place.values()])
-
-    def aggregates(name):
-        i = place[name]
-        return [
-            "count(*)",
-            f"count(t{i})",
-            f"count_if(c{i} <> t{i})",
-            f"count_if(m{i})",
-            f"count({X.double(f't{i}')})",
-            f"count_if(t{i} RLIKE {X.text(X.INTEGER_PATTERN)})",
-            f"coalesce(bit_or(CASE WHEN NOT m{i} THEN 0 {shape(f't{i}')} ELSE 0 END), 0)",
-        ]
-
-    seen = {r["column"]: r for r in per_column(trimmed, columns, aggregates, ["n", "a", "b", "c", "d", "e", "shapes"]).collect()}
-    formats = [
-        (c, f)
+    shapes = " ".join(f"WHEN t RLIKE {X.text(p)} THEN {i}" for i, p in enumerate(X.DATE_SHAPES))
+    formats = {f"f{i}": f for i, f in enumerate(X.DATE_FORMATS)}
+    shape_of = {f: X.DATE_SHAPES.index(pattern) for f, pattern in X.DATE_FORMATS.items()}
+    counts = (
+        df.selectExpr(f"posexplode(array({', '.join(map(X.quote, columns))})) AS (at, c)")
+        .selectExpr("at", "c", f"{X.strip('c')} AS t")
+        .selectExpr("*", f"{X.date_like('t')} AS m")
+        .selectExpr("*", f"CASE WHEN NOT m THEN -1 {shapes} END AS s")
+        .groupBy("at")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("t").alias("a"),
+            F.count_if(F.expr("c <> t")).alias("b"),
+            F.count_if(F.col("m")).alias("c"),
+            F.expr(f"count({X.double('t')})").alias("d"),
+            F.expr(f"count_if(t RLIKE {X.text(X.INTEGER_PATTERN)})").alias("e"),
+            *[F.expr(f"count(CASE WHEN s = {shape_of[f]} THEN {X.timestamp('t', f)} END)").alias(k) for k, f in formats.items()],
+            *[F.expr(f"count_if(s = {i})").alias(f"s{i}") for i in range(len(X.DATE_SHAPES))],
+        )
+    )
+    found = {columns[r["at"]]: r for r in counts.collect()}  # one row per column
+    none = Inference(0, 0, 0, 0, 0, 0, {})
+    return {
+        c: Inference(r.n, r.a, r.b, r.c, r.d, r.e, {f: r[k] for k, f in formats.items() if r[f"s{shape_of[f]}"]}) if (r := found.get(c)) else none
         for c in columns
-        for f, pattern in X.DATE_FORMATS.items()
-        if seen[c].shapes >> X.DATE_SHAPES.index(pattern) & 1
-    ]
-    dates: dict[str, dict[str, int]] = {c: {} for c in columns}
-    for chunk in (formats[i : i + AGGREGATES_PER_SCAN] for i in range(0, len(formats), AGGREGATES_PER_SCAN)):
-        counts = trimmed.selectExpr(*[f"count({X.timestamp(f't{place[c]}', f)}) AS f{i}" for i, (c, f) in enumerate(chunk)])
-        for (c, f), n in zip(chunk, counts.first()):
-            dates[c][f] = n
-    return {c: Inference(r.n, r.a, r.b, r.c, r.d, r.e, dates[c]) for c, r in seen.items()}
+    }
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -172,23 +163,56 @@ def infer_types(df: DataFrame, threshold: float = PARSE_SHARE) -> DataFrame:
     )
 
 
-def _row_hashes(df: DataFrame) -> DataFrame:
-    return df.select(F.xxhash64(*[F.col(X.quote(c)) for c in data_columns(df)]).alias("h"))
+BITS_PER_HASH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+"""Size of the bitmap of repeated hashes: at most 4 million rows of 16 bytes are broadcast. Too many hashes for it only
+mean that more rows than need be are grouped."""
+LAZY_HASHES = 1 << 16
+"""Up to this number of repeated hashes the cleaned table is put together whenever it is read, beyond it once."""
 
 
-def may_have_duplicates(df: DataFrame) -> bool:
-    """Whether two rows share a 64-bit hash; if none do, no two rows are equal.
+def _hashed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a 64-bit hash of each row, and the hash's name."""
+    name = free_name("hash", df.columns)
+    return df.withColumn(name, F.xxhash64(*[F.col(X.quote(c)) for c in data_columns(df)])), name
 
-    Only the hashes are shuffled, combined on the map side, so a table without copies is spared
-    the shuffle of its rows.
-    """
-    return not _row_hashes(df).groupBy("h").count().where("count > 1").isEmpty()
+
+def _repeated(hashed: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Hashes that several rows have, and how many there are. Hashes alone are shuffled, combined on the map side."""
+    counts = hashed.groupBy(F.col(name).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    stored, facts = observed(counts, "repeated-hashes", {"n": "count(*)"})
+    return stored, facts["n"]
+
+
+def _split_by_hash(hashed: DataFrame, name: str, repeated: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a copy, rows that have none), by a bitmap of the repeated hashes in 64-bit words."""
+    bits = 1 << min(max((BITS_PER_HASH * n).bit_length(), LEAST_BITS.bit_length() - 1), MOST_BITS.bit_length() - 1)
+    word, held = free_name("word", hashed.columns), free_name("held", hashed.columns)
+    place = lambda c: F.pmod(c, F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(F.col("h")), F.lit(64)).cast("int"))
+    words = repeated.groupBy(F.floor(place(F.col("h")) / 64).alias(word)).agg(F.bit_or(one).alias(held))
+    marked = hashed.withColumn(word, F.floor(place(F.col(name)) / 64)).join(F.broadcast(words), word, "left")
+    bit = F.call_function("shiftright", F.col(held), F.pmod(place(F.col(name)), F.lit(64)).cast("int")).bitwiseAND(F.lit(1))
+    shared = F.coalesce(bit == 1, F.lit(False))
+    columns = [c for c in hashed.columns if c != name]
+    return tuple(marked.where(keep).select(*[F.col(X.quote(c)) for c in columns]) for keep in (shared, ~shared))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Keep the first of equal rows in row order."""
-    columns = [F.col(X.quote(c)) for c in data_columns(require_row(df))]
-    return df.groupBy(*columns).agg(F.min(ROW).alias(ROW))
+    """Keep the first of equal rows in row order.
+
+    Rows are hashed first. Only rows whose hash repeats are grouped, by all their columns, so what is
+    shuffled follows the number of copies; all others stay where they are.
+    """
+    hashed, name = _hashed(require_row(df))
+    repeated, n = _repeated(hashed, name)
+    if not n:
+        return df
+    shared, alone = _split_by_hash(hashed, name, repeated, n)
+    return alone.unionByName(_first_rows(shared))
+
+
+def _first_rows(df: DataFrame) -> DataFrame:
+    return df.groupBy(*[F.col(X.quote(c)) for c in data_columns(df)]).agg(F.min(ROW).alias(ROW))
 
 
 def _fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
@@ -234,7 +258,7 @@ def _impute(df: DataFrame, gaps: list[str]) -> tuple[DataFrame, set[str]]:
     times = [c for c in gaps if X.kind_of(dtypes[c]) == X.DATETIME]
     values = fill_values(df, [c for c in gaps if c not in times])
     filled = _fill(df, values)
-    return (fill_both_ways(filled, times) if times else filled), {*values, *times}
+    return (fill_gaps(filled, times) if times else filled), {*values, *times}
 
 
 @dataclass(frozen=True)
@@ -274,9 +298,9 @@ def clean(df: DataFrame, share: float = PARSE_SHARE) -> tuple[DataFrame, Cleanin
     """Clean a table and say what was done.
 
     Order: names, empty rows, empty columns, trimming, inference, missing count, duplicates,
-    imputation, missing count. One scan answers everything up to the first missing count. A
-    table that needs no casts and has no copies is cleaned by projection alone; otherwise the
-    de-duplicated, typed table is written once to the shared folder and read from there.
+    imputation, missing count. One scan answers everything up to the first missing count. Where
+    types change, the typed table is written once to the shared folder, with a hash of each row;
+    copies and filled dates are small tables of their own, and what they change is counted as they are written.
     """
     source = require_row(df)
     originals = data_columns(source)
@@ -303,18 +327,20 @@ def clean(df: DataFrame, share: float = PARSE_SHARE) -> tuple[DataFrame, Cleanin
     missing = {c: rows - _typed_values(found.get(c), present[c], share) for c in kept}
 
     inferred = any(c in found and found[c].kind(share) != X.CATEGORICAL for c in kept)
-    if inferred:
-        typed = materialize(typed, "typed")
-    repeats = bool(kept) and may_have_duplicates(typed)
-    unique = materialize(drop_duplicates(typed), "unique") if repeats else typed
-    unique_rows = unique.count() if repeats else rows
     gaps = {c: n for c, n in missing.items() if n}
-    if gaps and repeats:
-        left = missing_counts(unique.select(*gaps)).where("missing_count > 0").collect()
-        gaps = {r["column"]: r.missing_count for r in left}
+    unique, unique_rows = typed, rows
+    if kept:
+        hashed, name = _hashed(typed)
+        if inferred:  # casts are made once, and the hash with them
+            hashed = materialize(hashed, "typed")
+            unique = hashed.drop(name)
+        repeated, n = _repeated(hashed, name)
+        if n:
+            shared, alone = _split_by_hash(hashed, name, repeated, n)
+            unique, dropped = _unique_rows(shared, alone, list(gaps), n)
+            unique_rows = rows - dropped["n"]
+            gaps = {c: left for i, (c, before) in enumerate(gaps.items()) if (left := before - dropped[f"g{i}"])}
     result, filled = _impute(unique, list(gaps))
-    if any(X.kind_of(X.types_of(unique)[c]) == X.DATETIME for c in gaps):
-        result = materialize(result, "filled")
 
     return result, CleaningSummary(
         original_rows=total,
@@ -331,6 +357,21 @@ def clean(df: DataFrame, share: float = PARSE_SHARE) -> tuple[DataFrame, Cleanin
     )
 
 
+def _unique_rows(shared: DataFrame, alone: DataFrame, gaps: list[str], hashes: int) -> tuple[DataFrame, dict[str, int]]:
+    """The table without copies, and how many rows (n) and gaps per column (g0, g1, ...) went with them.
+
+    Both are counted by the job that writes the first of each group of copies; no other row is written.
+    """
+    facts = {"n": "count(*)"} | {f"g{i}": f"count_if({X.quote(c)} IS NULL)" for i, c in enumerate(gaps)}
+    before = Observation()
+    noted = shared.observe(before, *[F.expr(v).alias(k) for k, v in facts.items()])
+    first, after = observed(_first_rows(noted), "first-copies", facts)
+    unique = alone.unionByName(first)
+    if hashes > LAZY_HASHES:
+        unique = materialize(unique, "unique")
+    return unique, {k: before.get[k] - after[k] for k in facts}
+
+
 def _typed_values(found: Inference | None, present: int, share: float) -> int:
     """How many values are left once a column has its inferred type."""
     if found is None or found.kind(share) == X.CATEGORICAL:

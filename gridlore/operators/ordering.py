@@ -10,9 +10,11 @@ column, ``ROW``. Three tools build on it:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridlore.session import materialize
+from gridlore.session import materialize, observed
 
 ROW = "_row"
 BLOCK_ROWS = 1 << 18
@@ -26,6 +28,14 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW]
 
 
+def free_name(label: str, taken: list[str]) -> str:
+    """A helper column's name that no column in ``taken`` has."""
+    name, known = f"_{label}", {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def require_row(df: DataFrame) -> DataFrame:
     if ROW not in df.columns:
         raise ValueError(f"This operator depends on row order and needs the {ROW} column; see with_row().")
@@ -65,8 +75,11 @@ def _densely(stored: DataFrame, name: str, offsets: DataFrame) -> DataFrame:
 def file_rows(df: DataFrame) -> DataFrame:
     """Attach ``ROW`` to a Parquet scan from file name and row index, without a shuffle.
 
-    Files are matched by two hashes of their path, so no path is broadcast.
+    Files are matched by two hashes of their path, so no path is broadcast. A table that was staged
+    with its row numbers keeps them.
     """
+    if ROW in df.columns:
+        return df
     if len(df._jdf.inputFiles()) <= 1:  # counted in the JVM, no path reaches Python
         return df.select("*", F.col("_metadata.row_index").alias(ROW))
     path = F.col("_metadata.file_path")
@@ -164,3 +177,29 @@ def fill_both_ways(df: DataFrame, columns: list[str], block_rows: int = BLOCK_RO
     upto = Window.partitionBy("_block").orderBy(ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = {c: F.coalesce(F.last(c, True).over(upto), F.col(f"_carry_{i}")) for i, c in enumerate(columns)}
     return blocked.join(carry, "_block").withColumns(filled).select(*df.columns)
+
+
+FILLED_ROWS = 1 << 20
+"""Filled values (a row number and one value per column) are broadcast up to this number of rows."""
+
+
+def fill_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``fill_both_ways``, but only row numbers and the columns concerned are shuffled while gaps are few.
+
+    Rows with a gap are written with their values, which a broadcast join puts in place, so nothing else
+    moves. With more gaps than FILLED_ROWS whole rows are sorted by block.
+    """
+    require_row(df)
+    numbered = df.select(ROW, *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    names = [f"v{i}" for i in range(len(columns))]
+    gap = reduce(Column.__or__, [F.col(n).isNull() for n in names])
+    some, facts = observed(numbered.where(gap).select(ROW), "gaps", {"n": "count(*)"})
+    if facts["n"] > FILLED_ROWS:
+        return fill_both_ways(df, columns)
+    filled = fill_both_ways(numbered, names).join(F.broadcast(some), ROW, "left_semi").select(F.col(ROW).alias("at"), *names)
+    taken = [*df.columns]
+    helpers = {n: free_name(n, taken) for n in ["at", *names]}
+    found = materialize(filled, "filled").select(*[F.col(n).alias(h) for n, h in helpers.items()])
+    joined = df.join(F.broadcast(found), F.col(ROW) == F.col(helpers["at"]), "left")
+    put = {c: F.coalesce(F.col(c), F.col(helpers[n])).alias(c) for c, n in zip(columns, names)}
+    return joined.select(*[put.get(c, F.col(c)) for c in df.columns])

@@ -93,8 +93,8 @@ def _cells_sql(name, dtype, intervals, cells):
         v = f"CAST({quote(name)} AS DOUBLE)"  # keeps the range filter pushable; it drops NaN too
     iv, cell = "", ""
     for i, lo, hi, fine in intervals:
-        share = f"(v * 0.5D - {number(lo * 0.5)}) / {number(hi * 0.5 - lo * 0.5)}"
-        place = "v" if fine else f"least({cells - 1}D, CAST(floor({share} * {cells}D) AS DOUBLE))"
+        # the halves of two neighbouring subnormal numbers may be equal
+        place = "v" if fine or hi * 0.5 == lo * 0.5 else f"least({cells - 1}D, CAST(floor((v * 0.5D - {number(lo * 0.5)}) / {number(hi * 0.5 - lo * 0.5)} * {cells}D) AS DOUBLE))"
         inside = f"WHEN v BETWEEN {number(lo)} AND {number(hi)} THEN"
         iv += f" {inside} {i}"
         cell += f" {inside} {place}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
+from contextlib import contextmanager
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -131,6 +132,44 @@ def s1(spark, folder):
     return readers.read_csv(spark, path).withColumn("c_acctbal", F.expr(X.double("c_acctbal"))).drop(ROW)
 
 
+@contextmanager
+def _ranges_of(spark, size):
+    """Files are dealt out in ranges of this size meanwhile, so that small ones have several too."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@query(
+    "s1_quoted_line_breaks",
+    """SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus || chr(10) || '"' || o_orderpriority || '",' || chr(10) AS note,
+              o_orderpriority FROM orders""",
+)
+def s1_quoted(spark, folder):
+    """One file of several ranges, where most line ends stand inside quotes."""
+    path = scratch_path(spark, "orders-csv")
+    note = """concat(o_orderstatus, '\n"', o_orderpriority, '",\n') AS note"""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").selectExpr("o_orderkey", note, "o_orderpriority")
+    orders.coalesce(1).write.csv(path, header=True, escape='"', ignoreTrailingWhiteSpace=False)
+    with _ranges_of(spark, "64k"):
+        return readers.read_csv(spark, path).drop(ROW)
+
+
+@query("s2_json_documents", "SELECT event_id, kind, amount FROM (SELECT event_id, event_type AS kind, value AS amount FROM events)")
+def s2_documents(spark, folder):
+    """One file that holds an array of all even events on one line, and one of the odd ones as objects without line ends."""
+    path = scratch_path(spark, "events-json")
+    events = spark.read.parquet(f"{folder}/events.parquet").selectExpr("event_id", "event_type AS kind", "value AS amount")
+    text = events.select("event_id", F.to_json(F.struct("*")).alias("value"))
+    text.where("event_id % 2 = 0").coalesce(1).select("value").mapInPandas(_as_array, "value string").write.option("lineSep", " ").text(path)
+    text.where("event_id % 2 = 1").coalesce(1).select("value").write.mode("append").option("lineSep", " ").text(path)
+    with _ranges_of(spark, "64k"):
+        return readers.read_json(spark, path).select("event_id", "kind", "amount")
+
+
 def _as_array(batches):
     """Records of one task as the lines of one JSON array."""
     lead = "["

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 PARTS_PER_JOB = 32
@@ -54,6 +54,14 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, label: str, facts: dict[str, Column | str]) -> tuple[DataFrame, dict[str, object]]:
+    """``materialize`` that also returns aggregates of the rows written, taken by the writing job itself."""
+    noted = Observation()
+    exprs = [(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in facts.items()]
+    stored = materialize(df.observe(noted, *exprs), label)
+    return stored, dict(noted.get)
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A DataFrame over a bounded driver-side list: one row per column, bin or metric.
 

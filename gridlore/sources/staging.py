@@ -11,26 +11,26 @@ from gridlore.operators.ordering import ROW
 
 
 def fingerprint(df: DataFrame) -> str:
-    """Content hash of a table: schema, row count and two order-free sums of row hashes.
+    """Content hash of a table: schema, row count and order-free sums over the rows' hashes.
 
     Sums combine on the map side and do not depend on partitioning. When the table carries row
     numbers they are part of the row, so the same rows in another order differ.
     """
     dtypes = X.types_of(df)
     values = [f"to_json({X.quote(c)})" if isinstance(dtypes[c], T.MapType) else X.quote(c) for c in df.columns]
-    # the hash skips nulls, so their places are hashed too; the second hash starts from another seed
-    cells = ", ".join(part for c, v in zip(df.columns, values) for part in (f"isnull({X.quote(c)})", v))
+    # the hash skips nulls, so their places are hashed too, as bits of one number for every 60 columns
+    words = [df.columns[i : i + 60] for i in range(0, len(df.columns), 60)]
+    places = [" + ".join(f"IF({X.quote(c)} IS NULL, {1 << i}L, 0L)" for i, c in enumerate(word)) for word in words]
+    # sixteen bits at a time, so that sums of longs hold the rows of any table
+    parts = [f"sum(shiftrightunsigned({x}, {k}) & 65535L) AS {x}{k}" for x in ("h", "g") for k in (0, 16, 32, 48)]
     row = (
-        df.selectExpr(f"xxhash64({cells}) AS h", f"xxhash64(2, {cells}) AS g")
-        .selectExpr(
-            "count(*) AS n",
-            "coalesce(sum(CAST(h AS DECIMAL(38,0))), 0) AS first",
-            "coalesce(sum(CAST(g AS DECIMAL(38,0))), 0) AS second",
-        )
+        df.selectExpr(f"xxhash64({', '.join([*places, *values])}) AS h")
+        .selectExpr("h", "xxhash64(h) AS g")
+        .selectExpr("count(*) AS n", *parts)
         .first()
     )
     schema = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-    return hashlib.sha256(repr((schema, row.n, str(row.first), str(row.second))).encode()).hexdigest()
+    return hashlib.sha256(repr((schema, *row)).encode()).hexdigest()
 
 
 def staged_path(folder: str, content_hash: str) -> str:

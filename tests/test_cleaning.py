@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,62 @@ def test_time_fill_uses_row_order(spark):
     df = small_frame(spark, [(d, i) for i, d in enumerate(days)], f"t timestamp_ntz, {ROW} long").repartition(5)
     assert [r.t.day for r in C.impute(df).orderBy(ROW).collect()] == [5, 5, 5, 1, 1]
     assert C.impute(df).where(F.col("t").isNull()).count() == 0
+
+
+def test_only_possible_copies_are_shuffled(spark):
+    """Rows whose hash is their own stay where they are."""
+    df = spark.range(0, 20_000, 1, 8).selectExpr("CASE WHEN id < 60 THEN id % 20 ELSE id END AS a", "repeat('x', 40) AS b", f"id AS {ROW}")
+    unique = C.drop_duplicates(df)
+    assert unique.count() == 19_960 and sorted(r[ROW] for r in unique.where("a < 20").collect()) == list(range(20))
+    plan = unique._jdf.queryExecution()
+    unique.collect()
+    shuffled = [int(n) for n in re.findall(r"shuffle records written: ([0-9,]+)", _metrics(plan))]
+    assert sum(shuffled) < 2_000
+
+
+def _metrics(execution):
+    """Numbers of rows that exchanges of a plan that has run wrote."""
+    found, plans = [], [execution.executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+            continue
+        if name == "ShuffleExchangeExec":
+            found.append(f"shuffle records written: {plan.metrics().apply('shuffleRecordsWritten').value()}")
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return "\n".join(found)
+
+
+def test_inference_is_one_scan_for_any_width(spark):
+    """The plan doesn't grow with the number of text columns, and the table is read once."""
+    sizes = []
+    for width in (10, 100):
+        df = spark.range(50).selectExpr(*[f"CAST(id + {i} AS STRING) AS c{i}" for i in range(width)], f"id AS {ROW}")
+        noted = C.materialize(df)
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+        found = C.inspect_text(noted, [f"c{i}" for i in range(width)])
+        sizes.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before)
+        assert all(f.numbers == f.integers == f.values == 50 for f in found.values()) and len(found) == width
+    assert sizes[0] == sizes[1]
+
+
+def test_copies_and_gaps_are_counted_as_they_are_written(spark):
+    rows = [("a", None, 1.0, 0), ("a", None, 1.0, 1), ("b", dt.datetime(2025, 1, 1), None, 2), ("b", dt.datetime(2025, 1, 1), None, 3), ("b", dt.datetime(2025, 1, 1), None, 4), ("c", None, 2.0, 5)]
+    cleaned, s = C.clean(small_frame(spark, rows, f"s string, t timestamp_ntz, n double, {ROW} long"))
+    assert (s.cleaned_rows, s.duplicate_rows_removed, s.missing_values_before, s.missing_values_after) == (3, 3, 6, 0)
+    assert [(r.s, r.t.day, r.n, r[ROW]) for r in cleaned.orderBy(ROW).collect()] == [("a", 1, 1.0, 0), ("b", 1, 1.5, 2), ("c", 1, 2.0, 5)]
+
+
+def test_gaps_are_filled_the_same_either_way(spark, monkeypatch):
+    from gridlore.operators import ordering as H
+
+    df = spark.range(500).selectExpr("CASE WHEN id % 7 < 5 THEN id END AS t", "CASE WHEN id % 11 = 3 THEN id END AS u", "id AS v0", f"id AS {ROW}").repartition(4)
+    few = sorted(map(tuple, H.fill_gaps(df, ["t", "u"]).collect()), key=lambda r: r[3])
+    monkeypatch.setattr(H, "FILLED_ROWS", 0)
+    assert few == sorted(map(tuple, H.fill_gaps(df, ["t", "u"]).collect()), key=lambda r: r[3]) and all(r[0] is not None for r in few)

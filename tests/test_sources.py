@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import json
 import os
+import random
 import zipfile
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from gridlore.operators.ordering import ROW
 from gridlore.operators.profile import describe_columns
 from gridlore.plans.queries import write_workbook
 from gridlore.session import scratch_path
-from gridlore.sources import readers, staging
+from gridlore.sources import readers, records, staging
 from gridlore.sources.workbook import read_workbooks
 
 
@@ -108,6 +112,128 @@ def test_csv_rows_survive_other_split_settings(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Files are dealt out in ranges of 4,000 bytes."""
+    settings = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def awkward_rows(n, seed):
+    """Cells with line breaks, quotes, separators and texts longer than a range."""
+    pick = random.Random(seed)
+    kinds = ["plain", "two\nlines", 'say "hi"', "a,b", 'x"', "\n", '"\n"', "\r\n", "é", '","', "long " * 1000, 'q"\n' * 1500, " spaced ", "0"]
+    return [[str(i), *(pick.choice(kinds) for _ in range(3))] for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_csv_records_over_ranges(spark, tmp_path, small_ranges, seed):
+    rows = awkward_rows(60, seed)
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n" if seed else "\r\n").writerows([["n", "a", "b", "c"], *rows])
+    ranges = records.csv_ranges(spark, str(tmp_path / "a.csv"), ",")
+    assert ranges.count() > 5 and records.chunks(spark, str(tmp_path / "a.csv"), "\n").rdd.getNumPartitions() > 5
+    got = readers.read_csv(spark, str(tmp_path)).orderBy(ROW).collect()
+    assert [tuple(r)[:4] for r in got] == [tuple(r) for r in rows] and [r[ROW] for r in got] == list(range(60))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet='",\na ', max_size=40), st.text(alphabet='",a ', max_size=12))
+def test_quote_states_agree_with_the_parser(before, line):
+    """A line leaves a quote open just when the parser asks for more."""
+
+    def open_after(lines):
+        asked = []
+
+        def feed():
+            for x in lines:
+                asked.append(x)
+                yield x + "\n"
+            asked.append(None)
+
+        count = 0
+        for _ in csv.reader(feed()):
+            if asked[-1] is None:
+                return True
+            count = len(asked)
+        return count < len(lines)
+
+    quotes, inside = records.Quotes(","), False
+    lines = [*before.split("\n"), line]
+    for k, x in enumerate(lines):
+        inside = quotes.after(x, inside)
+        assert inside == open_after(lines[: k + 1])
+
+
+def test_csv_faults_are_errors(spark, tmp_path):
+    def read(name, content):
+        (tmp_path / name).write_bytes(content)
+        return readers.read_csv(spark, str(tmp_path / name))
+
+    for name, content in {"wide": b"a,b\n1,2,3\n", "wide_quoted": b'a,b\n"1\n1",2,3\n', "wide_stray": b'a,b\n2" x,y,3" z\n', "latin": b"a,b\nx,caf\xe9\n", "unclosed": b'a,b\n1,"x\n2,y\n'}.items():
+        with pytest.raises(ValueError):
+            read(name, content)
+    assert [tuple(r) for r in read("short", b"a,b,c\n1,2\n1,,\n\n  \n3\n").orderBy(ROW).collect()] == [("1", "2", None, 0), ("1", None, None, 1), ("3", None, None, 2)]
+    assert [tuple(r) for r in read("short2", b'a,b,c\n1,"2\n2"\n\n3\n').orderBy(ROW).collect()] == [("1", "2\n2", None, 0), ("3", None, None, 1)]
+
+
+@pytest.mark.parametrize("row", ["1,2,3,4,5,6", '1,"2\n",3,4,5,6'])
+def test_csv_names(spark, tmp_path, row):
+    df = readers.read_csv(spark, write(tmp_path, "a.csv", "a,a,,_file,_row,_slot\n" + row + "\n"))
+    assert df.columns == ["a", "a.1", "Unnamed: 2", "_file", "_row.1", "_slot", ROW] and df.count() == 1
+    assert [x.strip() for x in df.first()[:6]] == ["1", "2", "3", "4", "5", "6"]
+
+
+def test_csv_folder_columns_and_forms_mix(spark, tmp_path):
+    for year, text in {"2020": 'b,a\n"x\ny",1\n', "2021": "a,b\n2,z\n", "2022": 'a,b\n3,"u\nv"\n'}.items():
+        (tmp_path / f"year={year}").mkdir()
+        write(tmp_path / f"year={year}", "f.csv", text)
+    df = readers.read_csv(spark, str(tmp_path)).orderBy(ROW)
+    assert [(r.a, r.b, str(r.year), r[ROW]) for r in df.collect()] == [("1", "x\ny", "2020", 0), ("2", "z", "2021", 1), ("3", "u\nv", "2022", 2)]
+
+
+JSON_ROWS = [{"a": i, "t": t, "o": {"x": [i], "y": {"z": "}"}}} for i, t in enumerate(['"', "\\", "{[,", "}\\\\" * 70, "é", "x" * 5000, "a\nb", '\\"', ""] * 9)]
+
+
+@pytest.mark.parametrize("form", ["array", "line", "pretty", "documents", "arrays", "lines"])
+def test_json_records_over_ranges(spark, tmp_path, small_ranges, form):
+    one = [json.dumps(r, ensure_ascii=form == "lines") for r in JSON_ROWS]
+    content = {
+        "array": json.dumps(JSON_ROWS, indent=1), "line": json.dumps(JSON_ROWS), "pretty": "\n".join(json.dumps(r, indent=2) for r in JSON_ROWS),
+        "documents": "".join(one), "arrays": f"[{','.join(one[:9])}]\n[] [{','.join(one[9:])}]", "lines": "\n".join(one) + "\n",
+    }[form]
+    path = write(tmp_path, "a.json", content)
+    assert records.chunks(spark, path, "}").rdd.getNumPartitions() > 5
+    got = readers.read_json(spark, path).orderBy(ROW).collect()
+    assert [(r.a, r.t, json.loads(r.o)) for r in got] == [(r["a"], r["t"], r["o"]) for r in JSON_ROWS] and [r[ROW] for r in got] == list(range(81))
+
+
+@pytest.mark.parametrize(
+    "content",
+    ['[{"a":1}] x', '[{"a":1},]', '[{"a":1} {"a":2}]', '{"a":1},{"a":2}', '[{"a":1}', '{"a":1', '{"a":{"b":1}', '[[{"a":1}]]', '{"a":1}}', '[{"a":1}]]', '{"a": x}', '{"a":"b}', '[1, 2]', '{"a":1} 5'],
+)
+def test_json_faults_are_errors(spark, tmp_path, content):
+    with pytest.raises(ValueError):
+        readers.read_json(spark, write(tmp_path, "a.json", content))
+
+
+def test_json_documents_and_names(spark, tmp_path):
+    path = write(tmp_path, "a.json", '{"a":4,\n"b":1}\n{"a":5,\n"b":2}')
+    assert [(r.a, r.b) for r in readers.read_json(spark, path).orderBy(ROW).collect()] == [(4, 1), (5, 2)]
+    path = write(tmp_path, "b.json", '{"_file":1,"_row":2}{"_file":3,"_row":4,"part":5}')
+    df = readers.read_json(spark, path).orderBy(ROW)
+    assert df.columns == ["_file", "_row.1", "part", ROW] and [tuple(r) for r in df.collect()] == [(1, 2, None, 0), (3, 4, 5, 1)]
+
+
+def test_parquet_keeps_its_row_numbers(spark, tmp_path):
+    spark.createDataFrame([(5, "x"), (6, "y")], f"{ROW} long, v string").coalesce(1).write.parquet(str(tmp_path / "p"))
+    assert [(r[ROW], r.v) for r in readers.read_parquet(spark, str(tmp_path / "p")).orderBy(ROW).collect()] == [(5, "x"), (6, "y")]
+
+
 def test_manual_rows(spark):
     rows = [{"region": " North ", "sales": "12"}, {"region": "", "sales": " "}, {"sales": "9", "extra": "x"}]
     df = readers.from_rows(spark, ["region", "sales", " "], rows)
