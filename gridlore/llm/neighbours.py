@@ -119,8 +119,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     Its ``k`` nearest other rows by inner product, nearest first, ties to the smaller vec_id. Vectors
     that are null, zero, of another length than the first row's majority, or hold null or non-finite
     components take no part. Rows with equal vectors are searched once: at most ``k + 1`` of them, of
-    smallest vec_id, can be in an answer, and queries with equal vectors share their search. Other
-    columns are ignored; fewer candidates give shorter answers, an empty table an empty one.
+    smallest vec_id, can be in an answer, and queries with equal vectors share their search. A repeated row counts once. An id with
+    several vectors has an answer for each, in which its rows don't appear and leave as many places empty as there are further ones. Other columns are ignored; fewer candidates give shorter answers, an empty table an empty one.
     """
     spark = vectors.sparkSession
     value = F.col("embedding").cast("array<double>")
@@ -128,7 +128,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), value.alias("v")).where("v is not null and vec_id is not null and size(v) > 0")
     good = good.where(finite & F.exists("v", lambda x: x != 0)).withColumn("d", F.size("v"))
     # -0.0 and 0.0 are one value; the key is compared in full
-    good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).dropDuplicates(["vec_id", "v"])
     by_length = good.groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not by_length:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -165,7 +165,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     form = "vec_id long, v array<double>, list int"
     indexed = materialize(few.select("vec_id", "v").mapInArrow(to_lists(False, 1), form), "index")
-    one = queries.groupBy("v").agg(F.min("vec_id").alias("vec_id"))
+    # searches have numbers of their own, since several ids may share a vector and one id may have several
+    one = materialize(queries.select("v").distinct().withColumn("vec_id", F.monotonically_increasing_id()), "searches")
     asked = materialize(one.select("vec_id", "v").mapInArrow(to_lists(True, probed), form), "asked")
     cut = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias(name))
     parts = materialize(cut(indexed, "parts").join(cut(asked, "turns"), "list"), "lists")  # one row per list, MAX_LISTS at most
@@ -198,5 +199,5 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     found = found.withColumn("place", best).where(F.col("place") <= k + 1)
     members = queries.join(one.select("v", F.col("vec_id").alias("asked")), "v").select(F.col("vec_id").alias("query_id"), "asked")
     out = members.join(found, "asked").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,7 +12,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +30,9 @@ _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-# DER sequences and the magic word of OpenSSH as they begin in base64 and hex, a token's brace with what may follow it
+# DER sequences and the magic word of OpenSSH as they begin in base64 and hex
 _KEY64 = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{8})|b3BlbnNzaC1rZXktdjEA")
 _KEY16 = re.compile(r"30(?:8[1-4]|[1-7][0-9a-f])(?=[0-9a-f]{8})|6f70656e7373682d6b65792d763100", re.I)
-_TOKEN = re.compile(r"e(?:y[A-DI-L]|w[k-r0-3])|[CDI]")
 _DIGITS = {4: re.compile(r"[A-Za-z0-9+/_-]+"), 2: re.compile(r"[0-9A-Fa-f]+")}
 _WRAP = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*")
 _DER_TAGS = {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x16, 0x17, 0x18, 0x30, 0x31}
@@ -71,52 +70,71 @@ def _der_fields(data: bytes, start: int, end: int) -> list[tuple[int, int, int]]
 
 
 def is_der_key(data: bytes) -> bool:
-    """A DER sequence that fills the bytes, parses throughout, and holds a key's integer, string or identifier."""
+    """A DER sequence that fills the bytes and has the parts of a private key.
+
+    After a version of 0 or 1: five more numbers at least (RSA, DSA), an octet string (EC), or an algorithm and an
+    octet string (PKCS#8); without one: a cipher and an octet string (encrypted PKCS#8). Public keys and
+    certificates hold bit strings or fewer numbers and are none.
+    """
     top = _der_fields(data, 0, len(data)) if len(data) >= 24 and data[0] == 0x30 else None
     if not top or len(top) != 1:
         return False
-    pending, held = [top[0]], 0
+    parts = _der_fields(data, top[0][1], top[0][2])
+    if not parts:
+        return False
+    tags = [tag for tag, _, _ in parts]
+    if _is_version(data, parts[0]):
+        numbers = next((i for i, tag in enumerate(tags) if tag != 0x02), len(tags))
+        named = len(parts) > 2 and tags[1] == 0x30 and _names_algorithm(data, parts[1]) and tags[2] == 0x04
+        curve = len(parts) > 1 and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16
+        held = numbers >= 6 and parts[1][2] - parts[1][1] >= 16 or named or curve
+    else:
+        held = tags == [0x30, 0x04] and _names_algorithm(data, parts[0]) and parts[1][2] - parts[1][1] >= 16
+    pending = [p for p in parts if p[0] & 0x20] if held else []
     while pending:
-        tag, a, b = pending.pop()
-        if tag & 0x20:
-            inner = _der_fields(data, a, b)
-            if inner is None:
-                return False
-            pending += inner
-        elif tag in (0x02, 0x03, 0x04) and b - a >= 16 or tag == 0x06 and b - a >= 3:
-            held += 1
-    return held > 0
-
-
-def openssh_length(data: bytes) -> int | None:
-    """Bytes of the complete private key of OpenSSH that ``data`` begins with."""
-    at, strings = len(b"openssh-key-v1\0"), 3
-    if not is_openssh_key(data):
+        inner = _der_fields(data, pending[-1][1], pending.pop()[2])
+        if inner is None:
+            return False
+        pending += [p for p in inner if p[0] & 0x20]
+    return held
+
+
+def _is_version(data: bytes, part: tuple[int, int, int]) -> bool:
+    return part[0] == 0x02 and part[2] - part[1] == 1 and data[part[1]] in (0, 1)
+
+
+def _names_algorithm(data: bytes, part: tuple[int, int, int]) -> bool:
+    inner = _der_fields(data, part[1], part[2])
+    return bool(inner) and inner[0][0] == 0x06
+
+
+MAGIC = b"openssh-key-v1\0"
+
+
+def openssh_length(read: Callable[[int], bytes]) -> int | None:
+    """Bytes of the complete private key of OpenSSH that ``read(n)``, the first n bytes if there are so many, begins with.
+
+    A magic word, then length-prefixed fields: three names, as many public keys as told, the private part.
+    """
+    if not read(len(MAGIC)).startswith(MAGIC):
         return None
+    at, strings = len(MAGIC), 3
     for part in range(2):
         for _ in range(strings):
-            if at + 4 > len(data):
+            data = read(at + 4)
+            if len(data) < at + 4:
                 return None
             at += 4 + int.from_bytes(data[at : at + 4], "big")
         if part == 0:
-            # as many public keys as told, then the private part
-            if at + 4 > len(data):
+            data = read(at + 4)
+            if len(data) < at + 4:
                 return None
             strings, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
-    return at if at <= len(data) else None
+    return at if len(read(at)) >= at else None
 
 
 def is_openssh_key(data: bytes) -> bool:
-    """The private key format of OpenSSH: a magic word, then length-prefixed fields."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
-    for _ in range(3):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data)
+    return openssh_length(lambda n: data[:n]) is not None
 
 
 def _decode64(text: str) -> bytes | None:
@@ -129,16 +147,48 @@ def _decode64(text: str) -> bytes | None:
         return None
 
 
-def _is_token_header(text: str) -> bool:
-    first = (_decode64(text[:16]) or b"").lstrip(b" \t\r\n")
-    data = None if first and first[:1] != b"{" else _decode64(text)
-    if not data or data.lstrip(b" \t\r\n")[:1] != b"{":
-        return False
+_JSON = json.JSONDecoder()
+
+
+def _header_start(text: str) -> int | None:
+    """Where the header of a signed token begins that the base64 ``text`` ends with: an object that names an algorithm.
+
+    Each of the four alignments is decoded once. Objects are parsed from the left; what fails or ends early rules out
+    the objects inside it as well, so the work is linear.
+    """
+    starts = []
+    for shift in range(min(4, len(text))):
+        data = _decode64(text[shift:])
+        if data is None:
+            continue
+        shown = data.decode("latin-1")
+        if not shown.rstrip(" \t\r\n").endswith("}"):
+            continue
+        at = shown.find("{")
+        while at >= 0:
+            try:
+                header, end = _JSON.raw_decode(shown, at)
+            except json.JSONDecodeError as error:
+                at = shown.find("{", max(at + 1, error.pos))
+                continue
+            except RecursionError:
+                at = shown.find("{", at + 1)
+                continue
+            blank = len(shown[:at]) - len(shown[:at].rstrip(" \t\r\n"))
+            first = -(-(at - blank) // 3) * 3  # a header begins with the object, or with white space before it, at a group of four digits
+            if not shown[end:].strip(" \t\r\n") and first <= at and isinstance(header.get("alg"), str) and _is_utf8(data[at:end]):
+                starts.append(shift + first // 3 * 4)
+                break
+            at = shown.find("{", end)
+    return min(starts, default=None)
+
+
+def _is_utf8(data: bytes) -> bool:
     try:
-        header = json.loads(data)
-    except (ValueError, RecursionError):
+        data.decode()
+    except UnicodeDecodeError:
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str)
+    return True
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -152,13 +202,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _gather(text: str, at: int, bits: int, most: int | None = None) -> tuple[str, int]:
+def _gather(text: str, at: int, bits: int, most: int) -> tuple[str, int]:
     """Up to ``most`` digits that begin at ``at``, over line ends, and where they stop."""
     out, held, wrap = [], 0, None
-    while m := _DIGITS[bits].match(text, wrap.end() if wrap else at):
-        end = m.end() if most is None else min(m.end(), m.start() + most - held)
-        out.append(text[m.start() : end])
-        held, at = held + end - m.start(), end
+    while m := _DIGITS[bits].match(text, start := wrap.end() if wrap else at, start + most - held):
+        out.append(m.group())
+        held, at = held + m.end() - m.start(), m.end()
         wrap = None if held == most else _WRAP.match(text, at)
         if wrap is None:
             break
@@ -172,22 +221,28 @@ def _bytes_of(digits: str, bits: int) -> bytes:
 
 
 def _key_at(text: str, at: int, bits: int) -> tuple[str, int] | None:
-    """Kind and end of the key whose digits begin at ``at``; 4 base64 or 2 hex digits hold 3 or 1 bytes."""
+    """Kind and end of the key whose digits begin at ``at``; 4 base64 or 2 hex digits hold 3 or 1 bytes.
+
+    Its first bytes decide whether more is decoded, and its lengths how much.
+    """
     digits = lambda size: -(-size * 4 // 3) if bits == 4 else 2 * size
+
+    def read(size: int) -> bytes:
+        if digits(size) > len(text) - at:
+            return b""
+        return _bytes_of(_gather(text, at, bits, digits(size))[0], bits)[:size]
+
     if text[at] in "b6":
-        data = _bytes_of(_gather(text, at, bits)[0], bits)
-        size = openssh_length(data)
+        size, kind = openssh_length(read), "openssh"
         if size is None:
             return None
-        kind = "openssh"
     else:
-        head = _bytes_of(_gather(text, at, bits, 12)[0], bits)
+        head = read(min(15, (len(text) - at) * bits // (6 if bits == 4 else 4)))
         found = _der_length(head, 1)
-        # every key form opens with its version or with an algorithm
-        if found is None or found[1] >= len(head) or head[found[1]] not in (0x02, 0x30) or sum(found) < 24:
+        if found is None or sum(found) < 24 or not _opens_key(head[found[1] :]):
             return None
         size, kind = sum(found), "der"
-        if not is_der_key(_bytes_of(_gather(text, at, bits, digits(size))[0], bits)[:size]):
+        if not is_der_key(read(size)):
             return None
     end = _gather(text, at, bits, digits(size))[1]
     while bits == 4 and digits(size) % 4 and end < len(text) and text[end] == "=" and text[end - 2 : end] != "==":
@@ -195,6 +250,16 @@ def _key_at(text: str, at: int, bits: int) -> tuple[str, int] | None:
     return kind, end
 
 
+def _opens_key(head: bytes) -> bool:
+    """The first bytes inside a private key: a version of one byte, or a cipher's name."""
+    if head[:1] == b"\x02":
+        return head[1:2] == b"\x01" and head[2:3] in (b"\0", b"\1")
+    if head[:1] != b"\x30":
+        return False
+    found = _der_length(head, 1)
+    return found is not None and (found[1] >= len(head) or head[found[1]] == 0x06)
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Encoded secrets whose decoded structure is that of a key or a signed token."""
     out = []
@@ -228,8 +293,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
                 at = found[1]
     m = _JWT.search(text)
     while m:
-        starts = (t.start() for t in _TOKEN.finditer(m.group(1)))
-        start = next((a for a in starts if _is_token_header(m.group(1)[a:])), None)
+        start = _header_start(m.group(1))
         if start is not None:
             out.append(("jwt", m.start() + start, m.end()))
         m = _JWT.search(text, m.end(1) if start is None else m.end())
@@ -275,7 +339,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: counts by kind, digest of the base spans, and all spans.
 
-    Null text counts as empty and has no span. Repeated rows are scanned each; other columns are
+    Null text counts as empty and has no span. Texts of any length are scanned whole, in linear time. Repeated rows are scanned each; other columns are
     ignored; an empty table gives an empty result. No shuffle.
     """
     return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)

@@ -173,6 +173,101 @@ def test_pages_by_importance(spark):
     assert text([(i, "http://h/p", f"<p>story {i}</p><aside><article>side {i}</article></aside>") for i in range(20)]) == {i: f"story {i}" for i in range(20)}
 
 
+def _der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x81, len(body)]) if len(body) < 256 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def test_only_private_keys_are_secrets():
+    number = lambda n: _der(2, b"\1" + bytes(n))
+    rsa, ec = _der(6, b"\x2a\x86\x48\x86\xf7\x0d\1\1\1"), _der(6, b"\x2a\x86\x48\xce\x3d\2\1")
+    whole = _der(0x30, _der(2, b"\0"), *[number(n) for n in (127, 2, 127, 63, 63, 63, 63, 63)])
+    private = [whole, _der(0x30, _der(2, b"\0"), _der(0x30, rsa, _der(5)), _der(4, whole)), _der(0x30, _der(2, b"\1"), _der(4, bytes(32)), _der(0xA0, ec)),
+               _der(0x30, _der(0x30, rsa, _der(0x30, _der(4, bytes(8)))), _der(4, bytes(600)))]
+    public = [_der(0x30, number(127), number(2)), _der(0x30, _der(0x30, rsa, _der(5)), _der(3, b"\0", _der(0x30, number(127), number(2)))),
+              _der(0x30, _der(0x30, number(20), rsa), _der(0x30, rsa), _der(3, bytes(65))), _der(0x30, _der(0x30, rsa), _der(0x30, ec))]
+    for keys, want in ((private, 1), (public, 0)):
+        for key in keys:
+            for text in (base64.b64encode(key).decode(), f"/k/{base64.b64encode(key).decode()}", key.hex(), f"x {key.hex().upper()}"):
+                assert [k for k, _, _ in secret_scan.confirmed_spans(text)] == ["der"] * want, text
+
+
+@pytest.mark.parametrize("unit, tail", [("ICAg", ".aa.bb"), ("MIIB", ""), ("3082", ""), ("b3BlbnNzaC1rZXktdjEA", ""), ("eyJhIjp7", ".aa.bb"), ("secret=", ""), ("AKIA", "")])
+def test_secret_scan_is_linear(unit, tail):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        secret_scan.scan_text(unit * (n // len(unit)) + tail)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(400_000) < 12 * took(100_000) + 0.5
+
+
+def test_base_spans_by_brute_force():
+    """Character by character, leftmost and without overlap."""
+    rng = np.random.default_rng(2)
+    parts = ["password", "PassWD", "api_key", "apiKey", "token", "secret", "=", ":", " ", '"', "'", "abc", "a1B2+/_.=-", "AKIA", "AKIAABCDEFGHIJ", "0123456789abcdef", "deadbeef", "\n", "é", "K", "ſecret"]
+
+    def brute(text):
+        low = "".join(c.lower() if c < "\x80" else c for c in text)
+        out, at = [], 0
+        while at < len(text):
+            best = None
+            for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                if low.startswith(word, at):
+                    p = at + len(word)
+                    p += text[p : p + 1] in ('"', "'") and p < len(text)
+                    while text[p : p + 1] == " ":
+                        p += 1
+                    if text[p : p + 1] in (":", "=") and p < len(text):
+                        p += 1
+                        while text[p : p + 1] == " ":
+                            p += 1
+                        p += text[p : p + 1] in ('"', "'") and p < len(text)
+                        end = p
+                        while end < len(text) and (text[end].isascii() and text[end].isalnum() or text[end] in "+/_.=-"):
+                            end += 1
+                        if end > p:
+                            best = (end, end - p)
+                    break
+            if best and best[1] >= 6:
+                out.append(("assign", at, best[0]))
+            at = best[0] if best else at + 1
+        for kind, lead, letters, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", "", "0123456789abcdef", 24)):
+            at = 0
+            while at < len(text):
+                end = at + len(lead)
+                while text.startswith(lead, at) and end < len(text) and text[end] in letters:
+                    end += 1
+                if end > at + len(lead):
+                    if end - at >= least:
+                        out.append((kind, at, end))
+                    at = end
+                else:
+                    at += 1
+        return sorted(out, key=secret_scan._order)
+
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, size=rng.integers(1, 14)))
+        assert secret_scan.scan_text(text)[0] == brute(text), text
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """A row given twice is one query and one candidate; an id with two vectors has two answers."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = neighbours.nearest(spark.createDataFrame([*rows, rows[20], rows[20], rows[7], (40, x[3].tolist())], "vec_id long, embedding array<float>")).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 20, 20: 20, 40: 39}
+    one = got[got.query_id == 20].sort_values("rank")
+    score = x.astype(float) @ x[20].astype(float)
+    want = [i for i in np.lexsort((np.arange(60), -score)).tolist() if i != 20][:20]
+    assert one.vec_id.nunique() == 20 and len(set(one.vec_id) & set(want)) >= 18
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 24))
