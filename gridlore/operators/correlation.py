@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from gridlore.functions import exprs as X
+from gridlore.operators.gram import products
 from gridlore.operators.profile import NumericStats, _chunks, columns_of, numeric_stats
 from gridlore.session import run_parts, small_frame
 
@@ -14,6 +15,7 @@ PAIR_SCHEMA = "left_column string, right_column string, left_position int, right
 # pairs per scan, so that an aggregate's buffers stay under spark.sql.codegen.maxFields
 PAIRS_PER_SCAN = 80
 GAPPY_PAIRS_PER_SCAN = 8
+WIDE_PAIRS = 640
 
 
 def correlation_pairs(
@@ -29,7 +31,8 @@ def correlation_pairs(
 
     A column that is constant on those rows has no correlation: null, or 0 on request. Two
     columns without nulls need one sum of products around their known means; a pair with nulls
-    keeps its own deviations (``corr`` would fail on a constant column). ``stats`` and ``rows``
+    keeps its own deviations (``corr`` would fail on a constant column). More than WIDE_PAIRS pairs are
+    computed by blocks of columns, see ``gram``. ``stats`` and ``rows``
     pass what an earlier scan found.
     """
     columns = columns_of(df, X.NUMERIC) if columns is None else columns
@@ -41,6 +44,8 @@ def correlation_pairs(
     stats = numeric_stats(df, columns) if stats is None else stats
     rows = df.count() if rows is None else rows
     known = [stats[c] for c in columns]
+    if len(pairs) > WIDE_PAIRS:
+        return _wide(df, columns, known, null_as_zero, digits)
     full = [s.count == rows and s.mean is not None and math.isfinite(s.mean) for s in known]
 
     def shared(i, j):
@@ -76,6 +81,25 @@ def correlation_pairs(
     return run_parts(df.sparkSession, parts, t=df)
 
 
+def _wide(df: DataFrame, columns: list[str], known: list[NumericStats], null_as_zero: bool, digits: int | None) -> DataFrame:
+    """The pairs of many columns, from sums of products by blocks of columns."""
+    centres = [s.mean if s.mean is not None and math.isfinite(s.mean) else 0.0 for s in known]
+    flat = [s.low == s.high for s in known]
+    names = [(i, c, f) for i, (c, f) in enumerate(zip(columns, flat))]
+    named = small_frame(df.sparkSession, names, "k int, name string, flat boolean")
+    left = F.broadcast(named.toDF("i", "left_column", "left_flat"))
+    right = F.broadcast(named.toDF("j", "right_column", "right_flat"))
+    # what rounding leaves of a constant column's spread is no spread
+    spread = "CASE WHEN q{0} - s{0} * s{0} / n > 1e-12 * q{0} THEN q{0} - s{0} * s{0} / n END"
+    r = f"CASE WHEN NOT left_flat AND NOT right_flat THEN (p - sl * sr / n) / sqrt({spread.format('l')}) / sqrt({spread.format('r')}) END"
+    cells = products(df, columns, centres).withColumn("n", F.expr("nullif(n, 0D)")).join(left, "i").join(right, "j")
+    found = cells.withColumn("r", F.expr(f"nullif({r}, CAST('NaN' AS DOUBLE))"))
+    r = "CASE WHEN r > 1 THEN 1D WHEN r < -1 THEN -1D ELSE r END"
+    r = f"round({r}, {digits})" if digits is not None else r
+    r = f"coalesce({r}, 0D)" if null_as_zero else r
+    return found.selectExpr("left_column", "right_column", "i AS left_position", "j AS right_position", f"{r} AS correlation")
+
+
 def heatmap(pairs: DataFrame, columns: list[str]) -> DataFrame:
     """All cells (x, y, correlation) of the matrix: the pairs, their mirror, and a diagonal of 1."""
     diagonal = small_frame(

@@ -9,13 +9,13 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridlore.functions import exprs as X
+from gridlore.operators import kmeans
 from gridlore.operators.cleaning import fill_values
 from gridlore.operators.ordering import ROW, data_columns, sorted_positions
 from gridlore.operators.profile import columns_of, numeric_stats
@@ -30,7 +30,7 @@ MAX_CLUSTERS = 6
 MAX_CLASSES, MAX_CLASS_SHARE = 40, 0.08
 FLOAT_LIKE_DISTINCT, FLOAT_LIKE_SHARE = 20, 0.005
 TOP_FEATURES = 8
-STARTS = 3
+STARTS = 10
 
 HASHED_FEATURES = 256
 KEY_BITS, STEP_BITS = 52, 13
@@ -51,6 +51,8 @@ class ModelResult:
     classes: DataFrame | None = None
     clusters: DataFrame | None = None
     predictions: DataFrame | None = None
+    centres: DataFrame | None = None
+    features: DataFrame | None = None
     notes: str | None = None
 
     def table(self, spark) -> DataFrame:
@@ -398,18 +400,26 @@ def silhouette(table: DataFrame) -> float:
 
 
 def cluster(df: DataFrame, starts: int = STARTS, hashed: Sequence[str] = ()) -> ModelResult:
-    """KMeans with the cluster count, 2 to 6, of the best silhouette; each count's best of several starts."""
+    """KMeans with the cluster count, 2 to 6, of the best silhouette; each count's best of several starts.
+
+    All counts and starts are fitted together, see ``kmeans``; ``centres`` and ``features`` of the result are what
+    rows were assigned by.
+    """
     rows = df.count()
     if rows < MIN_CLUSTER_ROWS:
         return skipped(CLUSTERING, "Clustering needs at least five records.")
     frame = times_as_seconds(df)
     features = feature_pipeline(frame, hashed)
-    keep = ["features"] + ([ROW] if ROW in frame.columns else [])
-    table = materialize(features.transform(frame).select(*keep), "features")
+    key = F.col(ROW).cast("long") if ROW in frame.columns else F.monotonically_increasing_id()
+    table = materialize(features.transform(frame).select("features", key.alias("key")), "features")
+    size = len(table.select("features").first()["features"])
+    fits = kmeans.fit_all(table, size, list(range(2, min(MAX_CLUSTERS, rows - 1) + 1)), starts, SEED)
+    counts = sorted(fits)
+    near = kmeans.predict_all(table, [fits[k][0] for k in counts], size)
+    placed = materialize(table.join(near, "key"), "clusters")
     best = None
-    for k in range(2, min(MAX_CLUSTERS, rows - 1) + 1):
-        fits = [KMeans(k=k, seed=SEED + i).fit(table) for i in range(starts)]
-        assigned = min(fits, key=lambda fit: fit.summary.trainingCost).transform(table)
+    for i, k in enumerate(counts):
+        assigned = placed.select("features", "key", F.col("nearest")[i].alias("prediction"))
         if assigned.select("prediction").distinct().count() < 2:
             continue
         score = silhouette(assigned)
@@ -418,11 +428,14 @@ def cluster(df: DataFrame, starts: int = STARTS, hashed: Sequence[str] = ()) ->
     if best is None:
         return skipped(CLUSTERING, "The records do not separate into clusters.")
     score, k, assigned = best
+    centres = [(c, i, float(v)) for c, centre in enumerate(fits[k][0]) for i, v in enumerate(centre)]
     return ModelResult(
         "completed", CLUSTERING, model="KMeans",
         metrics={"silhouette_score": round(score, 4), "clusters": float(k)},
         clusters=assigned.groupBy(F.col("prediction").alias("cluster")).count(),
-        predictions=assigned.select(*[c for c in keep if c == ROW], "prediction"),
+        predictions=assigned.select(*([F.col("key").alias(ROW)] if ROW in frame.columns else []), "prediction"),
+        centres=small_frame(df.sparkSession, centres, "cluster int, at int, value double"),
+        features=assigned,
         notes="silhouette metric: squaredEuclidean",
     )
 

@@ -1249,6 +1249,37 @@ def m4_metrics(spark, folder):
     return small_frame(spark, list(M.regression_metrics(guessed).items()), "metric string, value double")
 
 
+WIDE = {f"w{k}": (1 + k % 7, 3 + k % 11, 11 + k) for k in range(210)}
+WIDE_COLUMNS = [f"CAST((l_orderkey * {a} + l_partkey * {b} + l_linenumber) % {m} AS DOUBLE) AS {c}" for c, (a, b, m) in WIDE.items()]
+WIDE_COLUMNS[5] = "CASE WHEN l_linenumber > 2 THEN l_quantity END AS w5"
+WIDE_COLUMNS[6] = "7.0 AS w6"
+WIDE_SHOWN = ["w0", "w5", "w6", "w100"]
+
+
+@query(
+    "r1_wide_matrix",
+    f"""WITH t AS (SELECT {", ".join(WIDE_COLUMNS)} FROM lineitem),
+        r AS ({" UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, corr({x}, {y}) AS r FROM t" for x in WIDE_SHOWN for y in WIDE if x != y)})
+        SELECT x, y, CASE WHEN isnan(r) THEN NULL ELSE round(r, 3) END AS correlation FROM r""",
+)
+def r1_wide(spark, folder):
+    """The matrix of 210 columns, one with gaps and one constant; the SQL repeats four of its rows."""
+    wide = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(*WIDE_COLUMNS)
+    matrix = R.correlation_matrix(wide)
+    return matrix.where(F.col("x").isin(WIDE_SHOWN) & (F.col("x") != F.col("y"))).select("x", "y", "correlation")
+
+
+@query("m7_assignment", "SELECT count(*) AS row_count, count(*) AS nearest, true AS enough_starts FROM customer")
+def m7_assignment(spark, folder):
+    """Rows whose cluster has the nearest of the returned centres, recomputed by SQL."""
+    found = M.cluster(table(spark, folder, "customer"))
+    rows = found.features.select("key", "prediction", F.posexplode(vector_to_array("features")).alias("at", "v"))
+    apart = rows.join(F.broadcast(found.centres), "at").groupBy("key", "prediction", "cluster").agg(F.sum((F.col("v") - F.col("value")) ** 2).alias("d"))
+    best = apart.groupBy("key", "prediction").agg(F.min("d").alias("least"), F.min(F.when(F.col("cluster") == F.col("prediction"), F.col("d"))).alias("own"))
+    close = F.count_if(F.col("own") <= F.col("least") * (1 + 1e-9) + 1e-9)
+    return best.agg(F.count(F.lit(1)).alias("row_count"), close.alias("nearest")).withColumn("enough_starts", F.lit(M.STARTS >= 10))
+
+
 @query("m7_clusters")
 def m7(spark, folder):
     return M.cluster(table(spark, folder, "customer")).clusters

@@ -9,8 +9,9 @@ import pytest
 import gridlore
 from gridlore.operators import charts, cleaning, correlation, outliers, profile, sampling
 from gridlore.operators.ordering import ROW
-from gridlore.plans.report import SECTIONS
-from gridlore.session import scratch_path
+from gridlore.plans import store
+from gridlore.plans.report import SECTIONS, analyze
+from gridlore.session import scratch_path, small_frame
 from gridlore.sources.readers import from_rows, read_parquet
 
 
@@ -106,3 +107,31 @@ def test_rows_are_never_gathered_in_one_task(spark, folder):
 
 def test_parquet_rows_need_no_shuffle(spark, folder):
     assert "Exchange" not in plan(read_parquet(spark, f"{folder}/lineitem.parquet"))
+
+
+def test_a_save_that_breaks_off_shows_nothing(spark, tmp_path, monkeypatch):
+    df = small_frame(spark, [(float(i % 4), i) for i in range(12)], f"n double, {ROW} long")
+    kept = store.ReportStore(spark, str(tmp_path))
+    with monkeypatch.context() as broken:
+        broken.setattr(store.ReportStore, "_publish", lambda self, entry: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            kept.reuse_or_run(df, "t", "ann", charts=False, modeling=False)
+    assert kept.table("entries").count() == kept.history("ann").count() == 0 and kept.table("sections").count() > 0
+    (tmp_path / "entries").mkdir()
+    report_id, reused = kept.reuse_or_run(df, "t", "ann", charts=False, modeling=False)
+    assert not reused and kept.status(report_id).count() == kept.history("ann").count() == 1
+    # what a crash while publishing leaves is no entry, and is replaced
+    (entry,) = (p for p in (tmp_path / "entries").iterdir() if p.suffix == ".json")
+    entry.write_text("")
+    (tmp_path / "entries" / f".{entry.name}.crc").unlink(missing_ok=True)
+    assert kept.table("entries").count() == 0
+    assert not kept.reuse_or_run(df, "t", "ann", charts=False, modeling=False)[1] and kept.table("entries").count() == 1
+
+
+def test_two_writers_share_one_entry(spark, tmp_path):
+    df = small_frame(spark, [(float(i % 4), i) for i in range(12)], f"n double, {ROW} long")
+    report = analyze(df, "t", charts=False, modeling=False)
+    one, two = (store.ReportStore(spark, str(tmp_path)) for _ in range(2))
+    ids = [s.save(report, user, "same-data") for s, user in ((one, "ann"), (two, "bob"))]
+    assert one.table("entries").count() == 1 and len({one.status(i).first().entry_id for i in ids}) == 1
+    assert all(one.load(i, "overview").count() for i in ids) and one.find("same-data", None).count() == 1

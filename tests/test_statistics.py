@@ -182,3 +182,45 @@ def test_every_level_has_its_slot(spark):
     unknown = features.transform(spark.range(1).selectExpr("'new' AS t", "id AS n")).first().features
     assert unknown.size == 131 and set(unknown.indices) <= {0}
     assert M.feature_pipeline(df, hashed=["h"]).size == 1 + 130 + M.HASHED_FEATURES
+
+
+def test_wide_correlation_equals_the_narrow_one(spark, folder, monkeypatch):
+    """Blocks of columns give what one aggregate per pair gives, gaps and constant columns included."""
+    from gridlore.operators import correlation as R, gram
+
+    events = spark.read.parquet(f"{folder}/events.parquet").selectExpr(
+        "value", "CAST(user_id AS DOUBLE) AS user_id", "CASE WHEN event_id % 3 = 0 THEN value * user_id END AS gappy", "5.0D AS flat",
+        "CASE WHEN event_id % 4 = 1 THEN 2.0D WHEN event_id % 4 = 2 THEN value END AS mixed", "1e9 + event_id AS large", "CASE WHEN event_id = 3 THEN 1.0D END AS once",
+    )
+    narrow = {tuple(r)[:2]: r.correlation for r in R.correlation_pairs(events).collect()}
+    monkeypatch.setattr(R, "WIDE_PAIRS", 1)
+    monkeypatch.setattr(gram, "BLOCK_COLUMNS", 3)
+    monkeypatch.setattr(gram, "BLOCKS_PER_SCAN", 2)
+    wide = {tuple(r)[:2]: r.correlation for r in R.correlation_pairs(events).collect()}
+    assert wide == narrow and sum(v is None for v in wide.values()) >= 6
+
+
+def test_wide_correlation_has_a_plan_of_fixed_size(spark):
+    from gridlore.operators import gram
+
+    def size(width):
+        df = spark.range(20).selectExpr(*[f"id % {k + 2} AS c{k}" for k in range(width)])
+        return gram.products(df, df.columns, [0.0] * width)._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+    assert size(20) == size(300) > 0
+
+
+def test_kmeans_finds_separate_groups_in_any_order(spark):
+    from gridlore.operators import kmeans
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(4)
+    middles = np.array([[0, 0, 0], [9, 0, 0], [0, 9, 0], [0, 0, 9]], dtype=float)
+    points = np.concatenate([m + rng.normal(0, 0.3, (40, 3)) for m in middles])
+    rows = [(Vectors.dense(p.tolist()) if i % 2 else Vectors.sparse(3, list(enumerate(p.tolist()))), i) for i, p in enumerate(points)]
+    table = spark.createDataFrame(rows, ["features", "key"])
+    fits = kmeans.fit_all(table.repartition(3), 3, [2, 4], 3, 42)
+    found, cost = fits[4]
+    assert sorted(np.round(found).tolist()) == sorted(middles.tolist()) and cost < 160 and fits[2][1] > cost
+    near = {r["key"]: r["nearest"][0] for r in kmeans.predict_all(table, [found], 3).collect()}
+    assert all(len({near[i] for i in range(g * 40, g * 40 + 40)}) == 1 for g in range(4)) and len(set(near.values())) == 4
