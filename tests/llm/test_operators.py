@@ -155,6 +155,78 @@ def test_pages(spark):
     assert {r.page_id: r.text for r in got} == {i: f"story {i}" for i in range(20)}
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<div>x", "<h1>x", '<a ="', "<button>x<p>", "<title>x", "<b><div>x</b>", "<!--", "<p>x<b>", "<"])
+def test_pages_are_parsed_in_linear_time(unit):
+    import time
+    import tracemalloc
+
+    def took(n):
+        began = time.process_time()
+        page = html_extract.parse(unit * (n // len(unit)))
+        return time.process_time() - began, page
+
+    took(10_000)
+    (short, _), (long, page) = took(60_000), took(240_000)
+    assert long < 12 * short + 0.5 and len(page.paths) == len(page.parents) <= 240_000
+    tracemalloc.start()
+    html_extract.parse("<div>" * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_page_text_that_stays():
+    text = html_extract.extract
+    assert text('<article><p class="login">you must login</p><p class="search">to search</p><div class="tags">by tags</div><math><mi>x</mi></math></article>') == "you must login to search by tags x"
+    assert text("<article><p>one <button>press <p>two<p>three</article>") == "one press two three"
+    assert text("<article><p>one <button>press</button> two<select><option>a<option>b</select><svg><title>t</title></svg></article>") == "one two"
+    assert text("<article><p>a <object>shown</object><video>none</video> b<div class=comments>c</div><div class=notice>d</div>e</article>") == "a shown b e"
+    assert text("<p>1 < 2 <a href='x>y'>link</a> <a title=\"it's\">more</a> <!-- a > b --> end <b") == "1 < 2 link more end <b"
+    assert text("<article>x<script>y") == "x" and text("<title>only") == "only"
+
+
+def test_one_rule_for_hosts(spark):
+    form = "page_id long, url string, html string"
+    text = lambda rows: {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, form)).collect()}
+    page = "<div><p>best offers</p></div><section><p>story {}</p></section>"
+    for n in (3, 7, 8, 30):
+        assert text([(i, "http://h.com/p", page.format(i)) for i in range(n)]) == {i: f"story {i}" for i in range(n)}
+    assert text([(0, "http://h.com/p", page.format(0))]) == {0: "best offers story 0"}
+    for url in ("//h.com/1", " http://h.com/1", "HTTP://u:p@H.com:80/1", "http://[::1]/1"):
+        assert text([(i, url if i % 2 else url.replace("/1", "/2"), page.format(i)) for i in range(20)]) == {i: f"story {i}" for i in range(20)}
+
+
+def test_style_tree_by_brute_force(spark):
+    """Importance of every node of a small host, counted page by page."""
+    import math
+
+    pages = [f"<div class=a><p>{'menu' if i % 4 else 'rare'}</p></div><section>{'<p>x</p>' * (i % 3)}<h2>t{i}</h2></section>" for i in range(9)]
+    rows = spark.createDataFrame([(i, "http://h/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.path: (r.pages, r.importance) for r in html_extract.style_tree(html_extract._counts(rows)).collect()}
+    parsed = [html_extract.parse(p) for p in pages]
+    seen: dict = {}
+    for k, p in enumerate(parsed):
+        for b in p.blocks:
+            node = b.node
+            seen.setdefault(b.path, ({}, {}, set()))[0].setdefault(b.text, set()).add(k)
+            while node:
+                seen.setdefault(p.paths[node], ({}, {}, set()))[2].add(k)
+                node = p.parents[node]
+        for path, shape in p.layout.items():
+            if path:
+                seen.setdefault(path, ({}, {}, set()))[1].setdefault(shape, set()).add(k)
+    assert set(got) == set(seen)
+    for path, (texts, shapes, on) in seen.items():
+        n, trust = len(on), len(on) / (len(on) + 1)
+        parts = []
+        for found, content in ((shapes, False), (texts, True)):
+            c = [len(x) for x in found.values()]
+            if c:
+                mean = sum(x * math.log(x) for x in c) / sum(c)
+                parts.append(1 - trust * mean / math.log(max(n, 2)) if content else 1 - trust * (1 - (math.log(sum(c)) - mean) / math.log(max(n, 2))))
+        want = parts[0] if len(parts) == 1 else 0.2 * parts[0] + 0.8 * parts[1]
+        assert got[path][0] == n and abs(got[path][1] - (want if n >= 2 else 1)) < 1e-9
+
+
 def test_pages_by_importance(spark):
     form = "page_id long, url string, html string"
     text = lambda rows: {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, form)).collect()}
