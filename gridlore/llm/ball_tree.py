@@ -3,7 +3,8 @@
 A document is the sparse vector of its terms' integer scores, restricted to terms that some item
 asks for; an item is the sparse vector of term weights; rank is their inner product. Tasks build
 ball trees over their documents: each node has the centroid and radius of the vectors below it, and
-no inner product with q exceeds q.centroid + |q| * radius. Nodes are taken best-first per item and a
+no inner product with q exceeds q.centroid + |q| * radius. Vectors of texts spread over many terms, so
+a node also has a radius along each term, r, and the bound is q.centroid + min(|q| * radius, q.r). Nodes are taken best-first per item and a
 subtree is left out once its bound, raised by more than all rounding, is below the 50th score so
 far. Leaves are scored in integers, so results are exact. A first search of a bounded sample gives
 each item a score that 50 documents reach, which all other tasks start from.
@@ -81,6 +82,7 @@ class BallTree:
         self.nodes: list[tuple[int, int, int, int]] = []  # first row, end, left child, right child
         self.centres: list[np.ndarray] = []
         self.radii: list[float] = []
+        self.spans: list[np.ndarray] = []
         if rows:
             self._grow()
 
@@ -102,6 +104,10 @@ class BallTree:
             dots = np.bincount(np.repeat(np.arange(len(rows)), sizes), value * centre[term], minlength=len(rows))
             squares = self.norms[rows] - 2 * dots + centre @ centre
             self.centres.append(centre)
+            # the radius along each term: how far the largest value lies above the centre; scores only grow with values
+            top = np.zeros(self.width)
+            np.maximum.at(top, term, value)
+            self.spans.append(np.maximum(top - centre, 0))
             # rounding of the squares is below 1e-9 of the terms they are made of
             self.radii.append(math.sqrt(max(float(squares.max()), 0.0) + 1e-9 * float(self.norms[rows].max() + centre @ centre)))
             if len(rows) > LEAF_DOCS:
@@ -117,11 +123,12 @@ class BallTree:
             at += 1
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the inner product of each node's rows with each query (dense rows)."""
+        """Upper bounds of the inner product of each node's rows with each query (dense rows of weights from 0 up)."""
         if not self.nodes:
             return np.zeros((0, len(queries)))
         exact = queries.astype(np.float64)
-        bound = np.stack(self.centres) @ exact.T + np.array(self.radii)[:, None] * np.sqrt((exact * exact).sum(axis=1))
+        middle, length = np.stack(self.centres) @ exact.T, np.sqrt((exact * exact).sum(axis=1))
+        bound = middle + np.minimum(np.array(self.radii)[:, None] * length, np.stack(self.spans) @ exact.T)
         return bound * (1 + 1e-9) + 1
 
     def scores(self, node: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
