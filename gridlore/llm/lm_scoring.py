@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridlore.llm import ngrams
-from gridlore.llm.preselect import of_ids
-from gridlore.llm.textkit import slices, text_buffers
 from gridlore.session import materialize
 
 
@@ -19,24 +14,17 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     The target model counts the documents named in ``target`` (doc_id), the background model all of
     ``docs``; both have the same order and vocabulary, so losses compare token by token. Losses are
     means in nats per token (a character); score is target minus background, and a lower score is
-    closer to the target. Null or empty text has no token and scores 0. Repeated rows are counted and
-    scored each; ids without a document and null ids add nothing; further columns are ignored; an
-    empty table gives an empty result.
+    closer to the target. Null or empty text has no token and scores 0; without any target text all
+    characters are as likely to the target model. Texts of any length are scored whole. Repeated rows
+    are counted and scored each; ids without a document and null ids add nothing; further columns are
+    ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = materialize(target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct(), "target")
-    near = spark.sparkContext.broadcast(ngrams.fit(ngrams.count(of_ids(texts, ids), "target-ngrams")))
-    far = spark.sparkContext.broadcast(ngrams.fit(ngrams.count(texts, "background-ngrams")))
-    names = ["doc_id", "n_tokens", "target_loss", "background_loss"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                code, starts = ngrams.codes(*text_buffers(batch.column("text")))
-                losses = [-ngrams.mean_log(m.value.table, code, starts) + 0.0 for m in (near, far)]
-                length = (starts[1:] - starts[:-1]).astype("int64")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(length), *map(pa.array, losses)], names=names)
-
-    scored = texts.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    near = ngrams.count(ngrams.texts_of(rows, ids).withColumn("part", F.lit(0)), "target-ngrams")
+    far = ngrams.count(rows.withColumn("part", F.lit(1)), "background-ngrams")
+    models = ngrams.fit(near.union(far).select(F.col("part").alias("m"), "g", "c"))
+    scored = ngrams.score(rows, models, 2)
+    # + 0.0 turns the negative zero of texts without tokens into zero
+    losses = [(-F.col(f"mean{i}") + F.lit(0.0)).alias(name) for i, name in enumerate(("target_loss", "background_loss"))]
+    return scored.select("doc_id", "n_tokens", *losses).withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -5,14 +5,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
 
 from gridlore.llm import exact_dedup, html_extract, lm_scoring, near_dedup, neighbours, packing, piece_codec, quality, queries, secret_scan, toxicity
+from gridlore.llm.textkit import text_buffers
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = [f"w{i}" for i in range(60)]
@@ -436,11 +440,77 @@ def test_language_models(spark, docs, empty):
     assert score[1] == 0 and score[9] < score[13] and lm_scoring.cross_entropy_difference(empty, labels).count() == 0
 
 
-def test_ngram_model_sums_to_one(docs):
+def _kneser_ney(texts):
+    """Interpolated modified Kneser-Ney of order 4 from dictionaries: a function from 4 characters to a probability."""
+    counts = {4: Counter()}
+    for text in texts:
+        padded = "\uffff" * 3 + (text or "")
+        counts[4].update(padded[i : i + 4] for i in range(len(padded) - 3))
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts = {}
+    for k, level in counts.items():
+        n = [sum(c == i for c in level.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        found = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) for i in (1, 2, 3)] if all(n[1:4]) else [0.5, 0.75, 0.9]
+        cuts[k] = dict(zip((1, 2, 3), found))
+
+    def p(gram):
+        if not gram:
+            return 1 / 1_112_064
+        level, cut = counts[len(gram)], cuts[len(gram)]
+        after = [c for g, c in level.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        own = max(level[gram] - cut[min(level[gram], 3)], 0) if gram in level else 0
+        return (own + sum(cut[min(c, 3)] for c in after) * p(gram[1:])) / sum(after)
+
+    return lambda text: sum(math.log(p(("\uffff" * 3 + text)[i : i + 4])) for i in range(len(text))) / max(len(text), 1)
+
+
+MANY = ["the old mill by the river", "the new mill by the old river", "мост через реку", "\u6c34\u8eca\u6c34\u8eca\u5c0f\u5c4b", "a\U0001f600b\U0001f600", "river river river", "x", "", None, "the old mill by the river", "Ünrühe am Fluß"]
+
+
+def test_language_models_by_brute_force(spark):
+    rows = [(i, t, "en" if i < 6 or i == 9 else None) for i, t in enumerate(MANY)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = [0, 1, 2, 3, 8, 9]
+    fold = {r[0]: r[1] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(coalesce(text, '')), {quality.FOLDS})").collect()}
+    labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    got = quality.classify(docs, labels).toPandas().set_index("doc_id")
+    for i, text in enumerate(MANY):
+        known = _kneser_ney([MANY[j] for j in good if not (i in good and fold[j] == fold[i])])
+        assert got.loc[i, "perplexity"] == pytest.approx(math.exp(-known(text or "")), rel=1e-4), i
+    assert not got.loc[[7, 8], "kept"].any() and fold[0] == fold[9]
+    assert (got.loc[[0, 1, 2, 3, 9], "perplexity"] <= got.loc[[0, 1, 2, 3, 9], "threshold"]).all() and got.loc[[6, 10], "kept"].all() and got.loc[[6, 10], "threshold"].isna().all()
+    scores = lm_scoring.cross_entropy_difference(docs, labels.select("doc_id")).toPandas().set_index("doc_id")
+    near, far = _kneser_ney([MANY[j] for j in good]), _kneser_ney(MANY)
+    for i, text in enumerate(MANY):
+        assert scores.loc[i, "n_tokens"] == len(text or "") and scores.loc[i, "score"] == pytest.approx(far(text or "") - near(text or ""), abs=1e-4)
+    nobody = lm_scoring.cross_entropy_difference(docs, labels.where("quality = 0").select("doc_id")).toPandas()
+    assert nobody.loc[nobody["n_tokens"] > 0, "target_loss"].to_numpy() == pytest.approx(math.log(1_112_064), rel=1e-5)
+
+
+def test_held_out_documents_are_kept_like_trusted_ones(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 60)) if i < 120 else "".join(rng.choice(list("qwzxjk "), 300)), "de") for i in range(130)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.range(0, 120, 2).selectExpr("id doc_id", "1 quality")
+    got = quality.classify(docs, labels).toPandas().set_index("doc_id")["kept"]
+    assert got.loc[range(1, 120, 2)].mean() > 0.9 and got.loc[range(0, 120, 2)].mean() > 0.95 and not got.loc[range(120, 130)].any()
+
+
+def test_grams_of_windows_are_those_of_whole_texts():
     from gridlore.llm import ngrams
 
-    table = ngrams.fit(ngrams.count(docs, "t")).table.reshape(-1, ngrams.CLASSES)
-    assert np.allclose(np.exp(table[::997].astype(np.float64)).sum(axis=1), 1, atol=1e-3)
+    array = pa.array(MANY)
+    data, offsets = text_buffers(array)
+    for limit in (1, 5, 1 << 20):
+        found = []
+        for points, place, text, skip in ngrams.windows(data, offsets, limit):
+            index, grams = ngrams.distinct_grams(points, place, skip)
+            found += zip(text[skip:].tolist(), grams.take(pa.array(index)).to_pylist())
+        assert found == [(i, ("\uffff" * 3 + (t or ""))[k : k + 4]) for i, t in enumerate(MANY) for k in range(len(t or ""))]
 
 
 def _unigram_file() -> bytes:
