@@ -9,7 +9,6 @@ in one group of bounded size, so rows shuffled follow distinct n-grams of blocks
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ VOCABULARY = 1_112_064
 """Unicode characters; each has this share of the probability that order 1 frees."""
 BEFORE = "￿"
 """Stands before a text; no character of Unicode."""
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 25
 """Text of a block; a longer text is a block alone."""
 BROADCAST_IDS = 1 << 21
 """Ids, counted first, that are sent to every task (some 50 MB); more are joined by shuffle."""
@@ -160,41 +159,39 @@ def log_probabilities(orders: list[tuple[DataFrame, DataFrame]], grams: DataFram
     return materialize(lower.groupBy("g").agg(*each), "resolved")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
-    """The task's rows in blocks: number, check sum of the texts, slices."""
-    number, held, size, mark = TaskContext.get().partitionId() << 32, [], 0, 0
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The task's rows in blocks: number, slices."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
     for whole in batches:
         for batch in slices(whole, "text"):
-            data = text_buffers(batch.column("text"))[0]
-            if held and size + len(data) > BLOCK_BYTES:
-                yield number, mark, held
-                number, held, size, mark = number + 1, [], 0, 0
+            more = len(text_buffers(batch.column("text"))[0])
+            if held and size + more > BLOCK_BYTES:
+                yield number, held
+                number, held, size = number + 1, [], 0
             held.append(batch)
-            size += len(data)
-            mark = zlib.crc32(data, mark)
+            size += more
     if held:
-        yield number, mark, held
+        yield number, held
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, mark, held in _blocks(batches):
+    for number, held in _blocks(batches):
         found = [pa.array([], pa.string())]
         for batch in held:
             for points, place, _, skip in windows(*text_buffers(batch.column("text"))):
                 found.append(distinct_grams(points, place, skip)[1])
             found = [pc.unique(pa.chunked_array(found))]
-        n = len(found[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.full(n, mark, np.int64)), found[0]], names=["block", "mark", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), number)), found[0]], names=["block", "g"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-    for number, mark, held in _blocks(batches):
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+    for number, held in _blocks(batches):
         for batch in held:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
                 out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([mark], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "mark", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
 
 def _score(models: int, packed: pa.Table, answers: pa.Table) -> pa.Table:
@@ -208,7 +205,7 @@ def _score(models: int, packed: pa.Table, answers: pa.Table) -> pa.Table:
         for points, place, text, skip in windows(*text_buffers(batch.column("text"))):
             index, grams = distinct_grams(points, place, skip)
             at = pc.index_in(grams, value_set=known)
-            if at.null_count:
+            if at.null_count:  # blocks are cut alike as long as the rows come alike
                 raise ValueError("the documents changed between two reads of them")
             at = at.to_numpy()[index]
             length += np.bincount(text[skip:], minlength=batch.num_rows)
@@ -226,15 +223,14 @@ def _score(models: int, packed: pa.Table, answers: pa.Table) -> pa.Table:
 def score(docs: DataFrame, orders: list[tuple[DataFrame, DataFrame]], models: int) -> DataFrame:
     """The columns of ``docs`` without text, n_tokens (characters), and per model mean0, mean1, ...: the
     mean log probability of the characters, 0 for null or empty text."""
-    asked = materialize(docs.mapInArrow(_ask, "block long, mark long, g string"), "asked")
+    asked = materialize(docs.mapInArrow(_ask, "block long, g string"), "asked")
     answers = log_probabilities(orders, asked.select("g").distinct(), models)
     answers = asked.join(answers, "g")
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["n_tokens long"] + [f"mean{i} double" for i in range(models)])
-    packed = docs.mapInArrow(_pack, "block long, mark long, rows binary")
-    keys = ["block", "mark"]
+    packed = docs.mapInArrow(_pack, "block long, rows binary")
 
     def apply(rows: pa.Table, found: pa.Table) -> pa.Table:
         return _score(models, rows, found)
 
-    return packed.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(apply, schema)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, schema)
