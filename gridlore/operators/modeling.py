@@ -53,6 +53,8 @@ class ModelResult:
     predictions: DataFrame | None = None
     centres: DataFrame | None = None
     features: DataFrame | None = None
+    fitted: object | None = None
+    inputs: FeaturePipeline | None = None
     notes: str | None = None
 
     def table(self, spark) -> DataFrame:
@@ -317,7 +319,7 @@ def regress(df: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH,
         "completed", REGRESSION, target, model="Random Forest Regressor",
         metrics=regression_metrics(predictions),
         importance=feature_importance(model, features, df.sparkSession),
-        predictions=predictions,
+        predictions=predictions, fitted=model, inputs=features,
     )
 
 
@@ -387,7 +389,7 @@ def classify(
         metrics=classification_metrics(predictions),
         importance=feature_importance(model, features, df.sparkSession),
         classes=small_frame(df.sparkSession, sorted(counts.items()), "class string, count long"),
-        predictions=predictions,
+        predictions=predictions, fitted=model, inputs=features,
     )
 
 

@@ -19,6 +19,7 @@ from gridlore.functions import names as N
 from gridlore.operators import charts as V
 from gridlore.operators import cleaning as C
 from gridlore.operators import correlation as R
+from gridlore.operators import forest as W
 from gridlore.operators import modeling as M
 from gridlore.operators import ordering as H
 from gridlore.operators import outliers as O
@@ -1309,6 +1310,47 @@ def m9(spark, folder):
     return M.regress(table(spark, folder, "part"), "p_retailprice").importance
 
 
+def _scored_both_ways(found: M.ModelResult, rows: DataFrame, key: str) -> DataFrame:
+    """Rows scored by the fitted model and, level by level, by its node table."""
+    classes = getattr(found.fitted, "numClasses", 0)
+    scored = materialize(found.inputs.transform(M.times_as_seconds(rows)).select(key, "features"), "scored")
+    by_nodes = W.score(scored, W.node_table(found.fitted), key, classes)
+    by_model = found.fitted.transform(scored).select(key, F.col("prediction").alias("said"))
+    return by_nodes.join(by_model, key)
+
+
+@query("m4_node_table", "SELECT o_orderkey, true AS agrees FROM orders")
+def m4_nodes(spark, folder):
+    """Whether the node table of the regression gives each order the model's prediction."""
+    orders = table(spark, folder, "orders")
+    both = _scored_both_ways(M.regress(orders, "o_totalprice"), orders, "o_orderkey")
+    return both.select("o_orderkey", (F.abs(F.col("prediction") - F.col("said")) <= 1e-9 * F.abs("said")).alias("agrees"))
+
+
+@query("m5_node_table", "SELECT o_orderkey, true AS agrees FROM orders")
+def m5_nodes(spark, folder):
+    """Whether the class the model gives each order has the most votes by the node table."""
+    orders = table(spark, folder, "orders")
+    both = _scored_both_ways(M.classify(orders, "o_orderstatus"), orders, "o_orderkey")
+    ahead = F.array_max("votes") - F.get("votes", F.col("said").cast("int"))
+    return both.select("o_orderkey", (ahead <= 1e-9).alias("agrees"))
+
+
+@query(
+    "m9_node_gains",
+    """SELECT 'p_partkey' AS feature, true AS agrees UNION ALL SELECT 'p_size', true
+       UNION ALL SELECT DISTINCT concat('p_brand_', p_brand), true FROM part""",
+)
+def m9_gains(spark, folder):
+    """Whether the gains of the node table give each slot the model's importance."""
+    part = table(spark, folder, "part").select(ROW, "p_partkey", "p_size", "p_brand", "p_retailprice")
+    found = M.regress(part, "p_retailprice")
+    weights, names = found.fitted.featureImportances.toArray(), found.inputs.names(range(found.inputs.size))
+    slots = small_frame(spark, [(i, names[i], float(w)) for i, w in enumerate(weights)], "slot int, feature string, said double")
+    both = slots.join(W.importance(W.node_table(found.fitted)), "slot", "left")
+    return both.select("feature", (F.abs(F.coalesce("importance", F.lit(0.0)) - F.col("said")) <= 1e-9).alias("agrees"))
+
+
 # --- reports and the report store ----------------------------------------------------------------
 
 
