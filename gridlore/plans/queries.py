@@ -26,6 +26,7 @@ from gridlore.operators import outliers as O
 from gridlore.operators import profile as D
 from gridlore.operators import quantiles as Q
 from gridlore.operators import sampling as K
+from gridlore.operators import sketches as L
 from gridlore.operators import trends as T
 from gridlore.operators.ordering import ROW
 from gridlore.plans import report, store
@@ -662,6 +663,35 @@ def d5_bound(spark, folder):
     return small_frame(spark, rows, "column string, probability double, within_bound boolean")
 
 
+@query(
+    "d3_merged_sketches",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS row_count, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
+            true AS distinct_close, true AS ranks_close FROM lineitem"""
+        for c in NUMBERS
+    ),
+)
+def merged_sketches(spark, folder):
+    """Sketches of two halves, merged: distinct counts within 4 %, ranks of the quartiles within 2 % of the rows."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(*NUMBERS)
+    odd = F.pmod("l_orderkey", F.lit(2)) == 1
+    halves = L.sketch(lines.where(odd)).unionByName(L.sketch(lines.where(~odd)))
+    quartiles = [0.25, 0.5, 0.75]
+    found = L.described(L.merge(halves), quartiles).collect()  # one row per column
+    exact = lines.agg(
+        *[F.count_distinct(r["column"]).alias(f"d{i}") for i, r in enumerate(found)],
+        *[F.count_if(F.col(r["column"]) < v).alias(f"below{i}_{k}") for i, r in enumerate(found) for k, v in enumerate(r.quantiles)],
+        *[F.count_if(F.col(r["column"]) <= v).alias(f"upto{i}_{k}") for i, r in enumerate(found) for k, v in enumerate(r.quantiles)],
+    ).first()
+    rows = []
+    for i, r in enumerate(found):
+        distinct = abs(r.unique_values - exact[f"d{i}"]) <= 0.04 * exact[f"d{i}"]
+        slack = 0.02 * r.row_count + 1
+        ranks = all(exact[f"below{i}_{k}"] - slack <= p * r.row_count <= exact[f"upto{i}_{k}"] + slack for k, p in enumerate(quartiles))
+        rows.append((r["column"], r.row_count, r.min, r.max, distinct, ranks))
+    return small_frame(spark, rows, "column string, row_count long, min double, max double, distinct_close boolean, ranks_close boolean")
+
+
 @query(
     "d6_datetime_summary",
     """SELECT 'l_shipdate' AS "column", strftime(min(l_shipdate), '%Y-%m-%dT%H:%M:%S') AS min_time,
