@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -1490,6 +1491,24 @@ def s11(spark, folder):
     return records.select("r.*").where("castable_count IS NOT NULL")
 
 
+@query(
+    "s11_all_sections",
+    f"""SELECT section, true AS same FROM (VALUES {", ".join(f"('{s}')" for s in report.SECTIONS)}) s(section)""",
+)
+def s11_sections(spark, folder):
+    """Whether each stored section holds the report's records, no more and no less."""
+    reports = store.ReportStore(spark, scratch_path(spark, "store"))
+    orders = table(spark, folder, "orders")
+    done = report.analyze(orders, "orders", modeling=False)
+    report_id = reports.save(done, "analyst", staging.fingerprint(orders))
+    stored = [reports.load(report_id, s).select(F.lit(s).alias("section"), "record", F.lit(-1).alias("n")) for s in report.SECTIONS]
+    shown = done.records().select("section", "record", F.lit(1).alias("n"))
+    both = reduce(DataFrame.unionByName, stored, shown).groupBy("section", "record").agg(F.sum("n").alias("n"))
+    same = both.groupBy("section").agg(F.bool_and(F.col("n") == 0).alias("same"))
+    sections = small_frame(spark, [(s,) for s in report.SECTIONS], "section string")
+    return sections.join(same, "section", "left").select("section", F.coalesce("same", F.lit(True)).alias("same"))  # empty on both sides
+
+
 @query(
     "j1_report_status",
     """SELECT c_custkey AS report_id, c_mktsegment AS status, o_orderkey AS entry_id, o_orderstatus AS entry_status,
