@@ -41,6 +41,11 @@ def read_csv(
     split at line ends. A file without any content is an error; a header alone gives an empty
     table. The parsed rows are written once to the shared folder.
     """
+    with records.same_ranges(spark):
+        return _read_csv(spark, path, multi_line, sep)
+
+
+def _read_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None, sep: str) -> DataFrame:
     ranges = records.csv_ranges(spark, path, sep)
     first = F.min_by("first", F.when(F.col("first").isNotNull(), F.col("start")))
     files = materialize(ranges.groupBy("file", "key").agg(first.alias("first"), F.bool_or("opens").alias("opens"), F.bool_and("valid").alias("valid")), "csv-files")
@@ -52,6 +57,8 @@ def read_csv(
     scans = [_plain_lines(spark, path, paths, names, sep) for names, paths in _headers(files.where(~whole), sep)]
     quoted = [f.path for f in files.where(whole).select(_path_of("file")).orderBy("path").collect()]
     if quoted:
+        if len(spark.read.text(path)._jdf.inputFiles()) > len(quoted):  # fewer files may be dealt out in smaller ranges
+            ranges = records.csv_ranges(spark, quoted, sep)
         scans.append(_quoted_records(spark, path, quoted, sep, ranges))
     if not scans:
         raise ValueError("The file has no content.")
@@ -160,7 +167,8 @@ def read_json(spark: SparkSession, path: str | list[str], multi_line: bool | Non
     accepted and makes no difference.
     """
     try:
-        cut, files = records.json_records(spark, path)
+        with records.same_ranges(spark):
+            cut, files = records.json_records(spark, path)
         strict = {"mode": "FAILFAST"}
         schema = _schema_of(spark, cut.select("text"), strict)
         if not schema.fields:

@@ -13,6 +13,7 @@ import csv
 import re
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
@@ -31,6 +32,20 @@ _ROWS = 4096
 _BLANK = " \t\r"
 
 
+@contextmanager
+def same_ranges(spark: SparkSession) -> Iterator[None]:
+    """Scans of the same files inside are dealt out in the same ranges, though executors come or go between them."""
+    name = "spark.sql.files.minPartitionNum"
+    free = spark.conf.get(name, None) is None
+    if free:
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        if free:
+            spark.conf.unset(name)
+
+
 def chunks(spark: SparkSession, path: str | list[str], end: str) -> DataFrame:
     """Text between ``end``s: file, key (its hash), start of the range, text, and whether it is valid UTF-8; in file order within a range."""
     read = spark.read.text(path, lineSep=end)
@@ -109,15 +124,25 @@ def csv_ranges(spark: SparkSession, path: str | list[str], sep: str) -> DataFram
 
 
 def with_states(lines: DataFrame, states: DataFrame) -> DataFrame:
-    """Lines with their range's state, still in order: by broadcast up to a measured size, else by shuffle and sort."""
+    """Lines with their range's state, still in order: by broadcast up to a measured size, else by shuffle and sort.
+
+    A range that has no state, because the scans cut a file differently, is an error: its lines would be lost.
+    """
+    known = states.withColumn("known", F.lit(True))
     if states.count() * OFFSET_ROW_BYTES <= MAX_OFFSET_BYTES:
-        return lines.join(F.broadcast(states), ["key", "start"])
-    numbered = lines.withColumn("at", F.monotonically_increasing_id())
-    return numbered.join(states, ["key", "start"]).repartition("key", "start").sortWithinPartitions("key", "start", "at").drop("at")
+        joined = lines.join(F.broadcast(known), ["key", "start"], "left")
+    else:
+        numbered = lines.withColumn("at", F.monotonically_increasing_id())
+        joined = numbered.join(known, ["key", "start"], "left").repartition("key", "start").sortWithinPartitions("key", "start", "at").drop("at")
+    moved = F.raise_error(F.lit("A file was dealt out in other ranges than before."))
+    return joined.where(F.coalesce("known", moved.cast("boolean"))).drop("known")
 
 
 def csv_records(spark: SparkSession, path: str | list[str], sep: str, ranges: DataFrame) -> DataFrame:
-    """Records of files with line breaks inside quotes (CUT), written once; ``start`` is twice the byte its range begins at."""
+    """Records of files with line breaks inside quotes (CUT), written once; ``start`` is twice the byte its range begins at.
+
+    ``ranges`` come from a scan of the same files, no more and no less: others would be dealt out in other ranges.
+    """
 
     def states(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("start")

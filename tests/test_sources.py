@@ -130,6 +130,32 @@ def awkward_rows(n, seed):
     return [[str(i), *(pick.choice(kinds) for _ in range(3))] for i in range(n)]
 
 
+@pytest.fixture()
+def no_open_cost(spark):
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_files_beside_larger_ones(spark, tmp_path, no_open_cost):
+    """The quoted file alone is dealt out in smaller ranges than beside a file of plain lines or an empty one."""
+    write(tmp_path, "a.csv", "a,b\n" + "".join(f"{i},plain {i}\n" for i in range(60_000)))
+    write(tmp_path, "b.csv", "a,b\n" + "".join(f'q{i},"two\nlines"\n' for i in range(4_000)))
+    write(tmp_path, "c.csv", "")
+    read = readers.read_csv(spark, str(tmp_path))
+    assert read.count() == read.select("a").distinct().count() == 64_000
+    assert read.where("b = 'two\nlines'").count() == 4_000
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_ranges_without_a_state_are_errors(spark, tmp_path, no_open_cost):
+    path = write(tmp_path, "b.csv", "a,b\n" + "".join(f'q{i},"two\nlines"\n' for i in range(4_000)))
+    ranges = records.csv_ranges(spark, path, ",")
+    assert ranges.count() > 1
+    with pytest.raises(Exception, match="other ranges"):
+        records.csv_records(spark, path, ",", ranges.where("start = 0").withColumn("after_out", F.lit(False)))
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_csv_records_over_ranges(spark, tmp_path, small_ranges, seed):
     rows = awkward_rows(60, seed)
