@@ -2,21 +2,27 @@
 
 A node table has one row per node (tree, node): what it predicts, the weight and statistics of the rows
 that reached it, and for inner nodes the gain, the slot it asks for and where both answers lead. It has
-at most trees * 2^(depth + 1) rows, whatever the data. Rows are scored by joining them with it once a level.
+at most trees * 2^(depth + 1) rows, whatever the data. Tasks walk all trees with slices of rows, a level at
+a time; a table too large to be sent to every task is joined with the rows once a level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridlore.session import materialize, scratch_path, small_frame
 
 BROADCAST_NODES = 1 << 20
 """Nodes, counted first, that are sent to every task (some 100 MB); more are joined by shuffle."""
+STEPS_AT_ONCE = 1 << 17
+"""Pairs of a row and a tree that take a step together inside a task."""
 
 
 def _levels(tree: pd.DataFrame) -> pd.DataFrame:
@@ -75,7 +81,7 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 
 def score(rows: DataFrame, nodes: DataFrame, key: str, classes: int = 0) -> DataFrame:
-    """(key, prediction) of ``rows`` (key, features) by the trees of ``nodes``, level by level.
+    """(key, prediction) of ``rows`` (key, features) by the trees of ``nodes``.
 
     A regression (``classes`` 0) predicts the mean of its trees' leaves. Else each tree gives a class the
     share of its leaf's weight, ``votes`` are the sums over trees and the prediction is the class of most
@@ -83,7 +89,6 @@ def score(rows: DataFrame, nodes: DataFrame, key: str, classes: int = 0) -> Data
     are scored as one, so it has to be unique. Only slots some split asks for leave the vector, at most one per
     inner node. All trees of a row stay in its task, so only one row of sums per row is shuffled.
     """
-    spark = rows.sparkSession
     shape = nodes.agg(
         F.count(F.lit(1)).alias("n"), F.max("tree").alias("last"), F.max("level").alias("depth"), F.sort_array(F.collect_set("slot")).alias("slots"),
     ).first()
@@ -94,24 +99,115 @@ def score(rows: DataFrame, nodes: DataFrame, key: str, classes: int = 0) -> Data
         values = vector_to_array("_asked")
     else:
         values = F.array().cast("array<double>")
-    at = rows.select(F.col(key).alias("_key"), values.alias("_values"), F.explode(F.sequence(F.lit(0), F.lit(shape.last))).alias("_tree"))
-    at = at.withColumn("_node", F.lit(0))
-    places = small_frame(spark, list(zip(shape.slots, range(len(shape.slots)))), "slot int, place int")
+    if shape.n <= BROADCAST_NODES:
+        reached = _walked(rows.select(F.col(key).alias("_key"), values.alias("_values")), nodes, shape.slots, shape.depth, classes).groupBy("_key")
+        mean = F.sum(F.get("_sums", F.lit(0))) / (F.count(F.lit(1)) * (shape.last + 1))
+        votes = [F.sum(F.get("_sums", F.lit(k))) for k in range(classes)]
+    else:
+        reached = _joined(rows.select(F.col(key).alias("_key"), values.alias("_values")), nodes, shape.slots, shape.depth, shape.last).groupBy("_key")
+        mean = F.avg("prediction")
+        weight = F.aggregate("stats", F.lit(0.0), lambda a, v: a + v)
+        votes = [F.sum(F.when(weight > 0, F.get("stats", F.lit(k)) / weight).otherwise(0.0)) for k in range(classes)]
+    return _said(reached, key, mean, votes)
+
+
+def _said(reached, key: str, mean: Column, votes: list[Column]) -> DataFrame:
+    """(key, prediction) of rows grouped by ``_key``, with the votes if there are classes."""
+    if not votes:
+        return reached.agg(mean.alias("prediction")).withColumnRenamed("_key", key)
+    summed = reached.agg(*[v.alias(f"_{k}") for k, v in enumerate(votes)])
+    summed = summed.select(F.col("_key").alias(key), F.array(*[f"_{k}" for k in range(len(votes))]).alias("votes"))
+    best = F.array_position("votes", F.array_max("votes")) - 1
+    return summed.withColumn("prediction", best.cast("double"))
+
+
+class _Walk:
+    """Nodes as arrays, children by their place in them; leaves lead to themselves."""
+
+    def __init__(self, nodes: pa.Table, slots: list[int], depth: int, classes: int):
+        tree, node = (nodes[c].to_numpy().astype(np.int64) for c in ("tree", "node"))
+        ids = tree << 32 | node
+        order = np.argsort(ids)
+        inner = np.asarray(nodes["slot"].is_valid())
+
+        def child(c: str) -> np.ndarray:
+            place = np.arange(len(ids))
+            wanted = tree[inner] << 32 | nodes[c].drop_null().to_numpy().astype(np.int64)
+            place[inner] = order[np.searchsorted(ids, wanted, sorter=order)]
+            return place
+
+        self.depth, self.width, self.roots = depth, len(slots), np.flatnonzero(node == 0)
+        self.children = np.stack([child("right"), child("left")], axis=1).ravel()
+        self.asked = np.zeros(len(ids), np.int64)
+        self.asked[inner] = np.searchsorted(slots, nodes["slot"].drop_null().to_numpy())
+        self.cut = np.full(len(ids), np.nan)
+        cut = np.asarray(nodes["cut"].is_valid())
+        self.cut[cut] = nodes["cut"].drop_null().to_numpy()
+        # categories that go left, as one row of flags per node after the other
+        sets = {i: v for i, v in enumerate(nodes["left_values"].to_pylist()) if v is not None}
+        self.size, self.first = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for i, values in sets.items():
+            self.size[i] = int(max(values, default=-1)) + 1
+        self.first[1:] = np.cumsum(self.size)[:-1]
+        self.flags = np.zeros(max(int(self.size.sum()), 1), bool)
+        for i, values in sets.items():
+            self.flags[self.first[i] + np.array(values, np.int64)] = True
+        if classes:
+            stats = np.array(nodes["stats"].to_pylist(), float).reshape(len(ids), -1)[:, :classes]
+            weight = stats.sum(axis=1, keepdims=True)
+            self.said = np.divide(stats, weight, out=np.zeros_like(stats), where=weight > 0)
+        else:
+            self.said = nodes["prediction"].to_numpy()[:, None]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per row the sum of what its leaves say."""
+        trees, flat = len(self.roots), values.ravel()
+        row = np.repeat(np.arange(len(values)) * self.width, trees)
+        at = np.tile(self.roots, len(values))
+        for _ in range(self.depth):
+            value = flat[row + self.asked[at]]
+            left = value <= self.cut[at]
+            sets = np.flatnonzero(self.size[at])
+            if len(sets):
+                nodes, category = at[sets], value[sets]
+                known = (category >= 0) & (category < self.size[nodes]) & (category == np.floor(category))
+                place = self.first[nodes] + np.where(known, category, 0).astype(np.int64)
+                left[sets] = known & self.flags[place]
+            at = self.children[2 * at + left]
+        return self.said[at].reshape(len(values), trees, -1).sum(axis=1)
+
+
+def _walked(rows: DataFrame, nodes: DataFrame, slots: list[int], depth: int, classes: int) -> DataFrame:
+    """(_key, _sums) of rows (_key, _values): sums over trees, of predictions or of each class's share."""
+    # at most BROADCAST_NODES rows
+    table = nodes.select("tree", "node", "slot", "cut", "left_values", "left", "right", "prediction", "stats").toArrow()
+    walk = _Walk(table, slots, depth, classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, STEPS_AT_ONCE // len(walk.roots))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                values = part.column("_values").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, walk.width)
+                sums = walk.sums(values)
+                lists = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32), sums.ravel())
+                yield pa.RecordBatch.from_arrays([part.column("_key"), lists], names=["_key", "_sums"])
+
+    schema = rows.select("_key").schema.add("_sums", T.ArrayType(T.DoubleType()))
+    return rows.mapInArrow(run, schema)
+
+
+def _joined(rows: DataFrame, nodes: DataFrame, slots: list[int], depth: int, last: int) -> DataFrame:
+    """The leaves that rows (_key, _values) reach, one per tree, by a shuffled join a level."""
+    at = rows.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("_node", F.lit(0))
+    places = small_frame(rows.sparkSession, list(zip(slots, range(len(slots)))), "slot int, place int")
     splits = nodes.where("slot IS NOT NULL").join(F.broadcast(places), "slot")
     splits = splits.selectExpr("level", "tree AS _tree", "node AS _node", "place", "cut", "left_values", "left", "right")
     leaves = nodes.where("slot IS NULL").selectExpr("tree AS _tree", "node AS _node", "prediction", "stats")
-    small = F.broadcast if shape.n <= BROADCAST_NODES else (lambda table: table)
     value = F.get("_values", F.col("place"))
     goes_left = F.when(F.col("cut").isNotNull(), value <= F.col("cut")).otherwise(F.array_contains("left_values", value))
-    for level in range(shape.depth):
-        asked = small(splits.where(F.col("level") == level).drop("level"))
+    for level in range(depth):
+        asked = splits.where(F.col("level") == level).drop("level")
         following = F.when(F.col("place").isNull(), F.col("_node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
         at = at.join(asked, ["_tree", "_node"], "left").select("_key", "_values", "_tree", following.alias("_node"))
-    reached = at.join(small(leaves), ["_tree", "_node"]).groupBy("_key")
-    if not classes:
-        return reached.agg(F.avg("prediction").alias("prediction")).withColumnRenamed("_key", key)
-    weight = F.aggregate("stats", F.lit(0.0), lambda a, v: a + v)
-    votes = [F.sum(F.when(weight > 0, F.get("stats", F.lit(k)) / weight).otherwise(0.0)).alias(f"_{k}") for k in range(classes)]
-    summed = reached.agg(*votes).select(F.col("_key").alias(key), F.array(*[f"_{k}" for k in range(classes)]).alias("votes"))
-    best = F.array_position("votes", F.array_max("votes")) - 1
-    return summed.withColumn("prediction", best.cast("double"))
+    return at.join(leaves, ["_tree", "_node"])

@@ -91,3 +91,18 @@ def test_many_nodes_are_joined_by_shuffle(spark, rows, monkeypatch):
     monkeypatch.setattr(W, "BROADCAST_NODES", 0)
     found = {r.key: r.prediction for r in W.score(rows, table, "key").collect()}
     assert found == pytest.approx({r.key: r.prediction for r in model.transform(rows).collect()})
+
+
+def test_small_tables_are_walked_without_joins(spark, rows):
+    """Rows aren't multiplied by trees, and unknown categories and numbers beyond the cuts go where the model sends them."""
+    model = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=5, maxDepth=6, seed=3).fit(rows)
+    table = W.node_table(model)
+    plan = W.score(rows, table, "key")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Join" not in physical and "Generate" not in physical
+    odd = small_frame(spark, [("a", 9e9, -3.0, 0.0), ("b", -9e9, 2.5, 3.0), ("c", 0.3, float("inf"), 1.0)], "key string, x double, y double, kind double")
+    odd = VectorAssembler(inputCols=["x", "y", "kind"], outputCol="features").transform(odd)
+    found = {r.key: r.prediction for r in W.score(odd, table, "key").collect()}
+    assert found == pytest.approx({r.key: r.prediction for r in model.transform(odd).collect()})
+    twice = {r.key: r.prediction for r in W.score(odd.union(odd), table, "key").collect()}
+    assert twice == pytest.approx(found)
