@@ -12,31 +12,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 OVERSAMPLING, ROUNDS = 2.0, 3
 STEPS, TOLERANCE = 20, 1e-4
 CELLS_AT_ONCE = 1 << 21
-"""Numbers of a dense slice of rows inside a task."""
-
-
-def _rows(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slices of a batch's vectors as dense rows, with their row keys."""
+"""Numbers that a slice of rows takes inside a task."""
+DENSE = 128
+"""Vectors of up to this size are multiplied as dense rows, longer ones entry by entry."""
+
+
+class _Slice:
+    """Some rows of a batch: their entries (row, at, v), their keys and squared lengths."""
+
+    def __init__(self, lengths: np.ndarray, at: np.ndarray, v: np.ndarray, keys: np.ndarray, size: int):
+        self.n, self.size, self.at, self.v, self.keys = len(lengths), size, at, v, keys
+        self.row = np.repeat(np.arange(self.n), lengths)
+        self.squared = np.bincount(self.row, v * v, minlength=self.n)
+        self.filled = np.flatnonzero(lengths)
+        self.first = (np.cumsum(lengths) - lengths)[self.filled]
+
+    def dense(self) -> np.ndarray:
+        rows = np.zeros((self.n, self.size))
+        rows[self.row, self.at] = self.v
+        return rows
+
+    def times(self, across: np.ndarray) -> np.ndarray:
+        """Inner products with the columns of ``across``."""
+        if self.size <= DENSE:
+            return self.dense() @ across
+        products = np.zeros((self.n, across.shape[1]))
+        if len(self.filled):
+            products[self.filled] = np.add.reduceat(across[self.at] * self.v[:, None], self.first, axis=0)
+        return products
+
+    def squares(self, across: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Squared distances, rows by centres, which are the columns of ``across``."""
+        return np.maximum(self.squared[:, None] - 2 * self.times(across) + lengths, 0)
+
+
+def _slices(batch: pa.RecordBatch, size: int, centres: int) -> Iterator[_Slice]:
+    """Slices of a batch's vectors that meet so many centres at once; their work follows the entries that aren't zero."""
     vectors, keys = batch.column("features"), batch.column("key").to_numpy()
     kind, indices, values = vectors.field("type").to_numpy(), vectors.field("indices"), vectors.field("values")
-    ends, at = values.offsets.to_numpy(), indices.offsets.to_numpy()
-    data, where = values.values.to_numpy(), indices.values.to_numpy()
-    step = max(1, CELLS_AT_ONCE // size)
+    ends, at = values.offsets.to_numpy().astype(np.int64), indices.offsets.to_numpy()
+    data, where = values.values.to_numpy()[ends[0] : ends[-1]], indices.values.to_numpy()
+    ends = ends - ends[0]
+    lengths = np.diff(ends)
+    places = np.arange(len(data)) - np.repeat(ends[:-1], lengths)
+    places[np.repeat(kind == 0, lengths)] = where[at[0] : at[-1]]
+    wide = max(1.0, len(data) / max(batch.num_rows, 1)) * max(centres, 1)
+    step = max(1, int(CELLS_AT_ONCE / max(wide, size if size <= DENSE else 1)))
     for first in range(0, batch.num_rows, step):
         last = min(first + step, batch.num_rows)
-        dense = np.zeros((last - first, size))
-        for r in range(first, last):
-            own = data[ends[r] : ends[r + 1]]
-            if kind[r] == 1:
-                dense[r - first] = own
-            else:
-                dense[r - first, where[at[r] : at[r + 1]]] = own
-        yield dense, keys[first:last]
+        a, b = ends[first], ends[last]
+        yield _Slice(lengths[first:last], places[a:b], data[a:b], keys[first:last], size)
 
 
 def _squares(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -45,6 +75,30 @@ def _squares(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(apart, 0)
 
 
+def _beside(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """All centres as columns of one matrix, their squared lengths, and the columns of each set."""
+    edges = np.cumsum([0, *map(len, sets)]).tolist()
+    whole = np.vstack(sets)
+    return np.ascontiguousarray(whole.T), (whole**2).sum(axis=1), list(zip(edges, edges[1:]))
+
+
+def entries(table: DataFrame, size: int, kept: list[str]) -> DataFrame:
+    """(kept columns, at, v): the entries of ``features`` that aren't zero, and for each row one at -1 that holds 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.append_column("key", pa.array(np.arange(batch.num_rows)))
+            for part in _slices(whole, size, 1):
+                row = np.concatenate([part.keys[part.row], part.keys])
+                at, v = np.concatenate([part.at, np.full(part.n, -1)]), np.concatenate([part.v, np.ones(part.n)])
+                some = np.flatnonzero(v)
+                columns = [batch.column(f"_{c}").take(pa.array(row[some])) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(at[some], pa.int32()), pa.array(v[some])], names=[*kept, "at", "v"])
+
+    schema = table.select(*kept).schema.add("at", T.IntegerType()).add("v", T.DoubleType())
+    return table.select("features", *[F.col(c).alias(f"_{c}") for c in kept]).mapInArrow(run, schema)
+
+
 def _chance(keys: np.ndarray, salt: int) -> np.ndarray:
     """A uniform number of each row, the same however often a task runs."""
     x = keys.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15) % (1 << 64))
@@ -58,54 +112,63 @@ def _drawn(table: DataFrame, sets: list[np.ndarray], costs: np.ndarray, wanted:
 
     ``costs`` come from the scan before, with fewer centres, so a few rows less than wanted are drawn.
     """
-    schema = pa.schema([("fit", pa.int32()), ("x", pa.list_(pa.float64())), ("cost", pa.float64())])
+    schema = pa.schema([("fit", pa.int32()), ("at", pa.list_(pa.int64())), ("v", pa.list_(pa.float64())), ("cost", pa.float64())])
+    across, lengths, places = _beside(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(sets))
         for batch in batches:
-            for rows, keys in _rows(batch, size):
-                for fit, centres in enumerate(sets):
-                    near = _squares(rows, centres).min(axis=1)
+            for rows in _slices(batch, size, len(lengths)):
+                apart = rows.squares(across, lengths)
+                for fit, (a, b) in enumerate(places):
+                    near = apart[:, a:b].min(axis=1)
                     total[fit] += near.sum()
-                    for r in np.flatnonzero(_chance(keys, turn * len(sets) + fit + 1) * costs[fit] < wanted * near).tolist():
-                        yield pa.RecordBatch.from_pylist([{"fit": fit, "x": rows[r].tolist(), "cost": None}], schema=schema)
-        yield pa.RecordBatch.from_pylist([{"fit": fit, "x": None, "cost": c} for fit, c in enumerate(total)], schema=schema)
+                    for r in np.flatnonzero(_chance(rows.keys, turn * len(sets) + fit + 1) * costs[fit] < wanted * near).tolist():
+                        own = rows.row == r
+                        yield pa.RecordBatch.from_pylist([{"fit": fit, "at": rows.at[own].tolist(), "v": rows.v[own].tolist(), "cost": None}], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"fit": fit, "at": None, "v": None, "cost": c} for fit, c in enumerate(total)], schema=schema)
 
     more, now = [[] for _ in sets], np.zeros(len(sets))
-    drawn = table.mapInArrow(run, "fit int, x array<double>, cost double")
+    drawn = table.mapInArrow(run, "fit int, at array<long>, v array<double>, cost double")
     # a few times the largest cluster count per start, and a number per start and task
     for r in drawn.collect():
-        if r["x"] is None:
+        if r["at"] is None:
             now[r["fit"]] += r["cost"]
         else:
-            more[r["fit"]].append(r["x"])
-    return [np.unique(np.vstack([c, *(np.array(m) for m in [rows] if rows)]), axis=0) for c, rows in zip(sets, more)], now
+            row = np.zeros(size)
+            row[r["at"]] = r["v"]
+            more[r["fit"]].append(row)
+    return [np.unique(np.vstack([c, *rows]), axis=0) for c, rows in zip(sets, more)], now
 
 
 def _assigned(table: DataFrame, sets: list[np.ndarray], size: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Per set of centres: rows and sums of the rows nearest to each, and the cost; in one scan."""
-    edges = np.cumsum([0, *map(len, sets)])
+    across, lengths, places = _beside(sets)
+    width = size + 2  # a centre's sums, rows and cost
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts, cost = np.zeros((edges[-1], size)), np.zeros(edges[-1]), np.zeros(edges[-1])
+        found = np.zeros((len(lengths), width))
+        flat = found.ravel()
         for batch in batches:
-            for rows, _ in _rows(batch, size):
-                for first, centres in zip(edges.tolist(), sets):
-                    apart = _squares(rows, centres)
-                    near = apart.argmin(axis=1)
-                    chosen = np.zeros((len(rows), len(centres)))
-                    chosen[np.arange(len(rows)), near] = 1
-                    sums[first : first + len(centres)] += chosen.T @ rows
-                    counts[first : first + len(centres)] += chosen.sum(axis=0)
-                    cost[first : first + len(centres)] += chosen.T @ apart.min(axis=1)
-        for c in np.flatnonzero(counts).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([[*sums[c].tolist(), counts[c], cost[c]]], pa.list_(pa.float64()))], names=["c", "x"])
-
-    found = table.mapInArrow(run, "c int, x array<double>").select("c", F.posexplode("x").alias("at", "v")).groupBy("c", "at").agg(F.sum("v").alias("v"))
-    whole = np.zeros((edges[-1], size + 2))
-    for r in found.collect():  # as many numbers as all centres have
-        whole[r["c"], r["at"]] = r["v"]
-    parts = [whole[a:b] for a, b in zip(edges, edges[1:])]
+            for rows in _slices(batch, size, len(lengths)):
+                apart = rows.squares(across, lengths)
+                for a, b in places:
+                    near = apart[:, a:b].argmin(axis=1)
+                    least = apart[np.arange(rows.n), a + near]
+                    np.add.at(flat, (a + near)[rows.row] * width + rows.at, rows.v)
+                    found[a:b, size] += np.bincount(near, minlength=b - a)
+                    found[a:b, size + 1] += np.bincount(near, least, minlength=b - a)
+        some = np.flatnonzero(flat)
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(flat[part])], names=["i", "v"])
+
+    # as many numbers as all centres have, without zeros
+    summed = table.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    whole = np.zeros(len(lengths) * width)
+    whole[summed["i"].to_numpy()] = summed["v"].to_numpy()
+    whole = whole.reshape(-1, width)
+    parts = [whole[a:b] for a, b in places]
     return [p[:, size] for p in parts], [p[:, :size] for p in parts], np.array([p[:, size + 1].sum() for p in parts])
 
 
@@ -162,9 +225,17 @@ def fit_all(table: DataFrame, size: int, counts: list[int], starts: int, seed: i
 def predict_all(table: DataFrame, centres: list[np.ndarray], size: int) -> DataFrame:
     """The table with ``nearest``: per set of centres the number of the nearest one, the first on ties."""
 
+    across, lengths, places = _beside(centres)
+
+    def nearest(rows: _Slice) -> np.ndarray:
+        apart = rows.squares(across, lengths)
+        return np.stack([apart[:, a:b].argmin(axis=1) for a, b in places], axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.concatenate([np.stack([_squares(rows, c).argmin(axis=1) for c in centres], axis=1) for rows, _ in _rows(batch, size)])
+            if not batch.num_rows:
+                continue
+            found = np.concatenate([nearest(rows) for rows in _slices(batch, size, len(lengths))])
             for at in range(0, batch.num_rows, 4096):
                 part = found[at : at + 4096].astype(np.int32)
                 lists = pa.ListArray.from_arrays(np.arange(0, part.size + 1, len(centres), dtype=np.int32), part.ravel())

@@ -430,7 +430,7 @@ def cluster(df: DataFrame, starts: int = STARTS, hashed: Sequence[str] = ()) ->
     if best is None:
         return skipped(CLUSTERING, "The records do not separate into clusters.")
     score, k, assigned = best
-    centres = [(c, i, float(v)) for c, centre in enumerate(fits[k][0]) for i, v in enumerate(centre)]
+    centres = [(c, i, v) for c, centre in enumerate(fits[k][0]) for i, v in enumerate(centre.tolist())]
     return ModelResult(
         "completed", CLUSTERING, model="KMeans",
         metrics={"silhouette_score": round(score, 4), "clusters": float(k)},

@@ -21,6 +21,7 @@ from gridlore.operators import charts as V
 from gridlore.operators import cleaning as C
 from gridlore.operators import correlation as R
 from gridlore.operators import forest as W
+from gridlore.operators import kmeans as KM
 from gridlore.operators import modeling as M
 from gridlore.operators import ordering as H
 from gridlore.operators import outliers as O
@@ -1305,8 +1306,14 @@ def r1_wide(spark, folder):
 def m7_assignment(spark, folder):
     """Rows whose cluster has the nearest of the returned centres, recomputed by SQL."""
     found = M.cluster(table(spark, folder, "customer"))
-    rows = found.features.select("key", "prediction", F.posexplode(vector_to_array("features")).alias("at", "v"))
-    apart = rows.join(F.broadcast(found.centres), "at").groupBy("key", "prediction", "cluster").agg(F.sum((F.col("v") - F.col("value")) ** 2).alias("d"))
+    size = len(found.features.select("features").first()["features"])
+    rows = KM.entries(found.features, size, ["key", "prediction"])
+    # a row's squared distance is its own square less twice its product with the centre, from which half the centre's square is taken
+    halves = found.centres.groupBy("cluster").agg((-F.sum(F.col("value") ** 2) / 2).alias("value")).select("cluster", F.lit(-1).alias("at"), "value")
+    centres = found.centres.where("value <> 0").unionByName(halves)
+    products = rows.join(F.broadcast(centres), "at").groupBy("key", "prediction", "cluster").agg(F.sum(F.col("v") * F.col("value")).alias("p"))
+    squares = rows.where("at >= 0").groupBy("key").agg(F.sum(F.col("v") ** 2).alias("s"))
+    apart = products.join(squares, "key", "left").withColumn("d", F.greatest(F.coalesce("s", F.lit(0.0)) - 2 * F.col("p"), F.lit(0.0)))
     best = apart.groupBy("key", "prediction").agg(F.min("d").alias("least"), F.min(F.when(F.col("cluster") == F.col("prediction"), F.col("d"))).alias("own"))
     close = F.count_if(F.col("own") <= F.col("least") * (1 + 1e-9) + 1e-9)
     return best.agg(F.count(F.lit(1)).alias("row_count"), close.alias("nearest")).withColumn("enough_starts", F.lit(M.STARTS >= 10))
