@@ -188,7 +188,7 @@ def read_json(spark: SparkSession, path: str | list[str], multi_line: bool | Non
         cut.select(F.translate(F.concat(lead, F.when(rest.startswith("}"), F.lit("")).otherwise(F.lit(",")), rest), "\r\n", "  ")).write.text(lines)
         whole = T.StructType([*schema.fields, *[T.StructField(n, T.LongType()) for n in origin.values()]])
         found = files.toDF(*[helpers.get(c, c) for c in files.columns])
-        rows = spark.read.options(**strict).schema(whole).json(lines).join(F.broadcast(found) if found.count() <= MAX_FILES else found, helpers["key"])
+        rows = records.in_tasks(spark.read.options(**strict).schema(whole).json(lines)).join(F.broadcast(found) if found.count() <= MAX_FILES else found, helpers["key"])
         nested = (T.ArrayType, T.MapType, T.StructType)
         kept = header_names(names)
         flat = [f"{f'to_json({X.quote(f.name)})' if isinstance(f.dataType, nested) else X.quote(f.name)} AS {X.quote(name)}" for f, name in zip(schema.fields, kept)]
@@ -241,7 +241,7 @@ def number_rows(scans: list[DataFrame], sep: str = ",") -> DataFrame:
     _no_long_lines(stored.where(F.col(odd).isNotNull()).select(F.col(odd).alias("line"), F.col(width).alias("width")), sep)
     split, before, shift, first, n = (free_name(c, [*columns, *stored.columns]) for c in ("split", "before", "shift", "first", "n"))
     keyed = stored.drop(odd, width).withColumn(split, F.xxhash64(file, start))
-    splits = keyed.groupBy(part, split, file, start).agg(F.count(F.lit(1)).alias(n), F.min(slot).alias(first))
+    splits = records.in_tasks(keyed).groupBy(part, split, file, start).agg(F.count(F.lit(1)).alias(n), F.min(slot).alias(first))
     earlier = Window.orderBy(file, start).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(n).over(earlier), F.lit(0).cast("long"))
     offsets = splits.select(part, split, (offset - F.col(first)).alias(shift))

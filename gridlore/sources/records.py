@@ -46,11 +46,24 @@ def same_ranges(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name)
 
 
+TASK_BYTES, TASKS_PER_CORE = 128 << 20, 8
+
+
+def in_tasks(scan: DataFrame) -> DataFrame:
+    """A scan of files in as few tasks as its bytes need, one range after the other, however small the ranges are."""
+    spark = scan.sparkSession
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if size >= TASK_BYTES:
+        return scan
+    most = -(-scan.rdd.getNumPartitions() * size // TASK_BYTES)
+    return scan.coalesce(max(most, TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+
+
 def chunks(spark: SparkSession, path: str | list[str], end: str) -> DataFrame:
     """Text between ``end``s: file, key (its hash), start of the range, text, and whether it is valid UTF-8; in file order within a range."""
     read = spark.read.text(path, lineSep=end)
     valid = F.is_valid_utf8("value")
-    return read.select(
+    found = read.select(
         F.col("_metadata.file_path").alias("file"),
         F.xxhash64("_metadata.file_path").alias("key"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -59,6 +72,7 @@ def chunks(spark: SparkSession, path: str | list[str], end: str) -> DataFrame:
         valid.alias("valid"),
         F.octet_length("value").alias("bytes"),
     )
+    return in_tasks(found)
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[pa.RecordBatch]]]:
@@ -197,6 +211,7 @@ def csv_records(spark: SparkSession, path: str | list[str], sep: str, ranges: Da
 
     lines = chunks(spark, path, "\n").select("key", "start", "text")
     parsed = materialize(with_states(lines, known.select("key", "start", "inside")).mapInArrow(cut, CUT), "csv-records")
+    parsed = in_tasks(parsed)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
@@ -366,6 +381,7 @@ def json_records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame,
 
     lines = chunks(spark, path, "}").select("key", "start", "text")
     parsed = materialize(with_states(lines, known.drop("file", "broken")).mapInArrow(cut, CUT), "json-records")
+    parsed = in_tasks(parsed)
 
     def verdict(rows: pd.DataFrame) -> pd.DataFrame:
         state = OUTSIDE

@@ -355,3 +355,18 @@ def test_stage_replaces_a_half_written_copy(spark, tmp_path):
     path = staged_path(str(tmp_path), fingerprint(df))
     df.limit(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     assert stage(df, str(tmp_path)).count() == 2 and stage(df, str(tmp_path)).count() == 2
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, no_open_cost):
+    """Tasks follow the bytes and the cores, not the number of ranges."""
+    path = write(tmp_path, "b.csv", "a,b\n" + "".join(f'q{i},"two\nlines"\n' for i in range(9_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 300
+        lines = records.chunks(spark, path, "\n")
+        assert lines.rdd.getNumPartitions() <= records.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+        assert lines.select("start").distinct().count() > 300
+        read = readers.read_csv(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.a, r.b) for r in read.orderBy(ROW).collect()] == [(f"q{i}", "two\nlines") for i in range(9_000)]
