@@ -9,13 +9,16 @@ a time; a table too large to be sent to every task is joined with the rows once
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridlore.session import materialize, scratch_path, small_frame
 
@@ -25,6 +28,59 @@ STEPS_AT_ONCE = 1 << 17
 """Pairs of a row and a tree that take a step together inside a task."""
 
 
+NODE = "tree int, node int, level int, slot int, cut double, left_values array<double>, left int, right int, gain double, weight double, prediction double, stats array<double>"
+
+
+def nodes_of(rows: list[tuple]) -> pa.Table:
+    """Rows of a node table as Arrow."""
+    schema = to_arrow_schema(T._parse_datatype_string(NODE))
+    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+@dataclass
+class Forest:
+    """A forest grown by ``forest_fit``: its node table, at most trees * 2^(depth + 1) rows; one of classes has ``numClasses``."""
+
+    nodes: pa.Table
+    slots: int
+    classes: int = field(default=0, repr=False)
+
+    def __post_init__(self):
+        if self.classes:
+            self.numClasses = self.classes
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        tree, slot = self.nodes["tree"].to_numpy(), self.nodes["slot"].fill_null(-1).to_numpy()
+        gain = self.nodes["gain"].fill_null(0.0).to_numpy() * self.nodes["weight"].to_numpy()
+        total = np.zeros(self.slots)
+        for t in np.unique(tree):
+            mine = (tree == t) & (slot >= 0)
+            if gain[mine].sum() > 0:
+                total += np.bincount(slot[mine], weights=gain[mine], minlength=self.slots) / gain[mine].sum()
+        return Vectors.dense(total / total.sum() if total.sum() else total)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (features) with a ``prediction``: the trees' mean, or the class of most votes."""
+        slots = sorted(set(self.nodes["slot"].drop_null().to_pylist()))
+        walk = _Walk(self.nodes, slots, max(self.nodes["level"].to_pylist()), self.classes)
+
+        def said(values: np.ndarray) -> np.ndarray:
+            sums = walk.sums(values)
+            return sums.argmax(axis=1).astype(float) if sums.shape[1] > 1 else sums[:, 0] / len(walk.roots)
+
+        if not slots:
+            return rows.withColumn("prediction", F.lit(float(said(np.zeros((1, 0)))[0])))
+
+        @F.pandas_udf("double")
+        def predicted(values: pd.Series) -> pd.Series:
+            step = max(1, STEPS_AT_ONCE // len(walk.roots))
+            return pd.Series(np.concatenate([np.zeros(0), *[said(np.stack(values.iloc[i : i + step].to_list())) for i in range(0, len(values), step)]]))
+
+        asked = VectorSlicer(inputCol="features", outputCol="_asked", indices=slots).transform(rows)
+        return asked.withColumn("prediction", predicted(vector_to_array("_asked"))).drop("_asked")
+
+
 def _levels(tree: pd.DataFrame) -> pd.DataFrame:
     """Steps from the root for the nodes of one tree; parents come before their children."""
     tree = tree.sort_values("id")
@@ -43,6 +99,8 @@ def node_table(model) -> DataFrame:
     class counts, or count, sum and sum of squares of a regression's labels.
     """
     spark = SparkSession.getActiveSession()
+    if isinstance(model, Forest):
+        return materialize(spark.createDataFrame(model.nodes, T._parse_datatype_string(NODE)), "nodes")
     path = scratch_path(spark, "forest")
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").selectExpr("treeID", "nodeData.*")

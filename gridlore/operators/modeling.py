@@ -8,14 +8,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridlore.functions import exprs as X
-from gridlore.operators import kmeans
+from gridlore.operators import forest_fit, kmeans
 from gridlore.operators.cleaning import fill_values
 from gridlore.operators.ordering import ROW, data_columns, sorted_positions
 from gridlore.operators.profile import columns_of, numeric_stats
@@ -205,6 +204,19 @@ class FeaturePipeline:
         """``df`` with its ``features`` vector."""
         return self.stages.transform(self._columns(df)).select(*df.columns, "features")
 
+    def places(self, df: DataFrame) -> DataFrame:
+        """``df`` with the numbers _n0.. and, per column of levels or hashed slots, the place of its slot, _p0.. ."""
+        frame = self.stages.transform(self._columns(df))
+        texts = [F.col(f"_i{i}").cast("int").alias(f"_p{i}") for i in range(len(self.texts))]
+        hashed = [(F.array_position(vector_to_array(f"_s{i}"), 1.0) - 1).cast("int").alias(f"_p{len(texts) + i}") for i in range(len(self.hashed))]
+        return frame.select(*df.columns, *[f"_n{i}" for i in range(len(self.numbers))], *texts, *hashed)
+
+    def grow(self, rows: DataFrame, trees: int, depth: int, classes: int = 0, subset: int | None = None):
+        """A forest of ``rows`` as ``places`` gives them, with _label and _weight."""
+        sizes = [*self.sizes, *[HASHED_FEATURES] * len(self.hashed)]
+        numbers = [f"_n{i}" for i in range(len(self.numbers))]
+        return forest_fit.fit(rows, numbers, [(f"_p{i}", n) for i, n in enumerate(sizes)], trees, depth, SEED, classes, subset)
+
     def names(self, slots: Iterable[int]) -> dict[int, str]:
         """Readable names of some vector slots, looked up in the levels."""
         slots = sorted(slots)
@@ -277,14 +289,14 @@ def feature_importance(model, features: FeaturePipeline, spark, top: int = TOP_F
 
 
 def _prepare(df: DataFrame, target: str, label: str, stratify: str | None, hashed: Sequence[str]):
-    """Feature tables of the train and test rows, written once, and the fitted features."""
+    """Places of the train rows and feature vectors of the test rows, written once, and the fitted features."""
     labelled = times_as_seconds(df).withColumn("_label", F.expr(label)).where("_label IS NOT NULL")
     train, test = split(labelled, stratify=stratify)
     train = materialize(train, "train-rows")
     features = feature_pipeline(train.drop("_label", target), hashed)
-    keep = ["_label", "features"]
-    train_table = materialize(features.transform(train).select(*keep), "train")
-    test_table = materialize(features.transform(test).select(*keep), "test")
+    train_table = materialize(features.places(train.drop(*[c for c in train.columns if c not in ("_label", *features.numbers, *features.texts, *features.hashed)])), "train")
+    train_table = train_table.drop(*features.numbers, *features.texts, *features.hashed)
+    test_table = materialize(features.transform(test).select("_label", "features"), "test")
     return train_table, test_table, features
 
 
@@ -304,16 +316,12 @@ def regression_metrics(predictions: DataFrame) -> dict[str, float]:
 def regress(df: DataFrame, target: str, trees: int = TREES, depth: int = DEPTH, hashed: Sequence[str] = ()) -> ModelResult:
     """Random-forest regression with a held-out fifth.
 
-    A forest keeps counts per slot, so its memory grows with the levels of the text columns;
+    A forest adds up sums per level, so the passes it takes grow with the levels of the text columns;
     name very wide ones in ``hashed``.
     """
     dtype = X.types_of(df)[target]
     train, test, features = _prepare(df, target, X.double(X.quote(target), dtype), None, hashed)
-    forest = RandomForestRegressor(
-        featuresCol="features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=512,
-        featureSubsetStrategy="all",
-    )
-    model = forest.fit(train)
+    model = features.grow(train.withColumn("_weight", F.lit(1.0)), trees, depth)
     predictions = model.transform(test).select(F.col("_label").alias("label"), "prediction")
     return ModelResult(
         "completed", REGRESSION, target, model="Random Forest Regressor",
@@ -376,10 +384,8 @@ def classify(
     weight = "CASE " + " ".join(
         f"WHEN _label = {c} THEN {X.number(total / (len(in_train) * n))}" for c, n in in_train.items()
     ) + " END"
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol="_label", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=512
-    )
-    model = forest.fit(train.withColumn("_weight", F.expr(weight)))
+    subset = math.ceil(math.sqrt(features.size))
+    model = features.grow(train.withColumn("_weight", F.expr(weight)), trees, depth, len(classes), subset)
     names_of = F.array(*[F.lit(c) for c in classes])
     predictions = model.transform(test).select(
         names_of[F.col("_label").cast("int")].alias("label"), names_of[F.col("prediction").cast("int")].alias("prediction")

@@ -10,7 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from gridlore.operators import forest as W
+from gridlore.operators import forest as W, forest_fit
+from gridlore.operators.forest_fit import fit
 from gridlore.session import small_frame
 
 
@@ -106,3 +107,51 @@ def test_small_tables_are_walked_without_joins(spark, rows):
     assert found == pytest.approx({r.key: r.prediction for r in model.transform(odd).collect()})
     twice = {r.key: r.prediction for r in W.score(odd.union(odd), table, "key").collect()}
     assert twice == pytest.approx(found)
+
+
+def grown(spark, classes=0, **kwargs):
+    rng = np.random.default_rng(8)
+    x, p = rng.integers(0, 9, 900), rng.integers(0, 4, 900)
+    label = (p == 2) * 1.0 + (x > 4) * (1.0 if classes else 10.0)
+    data = list(zip(x.astype(float).tolist(), p.tolist(), label.tolist(), [1.0] * 900))
+    frame = small_frame(spark, data, "_n0 double, _p0 int, _label double, _weight double")
+    return x, p, label, fit(frame, ["_n0"], [("_p0", 4)], 5, 4, 3, classes, **kwargs)
+
+
+def test_grown_regression_finds_the_steps(spark):
+    """One cell per column and row: a number and a level are both asked for, at the place of the step."""
+    x, p, label, forest = grown(spark)
+    nodes = forest.nodes.to_pandas()
+    roots = nodes[nodes.node == 0]
+    assert forest.slots == 5 and set(roots.slot) == {0} and set(roots.cut) == {4.0}
+    assert set(nodes[nodes.level == 1].slot) == {3} and nodes.level.max() == 2  # pure after two splits
+    inner = nodes[nodes.slot.notna()]
+    for n in inner.itertuples():
+        below = nodes[(nodes.tree == n.tree) & nodes.node.isin([n.left, n.right])]
+        assert np.allclose(np.sum(below.stats.to_list(), axis=0), n.stats)
+    rows = small_frame(spark, [(i, float(a), *[float(b == k) for k in range(4)]) for i, (a, b) in enumerate(zip(x, p))], "key int, x double, a double, b double, c double, d double")
+    rows = VectorAssembler(inputCols=["x", "a", "b", "c", "d"], outputCol="features").transform(rows)
+    said = {r.key: r.prediction for r in forest.transform(rows).select("key", "prediction").collect()}
+    assert [said[i] for i in range(900)] == pytest.approx(label.tolist())
+    by_table = {r.key: r.prediction for r in W.score(rows, W.node_table(forest), "key").collect()}
+    assert by_table == pytest.approx(said)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_passes_and_blocks_change_nothing(spark, monkeypatch, classes):
+    *_, whole = grown(spark, classes, subset=3)
+    monkeypatch.setattr(forest_fit, "PASS_BYTES", 1)
+    monkeypatch.setattr(forest_fit, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(forest_fit, "CHUNK_ROWS", 100)
+    *_, parts = grown(spark, classes, subset=3)
+    a, b = (f.nodes.sort_by([("tree", "ascending"), ("node", "ascending")]).to_pylist() for f in (whole, parts))
+    tell = lambda n: (n["tree"], n["node"], n["slot"], n["cut"], n["left"], n["right"], n["weight"])
+    assert [tell(n) for n in a] == [tell(n) for n in b] and len(a) > 15
+
+
+def test_grown_classes_with_weights(spark):
+    *_, label, forest = grown(spark, 3)
+    nodes = forest.nodes.to_pandas()
+    leaves = nodes[nodes.slot.isna()]
+    assert forest.numClasses == 3 and all(max(s) == sum(s) for s in leaves.stats)
+    assert list(forest.featureImportances.toArray()[[1, 2, 4]]) == [0, 0, 0]
