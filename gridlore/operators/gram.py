@@ -22,7 +22,8 @@ def products(df: DataFrame, columns: list[str], centres: list[float]) -> DataFra
 
     A task multiplies blocks of columns and keeps one sum per cell over all its rows, so what is shuffled is a
     row per task and pair, and the plan has the same size for any number of columns. Up to 1,400 columns
-    take one scan.
+    take one scan. Sums of one column are shared by all its pairs; only columns with gaps in a batch are
+    multiplied by the presence of others.
     """
     dtypes = X.types_of(df)
     blocks = [range(a, min(a + BLOCK_COLUMNS, len(columns))) for a in range(0, len(columns), BLOCK_COLUMNS)]
@@ -44,14 +45,33 @@ def _summed(pairs: list[tuple[range, range]], used: list[int], centres: list[flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((len(CELLS), len(a), len(b))) for a, b in pairs]
         for batch in batches:
-            raw = np.column_stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in batch.columns])
+            raw = np.stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in batch.columns])
             known = ~np.isnan(raw)
-            x = np.where(known, raw - centre, 0.0)
-            here, squares = known.astype(np.float64), x * x
+            counts = known.sum(axis=1).astype(np.float64)
+            x = raw - centre[:, None]
+            if batch.num_rows and counts.min() < batch.num_rows:
+                x[~known] = 0.0
+            squares = x * x
+            first, second = x.sum(axis=1), squares.sum(axis=1)
+            gappy = counts < batch.num_rows
+            here = known[gappy].astype(np.float64)
+            at = np.cumsum(gappy) - 1  # the row of ``here`` that a column with gaps has
             for total, (left, right) in zip(sums, pairs):
                 a, b = slice(place[left[0]], place[left[-1]] + 1), slice(place[right[0]], place[right[-1]] + 1)
-                for k, (m, n) in enumerate(((here, here), (x, x), (x, here), (here, x), (squares, here), (here, squares))):
-                    total[k] += m[:, a].T @ n[:, b]
+                ga, gb = np.flatnonzero(gappy[a]), np.flatnonzero(gappy[b])
+                ha, hb = here[at[a][ga]], here[at[b][gb]]
+                n = np.minimum(counts[a, None], counts[None, b])  # one of the two has all rows, but where both have gaps
+                n[np.ix_(ga, gb)] = ha @ hb.T
+                total[0] += n
+                total[1] += x[a] @ x[b].T
+                # sums of one side over the rows where the other has a value: all rows, but where that has gaps
+                for k, values, own in ((2, x, first), (4, squares, second)):
+                    lefts = np.repeat(own[a, None], len(right), axis=1)
+                    lefts[:, gb] = values[a] @ hb.T
+                    total[k] += lefts
+                    rights = np.repeat(own[None, b], len(left), axis=0)
+                    rights[ga] = ha @ values[b].T
+                    total[k + 1] += rights
         for total, (left, right) in zip(sums, pairs):
             i, j = (g.ravel() for g in np.meshgrid(np.array(left), np.array(right), indexing="ij"))
             upper = i < j

@@ -224,3 +224,27 @@ def test_kmeans_finds_separate_groups_in_any_order(spark):
     assert sorted(np.round(found).tolist()) == sorted(middles.tolist()) and cost < 160 and fits[2][1] > cost
     near = {r["key"]: r["nearest"][0] for r in kmeans.predict_all(table, [found], 3).collect()}
     assert all(len({near[i] for i in range(g * 40, g * 40 + 40)}) == 1 for g in range(4)) and len(set(near.values())) == 4
+
+
+def test_cells_with_and_without_gaps():
+    """Sums of one column come from that column alone, but where the other one has gaps."""
+    import numpy as np
+    import pyarrow as pa
+    from gridlore.operators import gram
+
+    raw = np.random.default_rng(2).normal(size=(4, 50))
+    batch = pa.record_batch([pa.array(v) for v in raw], names=[f"v{k}" for k in range(4)])
+    cells = list(gram._summed([(range(4), range(4))], [0, 1, 2, 3], [0.0] * 4)(iter([batch])))
+    full = [p for p in cells[0].to_pylist() if (p["i"], p["j"]) == (1, 3)][0]
+    assert full["n"] == 50 and full["p"] == pytest.approx(raw[1] @ raw[3]) and full["sl"] == pytest.approx(raw[1].sum()) and full["qr"] == pytest.approx((raw[3] ** 2).sum())
+    gap = pa.record_batch([pa.array([1.0, None, 3.0]), pa.array([2.0, 5.0, None])], names=["v0", "v1"])
+    (row,) = [r for b in gram._summed([(range(2), range(2))], [0, 1], [0.0, 0.0])(iter([gap])) for r in b.to_pylist()]
+    assert [row[c] for c in gram.CELLS] == [1, 2, 1, 2, 1, 4]
+
+
+def test_merged_sketches_do_not_multiply_rows(spark, folder, monkeypatch):
+    from gridlore.plans import queries as P
+
+    seen = []
+    monkeypatch.setattr(P.F, "count_distinct", lambda *a: seen.append(a))
+    assert P.merged_sketches(spark, folder).where("distinct_close AND ranks_close").count() == len(P.NUMBERS) and not seen
