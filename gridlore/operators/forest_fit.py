@@ -4,7 +4,9 @@ Rows are kept as one bin number per column: numbers in up to BINS ranges, a text
 adds to one cell per column however many slots the column's levels have. A pass over the rows grows one
 level of all trees: tasks walk their rows through the trees so far and add up the open nodes' cells, whose sums are
 shuffled by blocks of nodes, and each block's task picks its nodes' splits. A task holds sums of at most PASS_BYTES;
-nodes beyond that take further passes. What reaches the driver is a row per node.
+nodes beyond that take further passes. There are no more tasks than cores, so sums don't grow with the rows. Where there
+are far fewer combinations of bins than rows, rows of equal bins are summed per tree first, and passes read these sums.
+What reaches the driver is a row per node.
 """
 
 from __future__ import annotations
@@ -14,16 +16,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.operators.forest import Forest, nodes_of
 from gridlore.session import materialize
 
 BINS = 32
 CHUNK_ROWS = 1 << 18
+SLICE_ROWS = 1 << 14
 TASK_ROWS = 1 << 15
 PASS_BYTES = 1 << 28
 BLOCK_BYTES = 1 << 20
+STEP_BINS = 64
+"""Columns of at most that many bins are walked by a table of a node's following node per bin."""
+MERGED_ROWS = 4
+"""Rows there have to be per combination of bins, and class, for sums of equal rows to be worth their width."""
 LEAST_GAIN = 1e-12
 """A split has to gain this share of what its node has; less is rounding."""
 
@@ -38,7 +45,11 @@ def fit(rows: DataFrame, numbers: list[str], places: list[tuple[str, int]], tree
     cuts = _cuts(rows, numbers)
     sizes = [*[len(c) + 1 for c in cuts], *[n + 1 for _, n in places]]
     centre = 0.0 if classes else rows.agg(F.avg("_label")).first()[0]
-    binned = _binned(rows, numbers, [p for p, _ in places], cuts, sizes, trees, seed)
+    count, combined = rows.count(), max(classes, 1)
+    for n in [*[len(c) + 1 for c in cuts], *[n for _, n in places]]:
+        combined *= max(n, 1)
+    merged = combined * MERGED_ROWS <= count
+    binned = _binned(rows, count, numbers, [p for p, _ in places], cuts, sizes, trees, seed, classes, centre, merged)
     shape = _Shape(len(cuts), sizes, classes, centre, subset, seed)
     grown = _Grown(trees)
     opened, total = list(range(trees)), {}  # total: sums by node
@@ -46,7 +57,7 @@ def fit(rows: DataFrame, numbers: list[str], places: list[tuple[str, int]], tree
         found = {}
         step = max(1, PASS_BYTES // (8 * shape.cells * shape.sums))
         for at in range(0, len(opened), step):
-            found |= _pass(binned, grown, shape, opened[at : at + step], level)
+            found |= _pass(binned, merged, grown, shape, opened[at : at + step], level)
         opened = grown.split(found, level, cuts, shape, total)
     return Forest(nodes_of(grown.rows(total, shape)), shape.slots, classes)
 
@@ -171,38 +182,103 @@ def _cuts(rows: DataFrame, numbers: list[str]) -> list[np.ndarray]:
     return [np.array([v for v in sorted(set(found[n] or [])) if v < found[f"{n}_top"]]) for n in numbers]
 
 
-def _binned(rows: DataFrame, numbers: list[str], places: list[str], cuts: list[np.ndarray], sizes: list[int], trees: int, seed: int) -> DataFrame:
-    """(b0.., y, w, bag): bins, label, weight and one count per tree, written once."""
+def _binned(
+    rows: DataFrame, count: int, numbers: list[str], places: list[str], cuts: list[np.ndarray], sizes: list[int], trees: int, seed: int, classes: int, centre: float, merged: bool
+) -> DataFrame:
+    """(b0.., y, w, bag): bins, label, weight and one count per tree, written once; ``merged`` (b0.., bag), sums per tree of equal rows."""
     names = [f"b{j}" for j in range(len(sizes))]
+    kinds = ", ".join(f"{n} int" for n in names)
+
+    def bins_of(batch: pa.RecordBatch) -> list[pa.Array]:
+        bins = [np.searchsorted(c, batch.column(n).to_numpy(zero_copy_only=False)) for n, c in zip(numbers, cuts)]
+        bins += [np.minimum(batch.column(p).to_numpy(zero_copy_only=False), n - 1) for p, n in zip(places, sizes[len(cuts) :])]
+        return [pa.array(b.astype(np.int32)) for b in bins]
+
+    def packed(values: np.ndarray) -> pa.Array:
+        width = values.itemsize * int(np.prod(values.shape[1:]))
+        return pa.Array.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+    def drawn(rng: np.random.Generator, n: int) -> np.ndarray:
+        return np.minimum(rng.poisson(1.0, (n, trees)), 255).astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for batch in batches:
-            bins = [np.searchsorted(c, batch.column(n).to_numpy(zero_copy_only=False)) for n, c in zip(numbers, cuts)]
-            bins += [np.minimum(batch.column(p).to_numpy(zero_copy_only=False), n - 1) for p, n in zip(places, sizes[len(cuts) :])]
-            bag = np.minimum(rng.poisson(1.0, (batch.num_rows, trees)), 255).astype(np.uint8)
-            bags = pa.Array.from_buffers(pa.binary(trees), batch.num_rows, [None, pa.py_buffer(bag)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*[pa.array(b.astype(np.int32)) for b in bins], batch.column("_label"), batch.column("_weight"), bags], names=[*names, "y", "w", "bag"])
+            yield pa.RecordBatch.from_arrays([*bins_of(batch), batch.column("_label"), batch.column("_weight"), packed(drawn(rng, batch.num_rows))], names=[*names, "y", "w", "bag"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*bins_of(batch), batch.column("_label"), batch.column("_weight"), pa.array(np.arange(batch.num_rows, dtype=np.int32))], names=[*names, "y", "w", "at"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for t in _chunks(batches, CHUNK_ROWS // 8):
+            bins = np.column_stack([t.column(n).to_numpy() for n in names])
+            first = np.flatnonzero(np.concatenate([[True], (bins[1:] != bins[:-1]).any(axis=1)]))
+            y, weight = t.column("y").to_numpy(), drawn(rng, len(bins)) * t.column("w").to_numpy()[:, None]
+            parts = [weight * (y == k)[:, None] for k in range(classes)] if classes else [weight * ((y - centre) ** k)[:, None] for k in range(3)]
+            sums = np.stack([np.add.reduceat(p, first, axis=0) for p in parts], axis=1)
+            yield pa.RecordBatch.from_arrays([*[pa.array(b) for b in np.ascontiguousarray(bins[first].T)], packed(sums)], names=[*names, "bag"])
 
     # every task sends sums of its own, so there are no more than cores
-    parts = min(rows.sparkSession.sparkContext.defaultParallelism, 1 + rows.count() // TASK_ROWS)
-    even = rows.select("_label", "_weight", *numbers, *places).repartition(parts)
-    return materialize(even.mapInArrow(run, ", ".join([*[f"{n} int" for n in names], "y double", "w double", "bag binary"])), "bins")
+    parts = _tasks(rows.sparkSession, count)
+    chosen = rows.select("_label", "_weight", *numbers, *places)
+    if merged:
+        # frequent combinations are cut between tasks by ``at``
+        even = chosen.mapInArrow(spread, f"{kinds}, y double, w double, at int").repartitionByRange(parts, *names, "at")
+        return materialize(even.sortWithinPartitions(*names, "y", "w").mapInArrow(merge, f"{kinds}, bag binary"), "bins").coalesce(parts)
+    return materialize(chosen.repartition(parts).mapInArrow(run, f"{kinds}, y double, w double, bag binary"), "bins").coalesce(parts)
+
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return min(spark.sparkContext.defaultParallelism, 1 + rows // TASK_ROWS)
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= CHUNK_ROWS:
+        if rows >= size:
             yield pa.Table.from_batches(held)
             held, rows = [], 0
     if rows:
         yield pa.Table.from_batches(held)
 
 
-def _pass(binned: DataFrame, grown: _Grown, shape: _Shape, opened: list[int], level: int) -> dict[int, tuple]:
+class _Steps:
+    """The nodes of one tree, numbered from its root, for rows to walk."""
+
+    def __init__(self, nodes: np.ndarray, column: np.ndarray, low: np.ndarray, high: np.ndarray, children: np.ndarray, widest: int):
+        self.column = column[nodes].astype(np.int64)
+        kids = np.searchsorted(nodes, children.reshape(-1, 2)[nodes])
+        self.low, self.high, self.children, self.widest = low[nodes], high[nodes], kids.ravel(), widest
+        self.following = None
+        if widest <= STEP_BINS:
+            bins = np.arange(widest)
+            left = (bins <= self.low[:, None]) | (bins > self.high[:, None])
+            self.following = np.where(left, kids[:, 1:], kids[:, :1]).ravel()
+
+    def walk(self, flat: np.ndarray, first: np.ndarray, level: int) -> np.ndarray:
+        """The nodes that rows, which begin at ``first`` of ``flat``, reach after ``level`` steps."""
+        at = np.zeros(len(first), np.int64)
+        for _ in range(level):
+            seen = flat[first + self.column[at]]
+            if self.following is not None:
+                at = self.following[at * self.widest + seen]
+            else:
+                left = (seen <= self.low[at]) | (seen > self.high[at])
+                at = self.children[2 * at + left]
+        return at
+
+
+def _bytes(cells: pa.Array) -> memoryview:
+    """What binary values without nulls hold, one after the other."""
+    ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    return memoryview(cells.buffers()[2])[ends[0] : ends[-1]]
+
+
+def _pass(binned: DataFrame, merged: bool, grown: _Grown, shape: _Shape, opened: list[int], level: int) -> dict[int, tuple]:
     """What ``_Shape.best`` says of the open nodes, by node."""
     column, low, high, children = grown.walk()
     wanted = sorted({grown.tree[i] for i in opened})
@@ -215,35 +291,46 @@ def _pass(binned: DataFrame, grown: _Grown, shape: _Shape, opened: list[int], le
     names = [(grown.tree[i], grown.node[i]) for i in opened]
     block = max(1, BLOCK_BYTES // (8 * shape.cells * shape.sums))
     width, cells, sums, trees, classes, centre = len(shape.sizes), shape.cells, shape.sums, grown.trees, shape.classes, shape.centre
-    starts, sizes = shape.starts, shape.sizes
+    starts, sizes, tree_of = shape.starts, shape.sizes, np.array(grown.tree, np.int32)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(opened), cells, sums))
-        for t in _chunks(batches):
-            bins = np.column_stack([t.column(f"b{j}").to_numpy() for j in range(width)])
-            flat, y, w = bins.ravel(), t.column("y").to_numpy(), t.column("w").to_numpy()
-            y = y.astype(np.int64) if classes else y - centre
-            bag = np.frombuffer(b"".join(c.buffers()[2][c.offset * trees : (c.offset + len(c)) * trees] for c in t.column("bag").chunks), np.uint8).reshape(-1, trees)
+        widest = max(sizes)
+        kind = np.uint8 if widest <= 256 else np.int32
+        steps = {}
+        for tree in wanted:
+            nodes = np.flatnonzero(tree_of == tree)
+            steps[tree] = _Steps(nodes, column, low, high, children, widest), place[nodes]
+        # a slice stays in a core's cache while a tree has few open nodes, and outweighs their cells later
+        most = max(b - a for a, b in spans.values())
+        for t in _chunks(batches, min(CHUNK_ROWS // (sums if merged else 1), max(SLICE_ROWS, SLICE_ROWS * most // 256))):
+            columns = [t.column(f"b{j}").to_numpy().astype(kind) for j in range(width)]
+            flat = np.column_stack(columns).ravel()
+            bag = b"".join(_bytes(c) for c in t.column("bag").chunks)
+            if merged:
+                bag = np.frombuffer(bag, np.float64).reshape(-1, sums, trees)
+            else:
+                bag, y, w = np.frombuffer(bag, np.uint8).reshape(-1, trees), t.column("y").to_numpy(), t.column("w").to_numpy()
+                y = y.astype(np.int64) if classes else y - centre
             for tree in wanted:
                 a, b = spans[tree]
-                row = np.flatnonzero(bag[:, tree])
-                at = np.full(len(row), tree, np.int32)
-                first = row * width
-                for _ in range(level):
-                    seen = flat[first + column[at]]
-                    left = (seen <= low[at]) | (seen > high[at])
-                    at = children[2 * at + left]
-                here = place[at]
+                mine = np.ascontiguousarray(bag[..., tree])
+                row = np.flatnonzero((mine.any(axis=1) if classes else mine[:, 0]) if merged else mine)
+                walked, places = steps[tree]
+                here = places[walked.walk(flat, row * width, level)]
                 open_ = np.flatnonzero((here >= a) & (here < b))
                 if not len(open_):
                     continue
                 row, here = row[open_], here[open_] - a
-                weight, label = bag[row, tree] * w[row], y[row]
-                parts = [weight] if classes else [weight, weight * label, weight * label * label]
+                if merged:
+                    parts, label = [mine[row, k] for k in range(sums)], None
+                else:
+                    weight, label = mine[row] * w[row], y[row]
+                    parts = [weight] if classes else [weight, weight * label, weight * label * label]
                 for j, size in enumerate(sizes):
-                    cell = here * size + bins[row, j]
+                    cell = here * size + columns[j][row]
                     into = total[a:b, starts[j] : starts[j + 1]]
-                    if classes:
+                    if classes and not merged:
                         into += np.bincount(cell * classes + label, weights=weight, minlength=(b - a) * size * classes).reshape(b - a, size, classes)
                     else:
                         for s, part in enumerate(parts):

@@ -149,6 +149,37 @@ def test_passes_and_blocks_change_nothing(spark, monkeypatch, classes):
     assert [tell(n) for n in a] == [tell(n) for n in b] and len(a) > 15
 
 
+@pytest.mark.parametrize("classes", [0, 2])
+def test_rows_of_equal_bins_are_summed_before_the_passes(spark, monkeypatch, classes):
+    """What passes read follows the combinations of bins, and merged rows grow what single ones do."""
+    x, p, k = (np.arange(40_000) // n % m for n, m in ((1, 4), (4, 3), (12, 2)))
+    label = 1.0 * (x + p > 2) if classes else np.where(x > 1, 5.0, 0.0) + p + k / 8
+    data = list(zip(x.astype(float).tolist(), p.tolist(), label.tolist(), np.where(label > 0, 1.0, 1.5).tolist()))
+    frame = small_frame(spark, data, "_n0 double, _p0 int, _label double, _weight double")
+    written, plain = [], forest_fit.materialize
+    monkeypatch.setattr(forest_fit, "materialize", lambda *a: written.append(plain(*a)) or written[-1])
+    merged = fit(frame, ["_n0"], [("_p0", 3)], 4, 5, 3, classes)
+    monkeypatch.setattr(forest_fit, "MERGED_ROWS", 1 << 40)
+    single = fit(frame, ["_n0"], [("_p0", 3)], 4, 5, 3, classes)
+    assert written[0].count() < 200 and written[1].count() == 40_000
+    a, b = (f.nodes.to_pandas().query("node == 0") for f in (merged, single))
+    total = sum(w for *_, w in data)
+    assert len(a) == 4 and a.weight.tolist() == pytest.approx([total] * 4, rel=0.05) and b.weight.tolist() == pytest.approx([total] * 4, rel=0.05)
+    rows = small_frame(spark, [(i, float(i % 4), *[float(i // 4 == q) for q in range(3)]) for i in range(12)], "key int, x double, a double, b double, c double")
+    rows = VectorAssembler(inputCols=["x", "a", "b", "c"], outputCol="features").transform(rows)
+    one, other = ({r.key: r.prediction for r in f.transform(rows).collect()} for f in (merged, single))
+    assert one == pytest.approx(other, abs=0.05)
+    whole = {(i, j): np.mean(label[(x == i) & (p == j)]) for i in range(4) for j in range(3)}
+    assert one == pytest.approx({i + 4 * j: v for (i, j), v in whole.items()}, abs=0.05)
+
+
+def test_wide_columns_walk_as_narrow_ones(spark, monkeypatch):
+    *_, narrow = grown(spark, subset=3)
+    monkeypatch.setattr(forest_fit, "STEP_BINS", 0)
+    *_, wide = grown(spark, subset=3)
+    assert narrow.nodes.equals(wide.nodes) and narrow.nodes.num_rows > 15
+
+
 def test_grown_classes_with_weights(spark):
     *_, label, forest = grown(spark, 3)
     nodes = forest.nodes.to_pandas()
