@@ -199,14 +199,23 @@ def _specs_frame(df: DataFrame) -> DataFrame:
     return small_frame(df.sparkSession, rows, "column string, position int, dtype string, kind string")
 
 
-def profile(df: DataFrame, mode: str = "clean", samples: bool = True) -> DataFrame:
+def distinct_counts(df: DataFrame, mode: str = "clean") -> DataFrame:
+    """What a profile says of distinct values: approximate in raw mode, else exact and with each text column's most frequent value."""
+    return approximate_distinct(df) if mode == "raw" else value_groups(df)
+
+
+def profile(
+    df: DataFrame, mode: str = "clean", samples: bool = True, distinct: DataFrame | None = None, missing: DataFrame | None = None
+) -> DataFrame:
     """One row per column: dtype, missing count and %, distinct count, first three values.
 
     ``clean`` counts nulls as missing and distinct values exactly; ``raw`` counts blanks as
-    missing too and distinct values approximately.
+    missing too and distinct values approximately. ``distinct`` and ``missing`` pass ``distinct_counts`` and
+    ``missing_counts`` when the caller has them already.
     """
-    distinct = approximate_distinct(df) if mode == "raw" else value_groups(df).select("column", "unique_values")
-    out = _specs_frame(df).join(missing_counts(df, mode), "column", "left").join(distinct, "column", "left")
+    distinct = (distinct_counts(df, mode) if distinct is None else distinct).select("column", "unique_values")
+    missing = missing_counts(df, mode) if missing is None else missing
+    out = _specs_frame(df).join(missing, "column", "left").join(distinct, "column", "left")
     if samples:
         out = out.join(first_values(df, mode=mode), "column", "left")
     return out.drop("present_count", "row_count")
@@ -286,19 +295,22 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> Data
     return value_groups(df, columns).select("column", "top_value", "top_frequency")
 
 
-def summary_statistics(df: DataFrame, mode: str = "clean", facts: DataFrame | None = None) -> DataFrame:
+def summary_statistics(
+    df: DataFrame, mode: str = "clean", facts: DataFrame | None = None, distinct: DataFrame | None = None, missing: DataFrame | None = None
+) -> DataFrame:
     """One row per column: counts, plus the statistics of its kind (others null).
 
-    ``castable_count`` is the number of values that are numbers, for numeric columns.
+    ``castable_count`` is the number of values that are numbers, for numeric columns. ``facts``, ``distinct`` and
+    ``missing`` pass what the caller has already.
     """
     numeric = numeric_summary(df) if facts is None else facts
     numeric = numeric.withColumnRenamed("count", "castable_count")
-    counts = missing_counts(df, mode).select("column", F.col("present_count").alias("non_null_count"))
+    missing = missing_counts(df, mode) if missing is None else missing
+    counts = missing.select("column", F.col("present_count").alias("non_null_count"))
+    groups = distinct_counts(df, mode) if distinct is None else distinct
     if mode == "raw":
         texts = columns_of(df, X.CATEGORICAL)
-        groups = approximate_distinct(df).join(categorical_summary(df, texts), "column", "left")
-    else:
-        groups = value_groups(df)
+        groups = groups.join(categorical_summary(df, texts), "column", "left")
     return (
         _specs_frame(df)
         .join(counts, "column", "left")

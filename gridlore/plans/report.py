@@ -68,8 +68,20 @@ class Report:
         )
         return small_frame(self.spark, [row], schema)
 
+    @cached_property
+    def _distinct(self) -> DataFrame:
+        return self._kept(profile.distinct_counts(self.frame, self.mode))
+
+    @cached_property
+    def _missing(self) -> DataFrame:
+        return self._kept(profile.missing_counts(self.frame, self.mode))
+
+    def _kept(self, found: DataFrame) -> DataFrame:
+        """A table of one row per column, worked out now."""
+        return small_frame(self.spark, [tuple(r) for r in found.collect()], found.schema)
+
     def columns(self) -> DataFrame:
-        return profile.profile(self.frame, self.mode)
+        return profile.profile(self.frame, self.mode, distinct=self._distinct, missing=self._missing)
 
     def preview_rows(self) -> DataFrame:
         return X.sanitize(profile.preview(self.frame, PREVIEW_ROWS)).drop(ROW)
@@ -82,8 +94,8 @@ class Report:
         rounded = small_frame(self.spark, self.facts, profile.NUMERIC_SUMMARY_SCHEMA)
         names = [f.split()[0] for f in profile.NUMERIC_SUMMARY_SCHEMA.split(", ")]
         rounded = rounded.selectExpr(*names[:2], *[f"round({n}, 4) AS {n}" for n in names[2:]])
-        found = profile.summary_statistics(self.frame, self.mode, rounded)
-        return small_frame(self.spark, [tuple(r) for r in found.collect()], found.schema)
+        found = profile.summary_statistics(self.frame, self.mode, rounded, self._distinct, self._missing)
+        return self._kept(found)
 
     def summary_statistics(self) -> DataFrame:
         return self._statistics

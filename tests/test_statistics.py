@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from gridlore.operators import charts as V
+from gridlore.operators import charts as V, ordering
 from gridlore.operators import correlation as R
 from gridlore.operators import modeling as M
 from gridlore.operators import outliers as O
@@ -15,6 +17,7 @@ from gridlore.operators import quantiles as Q
 from gridlore.operators import sampling as K
 from gridlore.operators import trends as T
 from gridlore.operators.ordering import ROW
+from gridlore.plans import report
 from gridlore.session import small_frame
 from gridlore.sources.readers import read_parquet
 
@@ -248,3 +251,40 @@ def test_merged_sketches_do_not_multiply_rows(spark, folder, monkeypatch):
     seen = []
     monkeypatch.setattr(P.F, "count_distinct", lambda *a: seen.append(a))
     assert P.merged_sketches(spark, folder).where("distinct_close AND ranks_close").count() == len(P.NUMBERS) and not seen
+
+
+def test_trends_over_time_write_no_sorted_rows(spark, monkeypatch):
+    """Slopes over a sort come from sums of its partitions, gaps and rows without a time included."""
+    n = 700
+    rng = np.random.default_rng(4)
+    day, gap = rng.integers(0, 40, n), rng.random(n) < 0.3
+    order = np.argsort(np.where(day < 3, 99, day), kind="stable")
+    at = np.empty(n)
+    at[order] = np.arange(n)
+    x, y = rng.normal(size=n), 3.0 * day + rng.normal(size=n)
+    rows = [(i, None if d < 3 else dt.datetime(2020, 1, 1) + dt.timedelta(days=int(d)), float(a), None if g else float(b)) for i, (d, g, a, b) in enumerate(zip(day, gap, x, y))]
+    frame = small_frame(spark, rows, f"{ROW} long, t timestamp, x double, y double").repartition(5)
+    written = []
+    for module in (ordering, T):
+        plain = getattr(module, "materialize", ordering.materialize)
+        monkeypatch.setattr(module, "materialize", lambda *a, _plain=plain: written.append(_plain(*a)) or written[-1], raising=False)
+    found = {r["column"]: r for r in T.trends(frame).collect()}
+    assert found["x"].slope == pytest.approx(np.polyfit(at, x, 1)[0], abs=1e-4) and found["x"].basis == "t"
+    assert found["y"].slope == pytest.approx(np.polyfit(at[~gap], y[~gap], 1)[0], abs=1e-4)
+    assert written and max(w.count() for w in written) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("mode", ["clean", "raw"])
+def test_sections_share_counts(spark, monkeypatch, mode):
+    frame = small_frame(spark, [(i, float(i % 7), "ab"[i % 2]) for i in range(60)], f"{ROW} long, n double, k string")
+    made = report.analyze(frame, "t", mode=mode, modeling=False)
+    calls = []
+    for name in ("missing_counts", "approximate_distinct", "value_groups"):
+        plain = getattr(D, name)
+        monkeypatch.setattr(D, name, lambda *a, _name=name, _plain=plain: calls.append((_name, len(a))) or _plain(*a))
+    shown = {r["column"]: r for r in made.columns().collect()}
+    told = {r["column"]: r for r in made.summary_statistics().collect()}
+    assert calls.count(("missing_counts", 2)) == 1 and shown["n"].unique_values == told["n"].unique_values == 7
+    assert [c for c, _ in calls].count("approximate_distinct" if mode == "raw" else "value_groups") == 1
+    kept = 14 if mode == "clean" else 60  # cleaning drops copies
+    assert told["k"].top_value == "a" and told["k"].top_frequency == kept // 2 and told["k"].non_null_count == kept
