@@ -166,8 +166,8 @@ def infer_types(df: DataFrame, threshold: float = PARSE_SHARE) -> DataFrame:
 BITS_PER_HASH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 """Size of the bitmap of repeated hashes: at most 4 million rows of 16 bytes are broadcast. Too many hashes for it only
 mean that more rows than need be are grouped."""
-LAZY_HASHES = 1 << 16
-"""Up to this number of repeated hashes the cleaned table is put together whenever it is read, beyond it once."""
+LAZY_HASHES = LAZY_DATES = 1 << 16
+"""Up to this number of repeated hashes and of filled dates the cleaned table is put together whenever it is read, beyond it once."""
 
 
 def _hashed(df: DataFrame) -> tuple[DataFrame, str]:
@@ -300,7 +300,8 @@ def clean(df: DataFrame, share: float = PARSE_SHARE) -> tuple[DataFrame, Cleanin
     Order: names, empty rows, empty columns, trimming, inference, missing count, duplicates,
     imputation, missing count. One scan answers everything up to the first missing count. Where
     types change, the typed table is written once to the shared folder, with a hash of each row;
-    copies and filled dates are small tables of their own, and what they change is counted as they are written.
+    copies and filled dates are small tables of their own, and what they change is counted as they are written;
+    where there are many of them the table is written out with them.
     """
     source = require_row(df)
     originals = data_columns(source)
@@ -341,6 +342,8 @@ def clean(df: DataFrame, share: float = PARSE_SHARE) -> tuple[DataFrame, Cleanin
             unique_rows = rows - dropped["n"]
             gaps = {c: left for i, (c, before) in enumerate(gaps.items()) if (left := before - dropped[f"g{i}"])}
     result, filled = _impute(unique, list(gaps))
+    if sum(n for c, n in gaps.items() if X.kind_of(X.types_of(unique)[c]) == X.DATETIME) > LAZY_DATES:
+        result = materialize(result, "cleaned")  # else every later scan joins or sorts rows for their dates
 
     return result, CleaningSummary(
         original_rows=total,

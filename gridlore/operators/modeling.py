@@ -106,10 +106,12 @@ def split(df: DataFrame, share: float = TEST_SHARE, stratify: str | None = None,
 
     A row is in the test part if its hash is at most a cut-off. The cut-off that leaves the exact
     count is found from counts alone, thirteen bits of the hash per scan, so no class is ever
-    sorted or gathered. Give ``stratify`` only for a target of bounded class count.
+    sorted or gathered. Rows are written once with their hash, which these scans and both parts
+    read. Give ``stratify`` only for a target of bounded class count.
     """
     group = F.col(X.quote(stratify)).cast("string") if stratify else F.lit("all")
     keyed = df.withColumn("_key", F.shiftright(sample_hash(df, seed), HASH_BITS - KEY_BITS)).withColumn("_class", group)
+    keyed = materialize(keyed, "keyed")
     sizes = {r["_class"]: r["count"] for r in keyed.groupBy("_class").count().collect()}
     wanted = _shares(sizes, share)
     cuts = _cut_offs(keyed, wanted)
@@ -292,7 +294,6 @@ def _prepare(df: DataFrame, target: str, label: str, stratify: str | None, hashe
     """Places of the train rows and feature vectors of the test rows, written once, and the fitted features."""
     labelled = times_as_seconds(df).withColumn("_label", F.expr(label)).where("_label IS NOT NULL")
     train, test = split(labelled, stratify=stratify)
-    train = materialize(train, "train-rows")
     features = feature_pipeline(train.drop("_label", target), hashed)
     train_table = materialize(features.places(train.drop(*[c for c in train.columns if c not in ("_label", *features.numbers, *features.texts, *features.hashed)])), "train")
     train_table = train_table.drop(*features.numbers, *features.texts, *features.hashed)

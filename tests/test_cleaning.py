@@ -198,6 +198,16 @@ def test_copies_and_gaps_are_counted_as_they_are_written(spark):
     assert [(r.s, r.t.day, r.n, r[ROW]) for r in cleaned.orderBy(ROW).collect()] == [("a", 1, 1.0, 0), ("b", 1, 1.5, 2), ("c", 1, 2.0, 5)]
 
 
+def test_many_filled_dates_are_put_in_once(spark):
+    """Later scans of a table of many gaps neither join nor sort rows."""
+    df = spark.range(140_000).selectExpr("id AS n", "CASE WHEN id % 2 = 1 THEN timestamp_ntz'2025-01-01' + make_interval(0, 0, 0, id % 28) END AS t", f"id AS {ROW}")
+    cleaned, s = C.clean(df)
+    assert (s.missing_values_before, s.missing_values_after) == (70_000, 0)
+    assert cleaned.where(f"day(t) <> 1 + CASE WHEN n = 0 THEN 1 WHEN n % 2 = 1 THEN n % 28 ELSE (n - 1) % 28 END OR n <> {ROW}").count() == 0
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert cleaned.count() == 140_000 and not any(w in plan for w in ("Join", "Window", "Exchange"))
+
+
 def test_gaps_are_filled_the_same_either_way(spark, monkeypatch):
     from gridlore.operators import ordering as H
 

@@ -143,6 +143,13 @@ def test_split_is_exact(spark, n, classes):
     assert max(counts) - min(counts) <= 1 or n < 5 * classes
 
 
+def test_rows_are_hashed_once_for_a_split(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS c", f"id AS {ROW}")
+    parts = M.split(df, stratify="c")
+    assert sum(p.count() for p in parts) == 1000
+    assert not any("md5" in p._jdf.queryExecution().executedPlan().toString() for p in parts)
+
+
 def test_model_guards(spark):
     few = spark.range(7).selectExpr("id AS a", "id * 2 AS b", f"id AS {ROW}")
     assert M.model(few, "a").mode == "insufficient_data"
