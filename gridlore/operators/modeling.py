@@ -7,10 +7,12 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import FeatureHasher
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridlore.functions import exprs as X
@@ -182,6 +184,12 @@ class FeaturePipeline:
     def size(self) -> int:
         return len(self.numbers) + sum(self.sizes) + HASHED_FEATURES * len(self.hashed)
 
+    @property
+    def columns(self) -> list[tuple[int, int]]:
+        """The slots of each column of levels or hashed slots: the first and the one behind the last."""
+        edges = np.cumsum([len(self.numbers), *self.sizes, *[HASHED_FEATURES] * len(self.hashed)]).tolist()
+        return list(zip(edges, edges[1:]))
+
     def _text(self, c: str, dtype: T.DataType) -> Column:
         return F.coalesce(F.expr(X.as_text(X.quote(c), dtype)), F.lit(str(self.fills.get(c, "Unknown"))))
 
@@ -199,16 +207,23 @@ class FeaturePipeline:
             known = levels.select(F.col("_c").alias(f"_c{i}"), F.col("_i").alias(f"_l{i}"))
             index = F.coalesce(F.col(f"_l{i}"), F.lit(float(size)))  # beyond the levels: no slot
             frame = frame.join(known, f"_c{i}", "left").withColumn(f"_i{i}", index)
-            frame = frame.withMetadata(f"_i{i}", {"ml_attr": {"type": "nominal", "num_vals": size}})
         return frame
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with its ``features`` vector."""
-        return self.stages.transform(self._columns(df)).select(*df.columns, "features")
+        """``df`` with its ``features`` vector.
+
+        Spark's encoder and assembler would name every slot in the schema, which the driver holds.
+        """
+        frame = self.places(df)
+        slots = [F.lit(i) for i in range(len(self.numbers))] + [F.lit(a) + F.col(f"_p{i}") for i, (a, _) in enumerate(self.columns)]
+        known = [F.when(F.col(f"_p{i}") < b - a, 1.0).otherwise(0.0) for i, (a, b) in enumerate(self.columns)]
+        values = [*[F.col(f"_n{i}") for i in range(len(self.numbers))], *known]
+        return frame.select(*df.columns, _vectors(self.size)(F.array(*slots), F.array(*values)).alias("features"))
 
     def places(self, df: DataFrame) -> DataFrame:
         """``df`` with the numbers _n0.. and, per column of levels or hashed slots, the place of its slot, _p0.. ."""
-        frame = self.stages.transform(self._columns(df))
+        frame = self._columns(df)
+        frame = self.stages.transform(frame) if self.stages else frame
         texts = [F.col(f"_i{i}").cast("int").alias(f"_p{i}") for i in range(len(self.texts))]
         hashed = [(F.array_position(vector_to_array(f"_s{i}"), 1.0) - 1).cast("int").alias(f"_p{len(texts) + i}") for i in range(len(self.hashed))]
         return frame.select(*df.columns, *[f"_n{i}" for i in range(len(self.numbers))], *texts, *hashed)
@@ -235,6 +250,29 @@ class FeaturePipeline:
         return found
 
 
+def _vectors(size: int):
+    """A function that makes vectors of ``size`` numbers from slots in order and their values, in the shorter of the two forms."""
+
+    def made(at: pa.Array, values: pa.Array) -> pa.Array:
+        rows, places, v = len(at), at.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
+        if not np.isfinite(v).all() and np.isnan(v).any():
+            raise ValueError("A feature is missing or not a number.")
+        row = np.repeat(np.arange(rows), len(v) // max(rows, 1))[v != 0]
+        places, v = places[v != 0], v[v != 0]
+        filled = np.bincount(row, minlength=rows)
+        dense = 1.5 * (filled + 1) >= size
+        ends = np.concatenate([[0], np.cumsum(np.where(dense, size, filled))]).astype(np.int32)
+        rank = np.arange(len(v)) - np.repeat(np.cumsum(filled) - filled, filled)
+        whole = np.zeros(ends[-1])
+        whole[ends[row] + np.where(dense[row], places, rank)] = v
+        listed = np.concatenate([[0], np.cumsum(np.where(dense, 0, filled))]).astype(np.int32)
+        indices = pa.ListArray.from_arrays(pa.array(listed), pa.array(places[~dense[row]], pa.int32()), mask=pa.array(dense))
+        sizes, kinds = pa.array(np.full(rows, size, np.int32), mask=dense), pa.array(dense.astype(np.int8))
+        return pa.StructArray.from_arrays([kinds, sizes, indices, pa.ListArray.from_arrays(pa.array(ends), pa.array(whole))], names=["type", "size", "indices", "values"])
+
+    return F.arrow_udf(made, returnType=VectorUDT())
+
+
 def feature_pipeline(df: DataFrame, hashed: Sequence[str] = ()) -> FeaturePipeline:
     """Fit the features of every data column: median and population scaling, mode and one-hot.
 
@@ -266,18 +304,9 @@ def feature_pipeline(df: DataFrame, hashed: Sequence[str] = ()) -> FeaturePipeli
         indexed = sorted_positions(values, ["_c"], "_i").select("_c", F.col("_i").cast("double").alias("_i"))
         fitted.levels.append(materialize(indexed, "levels"))
     fitted.sizes = [levels.count() for levels in fitted.levels]
-    places = range(len(fitted.texts))
-    stages = []
-    if places:  # sizes come from the columns' metadata, so this fits without a scan
-        stages = [
-            OneHotEncoder(
-                inputCols=[f"_i{i}" for i in places], outputCols=[f"_v{i}" for i in places], handleInvalid="keep"
-            )
-        ]
-    stages += [FeatureHasher(inputCols=[f"_h{i}"], outputCol=f"_s{i}", numFeatures=HASHED_FEATURES) for i in range(len(wide))]
-    vectors = [f"_n{i}" for i in range(len(numbers))] + [f"_v{i}" for i in places] + [f"_s{i}" for i in range(len(wide))]
-    stages.append(VectorAssembler(inputCols=vectors, outputCol="features"))
-    fitted.stages = Pipeline(stages=stages).fit(fitted._columns(frame))
+    if wide:
+        stages = [FeatureHasher(inputCols=[f"_h{i}"], outputCol=f"_s{i}", numFeatures=HASHED_FEATURES) for i in range(len(wide))]
+        fitted.stages = Pipeline(stages=stages).fit(fitted._columns(frame))
     return fitted
 
 
@@ -412,7 +441,7 @@ def cluster(df: DataFrame, starts: int = STARTS, hashed: Sequence[str] = ()) ->
     """KMeans with the cluster count, 2 to 6, of the best silhouette; each count's best of several starts.
 
     All counts and starts are fitted together, see ``kmeans``; ``centres`` and ``features`` of the result are what
-    rows were assigned by.
+    rows were assigned by. Slots of wide columns at which a centre is zero are left out of ``centres``.
     """
     rows = df.count()
     if rows < MIN_CLUSTER_ROWS:
@@ -420,30 +449,20 @@ def cluster(df: DataFrame, starts: int = STARTS, hashed: Sequence[str] = ()) ->
     frame = times_as_seconds(df)
     features = feature_pipeline(frame, hashed)
     key = F.col(ROW).cast("long") if ROW in frame.columns else F.monotonically_increasing_id()
-    table = materialize(features.transform(frame).select("features", key.alias("key")), "features")
-    size = len(table.select("features").first()["features"])
-    fits = kmeans.fit_all(table, size, list(range(2, min(MAX_CLUSTERS, rows - 1) + 1)), starts, SEED)
-    counts = sorted(fits)
-    near = kmeans.predict_all(table, [fits[k][0] for k in counts], size)
-    placed = materialize(table.join(near, "key"), "clusters")
-    best = None
-    for i, k in enumerate(counts):
-        assigned = placed.select("features", "key", F.col("nearest")[i].alias("prediction"))
-        if assigned.select("prediction").distinct().count() < 2:
-            continue
-        score = silhouette(assigned)
-        if best is None or score > best[0]:
-            best = (score, k, assigned)
-    if best is None:
+    # a few files of many rows would leave most cores without work in every scan
+    table = materialize(features.transform(frame).select("features", key.alias("key")).repartition("key"), "features")
+    fits = kmeans.fit_all(table, features.size, list(range(2, min(MAX_CLUSTERS, rows - 1) + 1)), starts, SEED, features.columns)
+    scores = fits.silhouettes([k for k in sorted(fits) if (fits.sizes(k) > 0).sum() > 1])
+    if not scores:
         return skipped(CLUSTERING, "The records do not separate into clusters.")
-    score, k, assigned = best
-    centres = [(c, i, v) for c, centre in enumerate(fits[k][0]) for i, v in enumerate(centre.tolist())]
+    k = max(scores, key=scores.get)
+    score, assigned = scores[k], fits.assigned(k)
     return ModelResult(
         "completed", CLUSTERING, model="KMeans",
         metrics={"silhouette_score": round(score, 4), "clusters": float(k)},
         clusters=assigned.groupBy(F.col("prediction").alias("cluster")).count(),
         predictions=assigned.select(*([F.col("key").alias(ROW)] if ROW in frame.columns else []), "prediction"),
-        centres=small_frame(df.sparkSession, centres, "cluster int, at int, value double"),
+        centres=fits.centres(k),
         features=assigned,
         notes="silhouette metric: squaredEuclidean",
     )

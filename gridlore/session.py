@@ -54,6 +54,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more, as soon as it is replaced by a later one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def observed(df: DataFrame, label: str, facts: dict[str, Column | str]) -> tuple[DataFrame, dict[str, object]]:
     """``materialize`` that also returns aggregates of the rows written, taken by the writing job itself."""
     noted = Observation()
