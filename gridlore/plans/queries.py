@@ -1309,11 +1309,15 @@ def m7_assignment(spark, folder):
     """Rows whose cluster has the nearest of the returned centres, recomputed by SQL."""
     found = M.cluster(table(spark, folder, "customer"))
     size = len(found.features.select("features").first()["features"])
-    rows = KM.entries(found.features, size, ["key", "prediction"])
+    rows = materialize(KM.entries(found.features, size, ["key", "prediction"]), "entries")
     # a row's squared distance is its own square less twice its product with the centre, from which half the centre's square is taken
     halves = found.centres.groupBy("cluster").agg((-F.sum(F.col("value") ** 2) / 2).alias("value")).select("cluster", F.lit(-1).alias("at"), "value")
-    centres = found.centres.where("value <> 0").unionByName(halves)
-    products = rows.join(F.broadcast(centres), "at").groupBy("key", "prediction", "cluster").agg(F.sum(F.col("v") * F.col("value")).alias("p"))
+    centres = materialize(found.centres.where("value <> 0").unionByName(halves), "centres")
+    # slots of more than a thousandth of the rows are few: their centres go to every task, those of all others meet rows by the slot
+    many = found.features.count()
+    often = F.broadcast(rows.groupBy("at").count().where(F.col("count") * KM.COMMON > many).select("at"))
+    near, far = (rows.join(F.broadcast(centres.join(often, "at", "left_semi")), "at"), rows.join(often, "at", "left_anti").join(centres, "at"))
+    products = near.unionByName(far).groupBy("key", "prediction", "cluster").agg(F.sum(F.col("v") * F.col("value")).alias("p"))
     squares = rows.where("at >= 0").groupBy("key").agg(F.sum(F.col("v") ** 2).alias("s"))
     apart = products.join(squares, "key", "left").withColumn("d", F.greatest(F.coalesce("s", F.lit(0.0)) - 2 * F.col("p"), F.lit(0.0)))
     best = apart.groupBy("key", "prediction").agg(F.min("d").alias("least"), F.min(F.when(F.col("cluster") == F.col("prediction"), F.col("d"))).alias("own"))
