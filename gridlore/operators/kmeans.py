@@ -237,12 +237,9 @@ def _common(table: DataFrame, size: int, columns: Sequence[tuple[int, int]]) ->
     In other rows s is below zero, by the key. Columns in which no rows share a slot that isn't common get none.
     """
     wide = [(a, b) for a, b in columns if b - a > COMMON]
-    narrow = np.ones(size, bool)
-    for a, b in wide:
-        narrow[a:b] = False
-    common = [np.flatnonzero(narrow)]
+    common = [np.arange(a, b) for a, b in zip([0, *[b for _, b in wide]], [*[a for a, _ in wide], size])]
     if not wide:
-        return table.select("features", "key"), common[0], 0
+        return table.select("features", "key"), np.arange(size), 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -563,6 +560,8 @@ class Fits(dict):
 
         Distances to a cluster follow from its count, sum and sum of squares, so no pairs are formed.
         """
+        if not counts:
+            return {}
         fits = [self.fits[self.best[k]] for k in counts]
         edges = np.cumsum([0, *[len(x.rows) for x in fits]])
         rows = np.concatenate([x.rows for x in fits])

@@ -127,3 +127,13 @@ def test_features_do_not_name_their_slots(spark):
     few = df.where(f"{ROW} < 2")
     dense = M.feature_pipeline(few).transform(few).first()["features"]
     assert type(dense).__name__ == "DenseVector" and len(dense) == 3
+
+
+def test_equal_rows_do_not_separate(spark):
+    """One cluster of all rows, whether vectors are all zero or not."""
+    from gridlore.operators import modeling as M
+    from gridlore.operators.ordering import ROW
+
+    for columns in (["5 AS x"], ["5 AS x", "'a' AS t"]):
+        found = M.cluster(spark.range(40).selectExpr(*columns, f"id AS {ROW}"))
+        assert found.status == "skipped" and "separate" in found.reason
